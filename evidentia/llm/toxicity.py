@@ -1,12 +1,12 @@
 """A toxicity classifier with a counterfactual penalty.
 
-Words whose presence tells toxic from other labelled rows are chosen over a bounded sample of labelled rows (at most
-SAMPLE), then a logistic model on their presence is fitted.  In each labelled text that names a group of people, the
+Runs of WIDTH bytes of lower-case words whose presence tells toxic from other rows are chosen over a bounded sample of
+labelled rows (at most SAMPLE), then a logistic model on their presence is fitted.  In each labelled text that names a group of people, the
 identity terms are swapped for others of their kind; the squared change of the linear score is added to the loss, so
 that naming a group moves no score.  Scoring covers every row, where it lies.
 
-Defined results: null and empty texts get the score of no words; without labelled rows of both kinds every score is the
-toxic share of the labels (0 without labels); repeated rows get equal scores, in the sample equal texts count once; an
+Defined results: null and empty texts get the score of no words; without labelled rows of both kinds every score is
+about 1 if all are toxic, else about 0; repeated rows get equal scores, in the sample equal texts count once; an
 empty table gives none.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_of, cut
 
-SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z = 12_000, 3000, 5, 4.0
-RIDGE, PENALTY = 1e-4, 1.0
+SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, WIDTH = 12_000, 3000, 4, 5.0, 5
+RIDGE, PENALTY = 1e-3, 1.0
 #: Groups of terms of which one may stand for another.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"),
@@ -35,54 +35,83 @@ IDENTITY = (
     ("immigrant", "refugee", "citizen"), ("immigrants", "refugees", "citizens"),
     ("old", "young"), ("disabled", "blind", "deaf"),
 )
-_OTHER = re.compile("[\xa0-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf -⁯　-〿]")
+_OTHER = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
 _ASCII = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> set[bytes]:
-    """Distinct lower-case words; signs and digits part them."""
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words; signs and digits part them."""
     text = (text or "").lower()
     if not text.isascii():
         text = _OTHER.sub(" ", text)
-    return set(text.encode("utf-8", "surrogatepass").translate(_ASCII).split())
+    return text.encode("utf-8", "surrogatepass").translate(_ASCII).split()
 
 
-def swapped(words: set[bytes], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> set[bytes] | None:
+def swapped(words: list[bytes], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[bytes] | None:
     """The words of the counterfactual text: each identity term replaced by the next of its group; None without any."""
     following = {a.encode(): b.encode() for g in groups for a, b in zip(g, g[1:] + g[:1], strict=True)}
-    named = words & following.keys()
-    return (words - named) | {following[w] for w in named} if named else None
+    return [following.get(w, w) for w in words] if following.keys() & set(words) else None
 
 
-class ToxicityModel:
-    """Words with their weights, and the score of none."""
+def grams(words: list[bytes]) -> np.ndarray:
+    """Distinct runs of WIDTH bytes of the words with single spaces between and around them, as numbers."""
+    x = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
+    if len(x) < WIDTH:
+        return np.zeros(0, np.int64)
+    key = x[: len(x) - WIDTH + 1]
+    for i in range(1, WIDTH):
+        key = key << 8 | x[i : len(x) - WIDTH + 1 + i]
+    return np.unique(key)
+
 
-    def __init__(self, weights: dict[bytes, float], bias: float) -> None:
-        self.weights, self.bias, self.known = weights, bias, set(weights)
+class ToxicityModel:
+    """Byte runs (sorted) with their weights, and the score of none."""
+
+    def __init__(self, known: np.ndarray, weights: np.ndarray, bias: float) -> None:
+        self.known, self.weights, self.bias = known, weights, bias
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self._short(known)] = True
+
+    @staticmethod
+    def _short(keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B1 >> 20) & 0xFFFF
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Which of the known runs occur."""
+        x = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        found: list[np.ndarray] = []
+        for at in range(0, len(x) - WIDTH + 1, 1 << 16):
+            part = x[at : at + (1 << 16) + WIDTH - 1].astype(np.int64)
+            key = part[: len(part) - WIDTH + 1]
+            for i in range(1, WIDTH):
+                key = key << 8 | part[i : len(part) - WIDTH + 1 + i]
+            found.append(key[self.maybe[self._short(key)]])
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        places = np.searchsorted(self.known, keys)
+        places, keys = places[places < len(self.known)], keys[places < len(self.known)]
+        return places[self.known[places] == keys]
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(words_of(text) & self.known))
+        z = self.bias + float(self.weights[self.find(words_of(text))].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def _fit_logistic(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, ridge: float, penalty: float, steps: int = 300) -> np.ndarray:
-    """Weights, the bias last, by accelerated gradient descent on loss + ridge + penalty * mean squared change of score."""
+    """Weights, the bias last, by Adam's steps over all rows on loss + ridge + penalty * mean squared change of score."""
     flat = np.array([i for r in rows for i in r], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     change = np.array([(n, i, s) for n, (a, b) in enumerate(pairs) for part, s in ((a, 1.0), (b, -1.0)) for i in part]).reshape(-1, 3)
     who, what, sign = change[:, 0].astype(np.int64), change[:, 1].astype(np.int64), change[:, 2]
-    most = max((len(r) for r in rows), default=0) + 1
-    rate = 1 / (most / 4 + ridge + 2 * penalty * (np.bincount(who).max() if len(who) else 0))
-    w = v = np.zeros(size + 1)
-    for t in range(steps):
-        z = np.bincount(owner, v[flat], len(rows)) + v[-1]
+    w, mean, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, steps + 1):
+        z = np.bincount(owner, w[flat], len(rows)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(rows)
-        gradient = np.append(np.bincount(flat, error[owner], size), error.sum()) + ridge * np.append(v[:-1], 0)
+        gradient = np.append(np.bincount(flat, error[owner], size), error.sum()) + ridge * np.append(w[:-1], 0)
         if pairs:
-            moved = np.bincount(who, sign * v[what], len(pairs))
+            moved = np.bincount(who, sign * w[what], len(pairs))
             gradient[:size] += 2 * penalty / len(pairs) * np.bincount(what, sign * moved[who], size)
-        now = v - rate * gradient
-        v, w = now + t / (t + 3) * (now - w), now
+        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
+        w = w - 0.1 * (1 - t / (steps + 1)) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
     return w
 
 
@@ -92,37 +121,43 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     marks = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)).select(F.col("doc_id").alias("labelled"), "toxic")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(w, swapped(w, groups)) for w in map(words_of, batch.column("text").to_pylist())]
+            columns = [pa.array([b" ".join(a) for a, _ in both], pa.binary()), pa.array([None if b is None else b" ".join(b) for _, b in both], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], names=["toxic", "words", "other"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            both = [(w, swapped(w, groups) or set()) for w in map(words_of, texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([sorted(a) for a, _ in both], pa.list_(pa.binary())), pa.array([sorted(b) for _, b in both], pa.list_(pa.binary()))],
-                names=["toxic", "words", "other"])
+            own = [grams(w.split()) for w in batch.column("words").to_pylist()]
+            keys, where = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_inverse=True)
+            bad = np.repeat(batch.column("toxic").to_numpy().astype(float), [len(x) for x in own])
+            numbers = [pa.array(x.astype(np.int64)) for x in (keys, np.bincount(where, minlength=len(keys)), np.bincount(where, bad, len(keys)))]
+            yield pa.RecordBatch.from_arrays(numbers, names=["gram", "docs", "bad"])
 
     texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select(F.col(text_col).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = cut(texts.dropDuplicates(["text"]).mapInArrow(run, "toxic int, words array<binary>, other array<binary>"))
+    rows = cut(texts.mapInArrow(clean, "toxic int, words binary, other binary").dropDuplicates(["words"]))
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, positive = total["n"], total["toxic"] or 0
     if not positive or positive == n:
-        share = positive / n if n else 0.0
-        return ToxicityModel({}, 40.0 if share == 1 else -40.0)
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 40.0 if positive else -40.0)
     p = positive / n
-    seen = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("docs"), F.sum("toxic").alias("bad"))
+    seen = rows.mapInArrow(count, "gram long, docs long, bad long").groupBy("gram").agg(F.sum("docs").alias("docs"), F.sum("bad").alias("bad"))
     z = (F.col("bad") - F.col("docs") * p) / F.sqrt(F.col("docs") * p * (1 - p))
-    told = seen.where((F.col("docs") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).orderBy(F.desc(F.abs(z)), "word").limit(FEATURES).collect()
-    known = sorted({bytes(r["word"]) for r in told} | {t.encode() for g in groups for t in g})
-    index = {w: i for i, w in enumerate(known)}
+    told = seen.where((F.col("docs") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).orderBy(F.desc(F.abs(z)), "gram").limit(FEATURES).collect()
+    named = grams([t.encode() for g in groups for t in g])
+    known = np.unique(np.concatenate([np.array([r["gram"] for r in told], np.int64), named]))
+    finder = ToxicityModel(known, np.zeros(len(known)), 0.0)
 
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [pa.array([[index[w] for w in ws if w in index] for ws in batch.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("words", "other")]
+            columns = [pa.array([None if w is None else finder.find(w.split()) for w in batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("words", "other")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], names=["toxic", "words", "other"])
 
-    got = sorted((r["toxic"], r["words"], r["other"]) for r in rows.mapInArrow(numbers, "toxic int, words array<int>, other array<int>").collect())
+    got = sorted((r["toxic"], r["words"], r["other"] or []) for r in rows.mapInArrow(number, "toxic int, words array<long>, other array<long>").collect())
     pairs = [(a, b) for _, a, b in got if b]
     w = _fit_logistic([a for _, a, _ in got], np.array([y for y, _, _ in got], float), pairs, len(known), ridge, penalty)
-    return ToxicityModel({k: float(x) for k, x in zip(known, w[:-1], strict=True) if x}, float(w[-1]))
+    return ToxicityModel(known, w[:-1], float(w[-1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
