@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import crc_of, cut
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, WIDTH = 12_000, 3000, 4, 5.0, 5
-RIDGE, PENALTY = 1e-3, 1.0
+RIDGE, PENALTY = 3e-4, 1.0
 #: Groups of terms of which one may stand for another.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"),
