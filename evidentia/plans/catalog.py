@@ -1,4 +1,27 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evidentia.views import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) under its name, with SQL over the given and derived tables."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+from evidentia.plans import aggregates, expressions, graph_queries, join_queries, rankings  # noqa: E402,F401
