@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import cut
 from .tokens import default_path, word_encoder
 
-SPAN = 1024
+SPAN = 64
 
 
 def histogram(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
