@@ -39,7 +39,7 @@ class _Slots(dict):
 class WordEncoder:
     """Ids of texts, in arrays; ``most_words`` bounds the words remembered (the memory is emptied when full)."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
