@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,21 +25,24 @@ _WORDS = re.compile(
     rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
-class _Slots(dict):
-    """Word to slot number; new words get the next slot and are noted in ``fresh``."""
+class _Words(dict):
+    """Word to the bytes of its ids.  A new word is looked up among the ``older`` ones first, then encoded."""
 
-    def __init__(self) -> None:
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]) -> None:
         super().__init__()
-        self.fresh: list[str] = []
+        self.encode, self.older = encode, older
 
-    def __missing__(self, word: str) -> int:
-        self[word] = slot = len(self)
-        self.fresh.append(word)
-        return slot
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
-    """Ids of texts, in arrays; ``most_words`` bounds the words remembered (the memory is emptied when full)."""
+    """Ids of texts, in arrays.  About ``most_words`` words are remembered, in two generations: when the younger is full,
+    it becomes the older and the words not used since are forgotten, so that common words stay."""
 
     def __init__(self, path: str, most_words: int = 250_000) -> None:
         from tokenizers import Tokenizer
@@ -45,66 +50,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        plain = [chr(c) for c in range(0x250) if _PLAIN.match(chr(c)) and not chr(c).isspace()]
+        #: How the file's byte-level step spells each plain character.
+        self.spelling = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in plain}
         self.most_words = most_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots, self.used = _Slots(), 0
-        self.flat, self.start, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self) -> None:
-        fresh, self.slots.fresh = self.slots.fresh, []
-        for at in range(0, len(fresh), 1000):
-            words = fresh[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(words) or len(ids) != (ends[-1] if len(ends) else 0):
-                parts = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-                ids, ends = np.array([i for p in parts for i in p], np.uint32), np.cumsum([len(p) for p in parts])
-            first = len(self.slots) - len(fresh) + at
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(words) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-            starts = np.concatenate([[0], ends[:-1]])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[first : first + len(words)] = starts + self.used
-            self.count[first : first + len(words)] = ends - starts
-            self.used += len(ids)
+        self.words = _Words(self._word, {})
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.translate(self.spelling))]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _bytes(self, text: str) -> bytes:
+        if not _PLAIN.match(text):
+            return self._whole(text)
+        if 2 * len(self.words) > self.most_words:
+            self.words = _Words(self._word, dict(self.words))
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text.lower())))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one text as unsigned 32-bit numbers; none for null."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not _PLAIN.match(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        slots = self._slots_of(text)
-        counts = self.count[slots]
-        ends = np.cumsum(counts)
-        if not len(ends):
-            return np.zeros(0, np.uint32)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[slots] - ends + counts, counts)]
+        return np.frombuffer(self._bytes(text or ""), np.uint32)
 
     def length(self, text: str | None) -> int:
         """The number of ids of one text."""
-        if not text:
-            return 0
-        if not _PLAIN.match(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        slots = self._slots_of(text)
-        return int(self.count[slots].sum())
-
-    def _slots_of(self, text: str) -> np.ndarray:
-        if len(self.slots) > self.most_words:
-            self._forget()
-        words = _WORDS.findall(text.lower())
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        if self.slots.fresh:
-            self._learn()
-        return slots
+        return len(self._bytes(text or "")) // 4
 
 
 @lru_cache(maxsize=2)
