@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from evidentia.plans import aggregates, expressions, graph_queries, join_queries, rankings, review_queries, source_queries, stream_queries  # noqa: E402,F401
+from evidentia.plans import aggregates, assurance_queries, expressions, graph_queries, join_queries, rankings, review_queries, source_queries, stream_queries  # noqa: E402,F401
