@@ -244,3 +244,18 @@ def test_karmarkar_karp_uses_each_once_and_balances():
         assert sorted(i for w in windows for i in w) == list(range(90))
         sums = [sum(sizes[i] for i in w) for w in windows]
         assert len(sums) == ways and max(sums) - min(sums) <= 20
+
+
+def test_thresholds_are_the_counted_quantile(spark):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2] if i % 7 else None, float(x), True) for i, x in enumerate(rng.lognormal(2, 0.5, 3000))] + [("c", 2.0, True), ("a", 1e9, False)]
+    scored = spark.createDataFrame(rows, "lang string, perplexity double, trusted boolean")
+    by_lang, overall = kneser_ney.thresholds(scored, 0.9)
+
+    def plain(lang):
+        xs = sorted(p for g, p, t in rows if t and (lang is None or g == lang))
+        return xs[int(np.ceil(len(xs) * 0.9)) - 1]
+
+    assert set(by_lang) == {"a", "b"} and all(plain(g) <= q < plain(g) * 1.0002 for g, q in by_lang.items())
+    assert plain(None) <= overall < plain(None) * 1.0002
+    assert kneser_ney.thresholds(scored.repartition(7), 0.9) == (by_lang, overall)
