@@ -141,4 +141,5 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         part = F.col(k).eqNullSafe(F.col(f"{k}_"))
         on = part if on is None else on & part
     columns = [c for c in docs.columns if not c.startswith("__")]
-    return docs.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    # what is taken grows with the documents, so both sides are shuffled at every size
+    return docs.join(taken.hint("merge"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)

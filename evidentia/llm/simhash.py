@@ -126,6 +126,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of the documents whose doc_id names their component; of rows that repeat a doc_id one stays."""
     found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    rows = docs.join(kept, id_col, "left_semi")
+    # the identifiers grow with the documents, so both sides are shuffled at every size
+    rows = docs.join(kept.hint("merge"), id_col, "left_semi")
     repeats = found.groupBy("doc_id").count().where("count > 1").head(1)
     return rows.dropDuplicates([id_col]) if repeats else rows
