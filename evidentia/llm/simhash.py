@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 #: Keys with more fingerprints than this are handled by neighbours instead of pairs.
 HOT = 64
@@ -123,10 +123,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the documents whose doc_id names their component; of rows that repeat a doc_id one stays."""
-    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    """One row of each component: that of the least doc_id (nulls last), then of the least hash of its text.
+
+    Rows are told apart by a written number, not by doc_id, so a null or repeated doc_id costs no row."""
+    row = free_name(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    ranks = rows.select(row, F.col(id_col).isNull().alias("last"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"))
+    order = F.struct("last", "own", "hash", row)
+    kept = cut(found.join(ranks.hint("merge"), row).groupBy("component_id").agg(F.min(order)[row].alias(row)).select(row))
     # the identifiers grow with the documents, so both sides are shuffled at every size
-    rows = docs.join(kept.hint("merge"), id_col, "left_semi")
-    repeats = found.groupBy("doc_id").count().where("count > 1").head(1)
-    return rows.dropDuplicates([id_col]) if repeats else rows
+    return rows.join(kept.hint("merge"), row, "left_semi").drop(row)

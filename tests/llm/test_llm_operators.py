@@ -259,3 +259,13 @@ def test_thresholds_are_the_counted_quantile(spark):
     assert set(by_lang) == {"a", "b"} and all(plain(g) <= q < plain(g) * 1.0002 for g, q in by_lang.items())
     assert plain(None) <= overall < plain(None) * 1.0002
     assert kneser_ney.thresholds(scored.repartition(7), 0.9) == (by_lang, overall)
+
+
+def test_keep_first_keeps_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(11)
+    one, two, three = (" ".join("".join(rng.choices(EN, k=3)) for _ in range(80)) for _ in range(3))
+    rows = [(None, one, "a"), (None, one, "b"), (3, two, "c"), (5, two, "d"), (5, three, "e"), (None, three, "f")]
+    for parts in (1, 4):
+        kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(parts))
+        assert kept.columns == ["doc_id", "text", "row"]
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, one), (3, two), (5, three)])
