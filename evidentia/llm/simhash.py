@@ -27,20 +27,24 @@ _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint as an unsigned number; zero without words."""
+def digests(text: str | None, width: int = 3, seed: int = 42) -> list[int]:
+    """The hash of each run of ``width`` words, or of all words where they are fewer; none without words."""
     words = [w for w in (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).translate(_SPACES).split(b" ") if w]
     if not words:
-        return 0
+        return []
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        digests = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        digests = [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    hashes = np.array(digests, ">u8")
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
+    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+
+
+def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The fingerprint as an unsigned number; zero without words."""
+    hashes = np.array(digests(text, width, seed), ">u8")
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -48,12 +52,12 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed long of the same 64 bits."""
 
     @F.pandas_udf("long")
     def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), print_of(F.col(text_col)).alias("fp"))
 
@@ -105,10 +109,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, links): each document's component is named by its smallest doc_id, and links
     counts the other fingerprints that the linking step joined to its own."""
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     edges = cut(links(fps.select("fp"), hot))
     labels = components(fps, edges) if edges.head(1) else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -122,13 +126,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each component: that of the least doc_id (nulls last), then of the least hash of its text.
 
+    With a similarity, rows are linked by the Jaccard similarity of their runs of ``width`` words, else as in op9.
     Rows are told apart by a written number, not by doc_id, so a null or repeated doc_id costs no row."""
     row = free_name(docs, "row")
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    if similarity is None:
+        found = near_duplicates(rows, row, text_col, width=width).select(F.col("doc_id").alias(row), "component_id")
+    else:
+        from .shingles import near_copies
+
+        found = near_copies(rows, row, text_col, width, similarity)
     ranks = rows.select(row, F.col(id_col).isNull().alias("last"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"))
     order = F.struct("last", "own", "hash", row)
     kept = cut(found.join(ranks.hint("merge"), row).groupBy("component_id").agg(F.min(order)[row].alias(row)).select(row))

@@ -269,3 +269,45 @@ def test_keep_first_keeps_rows_without_or_with_repeated_ids(spark):
         kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(parts))
         assert kept.columns == ["doc_id", "text", "row"]
         assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, one), (3, two), (5, three)])
+
+
+def shingles_of(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("chunk", [64, 2])
+def test_near_copies_are_those_of_all_pairs(spark, chunk):
+    from evidentia.llm import shingles
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices(EN, k=3))
+    texts = ["", None, " \t", "Two words", "two  words"]
+    for size, changes in ((200, 1), (200, 3), (500, 10), (500, 25), (2000, 20), (60, 2)):
+        for _ in range(4):
+            words = [word() for _ in range(size)]
+            texts.append(" ".join(words))
+            for _ in range(3):
+                copy = list(words)
+                for at in rng.sample(range(size), changes):
+                    copy[at] = word()
+                texts.append(" ".join(copy))
+    sets = [shingles_of(t or "") for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            label = [label[a] if x == label[b] else x for x in label]
+    least = {x: min(i for i, y in enumerate(label) if y == x) for x in label}
+    frame = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(3)
+    assert {r.n: r.component_id for r in shingles.near_copies(frame, "n", chunk=chunk).collect()} == {i: least[x] for i, x in enumerate(label)}
+    assert len(least) < 0.7 * len(texts)
+
+
+def test_the_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices(EN, k=3)) for _ in range(500)]
+    rows = [(0, " ".join(words))] + [(n, " ".join(w if i % 50 != n else "changed" for i, w in enumerate(words))) for n in range(1, 6)] + [(9, " ".join(words[::-1]))]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()} == {0, 9}
