@@ -3,7 +3,8 @@
 ``WordEncoder`` gives exactly the ids of ``tokenizers.Tokenizer.encode(text, add_special_tokens=False)`` for the
 lower-casing word-level BPE file.  Words repeat far more often than texts do, and in such a vocabulary a word's ids
 depend on that word alone, so each distinct word is encoded once per worker and looked up afterwards.  Texts with
-characters for which Python's case or class rules might differ from the tokenizer's go to the tokenizer whole.
+characters for which Python's case or class rules might differ from the tokenizer's, or with the literal of an added
+token (which gives that token's id), go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Literals of the file's own tokens, such as the end of a text, which the tokenizer finds in texts first.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         plain = [chr(c) for c in range(0x250) if _PLAIN.match(chr(c)) and not chr(c).isspace()]
         #: How the file's byte-level step spells each plain character.
@@ -66,9 +68,12 @@ class WordEncoder:
     def _bytes(self, text: str) -> bytes:
         if not _PLAIN.match(text):
             return self._whole(text)
+        lower = text.lower()
+        if any(t in lower for t in self.added):
+            return self._whole(text)
         if 2 * len(self.words) > self.most_words:
             self.words = _Words(self._word, dict(self.words))
-        return b"".join(map(self.words.__getitem__, _WORDS.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(lower)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one text as unsigned 32-bit numbers; none for null."""

@@ -261,6 +261,17 @@ def test_thresholds_are_the_counted_quantile(spark):
     assert kneser_ney.thresholds(scored.repartition(7), 0.9) == (by_lang, overall)
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    fresh, encoder = Tokenizer.from_file(tokens.default_path()), tokens.WordEncoder(tokens.default_path())
+    texts = ["end of page <|endoftext|> next", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "<|endoftext|><|endoftext|>\n", "中 <|endoftext|>", "plain"]
+    own = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encoder.encode(t).tolist() for t in texts] == own and 49407 in own[0]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(np.array([*ids, 1], "<u4").tobytes()) for i, ids in enumerate(own)}
+
+
 def test_keep_first_keeps_rows_without_or_with_repeated_ids(spark):
     rng = random.Random(11)
     one, two, three = (" ".join("".join(rng.choices(EN, k=3)) for _ in range(80)) for _ in range(3))
