@@ -53,4 +53,4 @@ def g11_block_reliability(spark, sf_dir):
     SELECT node, max(product) AS product FROM r GROUP BY node""")
 def g12_retry_amplification(spark, sf_dir):
     edges = view(spark, sf_dir, "v_tree_edges").withColumn("attempts", (1 + F.col("target") % 3).cast("double"))
-    return G.retry_amplification(edges, table(spark, sf_dir, "part").where("p_partkey = 0").select(F.col("p_partkey").alias("node")), 8)
+    return G.retry_amplification(edges, table(spark, sf_dir, "part").where("p_partkey = 0").select(F.col("p_partkey").alias("node"))).select("node", "product")

@@ -1,6 +1,7 @@
 """Operators on hand-made rows."""
 
 import __spark_entry__
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
@@ -39,6 +40,22 @@ def test_closure_and_components_survive_cycles(spark):
     assert {(r.node, r.label) for r in graphs.components(edges.toDF("a", "b")).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
 
 
+def test_retries_reach_any_depth_and_cycles_end(spark):
+    chain = [(i, i + 1, 2.0) for i in range(10)] + [(0, 3, 3.0), (0, 3, 20.0)]
+    cycle = [(10, 20, 2.0), (20, 21, 2.0), (21, 20, 2.0), (21, 22, 1.0), (50, 51, 9.0)]
+    edges = spark.createDataFrame(chain + cycle, "source long, target long, attempts double")
+    got = {r.node: (r.product, r.cyclic) for r in graphs.retry_amplification(edges, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {0: (1.0, False), 1: (2.0, False), 2: (4.0, False), **{i: (20.0 * 2 ** (i - 3), False) for i in range(3, 11)}, **{i: (None, True) for i in (20, 21, 22)}}
+
+
+def test_closure_fails_beyond_a_depth(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "source long, target long")
+    seeds = spark.createDataFrame([(4,)], "node long")
+    assert graphs.upstream_closure(edges, seeds, 4).count() == graphs.upstream_closure(edges, seeds).count() == 4
+    with pytest.raises(ValueError, match="beyond depth 3"):
+        graphs.upstream_closure(edges, seeds, 3)
+
+
 def test_mcnemar_p(spark):
     rows = [(i, t, True, (t == "a") != (i == 9)) for i in range(10) for t in "ab"]
     r = stats.mcnemar(spark.createDataFrame(rows, "doc_id long, tool string, expected boolean, predicted boolean")).first()
