@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return in it.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Identifiers up to this number (16 to 40 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
@@ -60,8 +57,6 @@ def crc_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, count: int | None = None) -> DataFrame:
-    """Join on an identifier; the identifiers are broadcast if they are few (counted first), else both sides shuffle."""
-    if (ids.count() if count is None else count) <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, on, how)
+def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Join on an identifier; the identifiers grow with the rows, so both sides are shuffled at every size."""
+    return df.join(ids.hint("merge"), on, how)

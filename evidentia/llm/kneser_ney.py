@@ -226,19 +226,18 @@ def limit_of(by_lang: dict[str, float], overall: float | None, lang_col: str = "
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in by_lang.items() for x in kv]), F.col(lang_col)), rest) if by_lang else rest
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
-    """Identifiers of the rows labelled as good, each once, and how many."""
-    ids = cut(labels.where("quality = 1").select(F.col("doc_id").alias(id_col)).distinct())
-    return ids, ids.count()
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Identifiers of the rows labelled as good, each once."""
+    return cut(labels.where("quality = 1").select(F.col("doc_id").alias(id_col)).distinct())
 
 
 def assess(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row."""
-    ids, count = trusted_ids(labels, "trusted_id")
+    ids = trusted_ids(labels, "trusted_id")
     marked = docs.select(F.col(id_col).alias("trusted_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = fit(join_ids(marked, ids, "trusted_id", "left_semi", count))
+    model = fit(join_ids(marked, ids, "trusted_id", "left_semi"))
     scored = cut(marked.select("trusted_id", "lang", perplexity(marked, model).alias("perplexity"), (F.length("text") > 0).alias("filled")))
-    scored = join_ids(scored, ids.withColumn("trusted", F.lit(True)), "trusted_id", "left", count)
+    scored = join_ids(scored, ids.withColumn("trusted", F.lit(True)), "trusted_id", "left")
     limit = limit_of(*thresholds(scored, quantile))
     keep = F.coalesce("filled", F.lit(False)) & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
     return scored.select(F.col("trusted_id").alias("doc_id"), "lang", "perplexity", limit.alias("threshold"), keep.alias("keep"))
@@ -246,8 +245,8 @@ def assess(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that stay, with their own columns."""
-    ids, count = trusted_ids(labels, id_col)
-    trusted = join_ids(docs, ids, id_col, "left_semi", count)
+    ids = trusted_ids(labels, id_col)
+    trusted = join_ids(docs, ids, id_col, "left_semi")
     model = fit(trusted, text_col)
     scored = trusted.select(F.col(lang_col).alias("lang"), perplexity(docs, model, text_col).alias("perplexity"), F.lit(True).alias("trusted"))
     limit = limit_of(*thresholds(cut(scored), quantile), lang_col)

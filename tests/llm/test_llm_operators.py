@@ -322,3 +322,11 @@ def test_the_stage_drops_near_copies(spark):
     rows = [(0, " ".join(words))] + [(n, " ".join(w if i % 50 != n else "changed" for i, w in enumerate(words))) for n in range(1, 6)] + [(9, " ".join(words[::-1]))]
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()} == {0, 9}
+
+
+def test_identifiers_are_joined_by_one_plan_at_every_size(docs, labels):
+    from evidentia.llm.common import join_ids
+
+    joined = join_ids(docs, kneser_ney.trusted_ids(labels), "doc_id", "left_semi")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
