@@ -27,9 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps don't recompute it if executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,7 +61,3 @@ def crc_of(doc_id: Column) -> Column:
     """CRC-32 of the identifier's decimal text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
 
-
-def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Join on an identifier; the identifiers grow with the rows, so both sides are shuffled at every size."""
-    return df.join(ids.hint("merge"), on, how)

@@ -1,209 +1,244 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are 63 classes of characters (plain and accented letters, capitals, digits, spaces, kinds of signs) and a start
-mark; an n-gram is a number of 6 bits a symbol.  All trusted rows are counted.  The counts and the continuation counts
-of each order are tables sharded by n-gram, joined with the totals of their contexts, which gives each n-gram's
-discounted share and each context's weight for the lower order.  The model has at most 64**4 numbers of 4 bytes whatever
-the corpus, so it is broadcast, and documents are scored where they lie.  A document is kept if its perplexity does not
-exceed a quantile of the trusted documents of its language (of all languages where fewer than LEAST are trusted).
+Symbols are the UTF-16 units of the text (every digit as 0) with three start marks before it, so an n-gram of ORDER = 4
+symbols is one long.  Counts, continuation counts, context totals and probabilities are tables sharded by n-gram and
+joined there; nothing of the model is gathered on the driver but four counts of counts an order.  What a document needs
+comes to it by joins too: documents are written once in chunks of about CHUNK symbols, bucketed by chunk; each chunk's
+distinct n-grams (a few of a hundred symbols) are joined with their probabilities and go back to the chunk, where
+its documents' logarithms are summed.  So n-grams travel pre-aggregated, and the text isn't shuffled.
+
+Trusted rows are counted in two folds, by a hash of the text, which give two models.  A trusted row is measured by the
+model that did not count it, any other row by the geometric mean of both, so that thresholds aren't those of rows the
+model knows.  A document is kept if its perplexity does not exceed a quantile of the trusted documents of its language
+(of all languages where fewer than LEAST are trusted).
 
 Defined results: null and empty texts have no perplexity and are not kept; without trusted rows, or a threshold, every
-text that isn't empty is kept; repeated rows get equal answers; an empty table gives none.
+text that isn't empty is kept; a fold without text takes the other's counts; a null language takes the threshold of all;
+a null doc_id is never trusted; a label counts if any row of it says 1; repeated rows get equal answers; an empty table
+gives none.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_ids
+from .common import cut, new_folder
 
-ORDER, BITS = 4, 6
-#: Steps of a logarithm of probability; 65,535 of them reach beyond the least one kept, 1e-12.
+ORDER, BITS = 4, 16
+#: Symbols of a chunk, about: what one task holds of texts at once.
+CHUNK = 1 << 24
+#: Steps of a natural logarithm.  Sums of whole steps are exact in any order.
 STEPS = 2048
-QUANTILE, LEAST, LANGUAGES = 0.999, 50, 512
-#: Signs that form a class of their own.
-_KINDS = {".,;:": 58, "!?": 59, "'\"-()«»“”‘’„–—¿¡": 60, "#$%&*+/<=>@\\^_`|~[]{}": 61}
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    import unicodedata
-
-    table = np.full(1 << 16, 62, np.uint32)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c.isalpha():
-            base = unicodedata.normalize("NFD", c)[0]
-            table[i] = 54 if c.isupper() else ord(c) - 96 if "a" <= c <= "z" else ord(base) - 96 + 26 if "a" <= base <= "z" else 53
-        elif c.isdigit():
-            table[i] = 55
-        elif c in "\n\r":
-            table[i] = 57
-        elif c.isspace():
-            table[i] = 56
-    for signs, n in _KINDS.items():
-        for c in signs:
-            table[ord(c)] = n
-    return table
-
-
-def grams(text: str) -> np.ndarray:
-    """The number of each n-gram of ORDER symbols, one for every character."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.concatenate([np.zeros(ORDER - 1, np.uint32), _classes()[np.minimum(points, 0xFFFF)]])
-    n = len(points)
-    key = symbols[:n]
-    for i in range(1, ORDER):
-        key = (key << np.uint32(BITS)) | symbols[i : i + n]
-    return key
+QUANTILE, LEAST = 0.999, 50
+_FOLDS = (0, 1)
+_STRIDE = 1 << 20
 
 
-def count_grams(trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) over all rows."""
+def symbols(text: str) -> np.ndarray:
+    """UTF-16 units, digits as 0."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    return np.where((units >= 48) & (units <= 57), np.uint16(48), units)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (BITS * ORDER), np.int32)
 
-        def add(parts: list[np.ndarray]) -> None:
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            total[keys] += counts.astype(np.int32)
+def grams(units: np.ndarray) -> np.ndarray:
+    """The n-gram that ends at each symbol, as a signed number of 64 bits."""
+    padded = np.concatenate([np.zeros(ORDER - 1, np.uint64), units.astype(np.uint64)])
+    key = padded[: len(units)]
+    for i in range(1, ORDER):
+        key = (key << np.uint64(BITS)) | padded[i : i + len(units)]
+    return key.view(np.int64)
 
-        for batch in batches:
-            part, size = [], 0
-            for text in batch.column("text").to_pylist():
-                for at in range(0, len(text or ""), 1 << 20):
-                    own = grams(text[max(at - ORDER + 1, 0) : at + (1 << 20)])
-                    part.append(own if not at else own[ORDER - 1 :])
-                    size += len(part[-1])
-                    if size > 1 << 20:
-                        add(part)
-                        part, size = [], 0
-            if part:
-                add(part)
-        keys = np.flatnonzero(total)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(total[keys], pa.int64())], names=["gram", "n"])
-
-    return trusted.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> list[float]:
-    """Chen and Goodman's three discounts from the numbers of n-grams seen once to four times."""
-    c = counts.agg(*[F.count_if(F.col("n") == i).alias(f"c{i}") for i in range(1, 5)]).first()
-    y = c["c1"] / (c["c1"] + 2 * c["c2"]) if c["c1"] + c["c2"] else 0.5
-    found = [i - (i + 1) * y * c[f"c{i + 1}"] / c[f"c{i}"] if c[f"c{i}"] else 0.5 * i for i in range(1, 4)]
-    return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(found)]
-
-
-def shares(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, p) and (context, rest) of one order: discounted shares, and the weight left for the lower order."""
-    d1, d2, d3 = discounts(counts)
-    n = F.col("n")
-    off = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-    rows = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("off", off)
-    # whole numbers are summed, so that the order of the rows can't show in the result
-    off_sum = F.count_if(n == 1) * d1 + F.count_if(n == 2) * d2 + F.count_if(n > 2) * d3
-    contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), off_sum.alias("off_sum"))
-    joined = rows.join(contexts, "context").select("gram", ((n - F.col("off")) / F.col("total")).alias("p"))
-    return joined, contexts.select("context", (F.col("off_sum") / F.col("total")).alias("rest"))
-
-
-class QualityModel:
-    """For each order its grams with their shares, and its contexts with their weights.
-
-    A worker keeps the logarithms of the highest order as 16-bit numbers of steps of 1/STEPS (32 MB), filled block by
-    block, so that it never holds the probabilities whole; sums of steps are exact whatever the order."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.orders, self._steps = orders, None
-
-    def __getstate__(self) -> dict:
-        return {"orders": self.orders, "_steps": None}
-
-    def blocks(self) -> Iterator[np.ndarray]:
-        """Probabilities of the n-grams of the highest order, in order, in one block for each first symbol."""
-        size = 1 << BITS
-        lower = np.full(size, 1.0 / size, np.float32)
-        for n, (keys, p, contexts, rest) in enumerate(self.orders):
-            order = np.argsort(keys)
-            keys, p = keys[order], p[order]
-            weights = np.ones(size**n, np.float32)
-            weights[contexts] = rest
-            # below each context stands the lower order's context without its first symbol
-            starts = range(0, size ** (n + 1), len(lower))
-            made = (self._block(weights, lower, keys, p, at) for at in starts)
-            if n == len(self.orders) - 1:
-                yield from made
-            else:
-                lower = np.concatenate(list(made))
-
-    def probabilities(self) -> np.ndarray:
-        """All blocks as one flat array by n-gram."""
-        return np.concatenate(list(self.blocks()))
-
-    @staticmethod
-    def _block(weights: np.ndarray, lower: np.ndarray, keys: np.ndarray, p: np.ndarray, at: int) -> np.ndarray:
-        size = 1 << BITS
-        own = weights[at // size : (at + len(lower)) // size]
-        block = (own[:, None] * lower.reshape(-1, size)).reshape(-1)
-        first, last = np.searchsorted(keys, [at, at + len(lower)])
-        block[keys[first:last] - at] += p[first:last]
-        return block
-
-    def perplexity(self, text: str | None) -> float | None:
-        if not text:
-            return None
-        if self._steps is None:
-            steps, at = np.empty(1 << (BITS * len(self.orders)), np.uint16), 0
-            for block in self.blocks():
-                steps[at : at + len(block)] = np.rint(np.log(np.maximum(block, 1e-12)) * -STEPS).clip(0, 65535)
-                at += len(block)
-            self._steps = steps
-        total, step = 0, 1 << 20
-        for at in range(0, len(text), step):
-            own = grams(text[max(at - ORDER + 1, 0) : at + step])
-            total += int(self._steps[own if not at else own[ORDER - 1 :]].sum(dtype=np.int64))
-        return float(np.exp(total / STEPS / len(text)))
-
-
-def fit(trusted: DataFrame, text_col: str = "text") -> QualityModel | None:
-    """Count all the rows and derive every order; the driver receives at most 64**ORDER shares."""
-    counts = [cut(count_grams(trusted, text_col))]
-    for n in range(ORDER - 1, 0, -1):
-        counts.insert(0, cut(counts[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (BITS * n)) - 1)).alias("gram")).agg(F.count("*").alias("n"))))
-    if not counts[0].head(1):
-        return None
-    orders = []
-    for table in counts:
-        p, rest = shares(table)
-        p, rest = p.toPandas(), rest.toPandas()
-        orders.append((p["gram"].to_numpy(np.int64), p["p"].to_numpy(np.float32), rest["context"].to_numpy(np.int64), rest["rest"].to_numpy(np.float32)))
-    return QualityModel(orders)
+
+def _strides(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a text, some at a time."""
+    units = symbols(text)
+    for at in range(0, len(units), _STRIDE):
+        own = grams(units[max(at - ORDER + 1, 0) : at + _STRIDE])
+        yield own[ORDER - 1 :] if at else own
 
 
-def perplexity(docs: DataFrame, model: QualityModel | None, text_col: str = "text") -> Column:
-    """A double column; null without a model or a text."""
-    if model is None:
-        return F.lit(None).cast("double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def in_chunks(docs: DataFrame, own: Column, id_col: str, text_col: str, lang_col: str, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+    """The documents as a table (chunk, row, id, lang, fold, own, text) bucketed by chunk, and the table's name."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
+                       F.pmod(F.xxhash64(text_col), F.lit(2)).cast("int").alias("fold"), own.alias("own"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.perplexity(t) for t in texts], dtype="float64")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 31, 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) + done
+            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays([pa.array(first + ends // chunk, pa.int64()), *batch.columns], names=["chunk", *batch.schema.names])
+
+    spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    placed = rows.mapInArrow(place, "chunk long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed.write.format("parquet").option("compression", "zstd").option("path", new_folder(spark)).bucketBy(buckets, "chunk").saveAsTable(name)
+    return spark.table(name), name
+
+
+def count_grams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(chunk, gram, n0, n1): every distinct n-gram of a chunk, and how often each fold's trusted rows (chunk, row) hold it."""
+
+    def count(own: pa.Table, marked: pa.Table) -> pa.Table:
+        marks = set(marked.column("row").to_pylist())
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
+        sizes = {0: 0, 1: 0, 2: 0}
+
+        def settle(which: int) -> None:
+            if waiting[which]:
+                keys, n = np.unique(np.concatenate(waiting[which]), return_counts=True)
+                counts = np.zeros((len(keys), 2), np.int64)
+                if which < 2:
+                    counts[:, which] = n
+                found.append((keys, counts))
+                waiting[which], sizes[which] = [], 0
+            if sum(len(k) for k, _ in found) > 4 * _STRIDE and len(found) > 1:
+                merge()
+
+        def merge() -> None:
+            keys, places = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            counts = np.concatenate([c for _, c in found])
+            sums = np.stack([np.bincount(places, counts[:, f], len(keys)) for f in _FOLDS], 1).astype(np.int64)
+            found[:] = [(keys, sums)]
+
+        for row, fold, text in zip(own.column("row").to_pylist(), own.column("fold").to_pylist(), own.column("text"), strict=True):
+            which = fold if row in marks else 2
+            for part in _strides(text.as_py() or ""):
+                waiting[which].append(part)
+                sizes[which] += len(part)
+                if sizes[which] > _STRIDE:
+                    settle(which)
+        for which in waiting:
+            settle(which)
+        if not found:
+            return pa.table({"chunk": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "n0": pa.array([], pa.int64()), "n1": pa.array([], pa.int64())})
+        merge()
+        keys, sums = found[0]
+        return pa.table({"chunk": pa.array(np.full(len(keys), own.column("chunk")[0].as_py())), "gram": pa.array(keys), "n0": pa.array(sums[:, 0]), "n1": pa.array(sums[:, 1])})
+
+    left = chunks.select("chunk", "row", "fold", "text").groupBy("chunk")
+    return left.cogroup(trusted.select("chunk", "row").groupBy("chunk")).applyInArrow(count, "chunk long, gram long, n0 long, n1 long")
+
+
+def discounts(tables: list[DataFrame]) -> list[list[list[float]]]:
+    """For each order and fold, Chen and Goodman's three discounts from the numbers of n-grams seen once to four times."""
+    seen = [t.agg(F.lit(n).alias("n"), *[F.array(*[F.count_if(F.col(f"n{f}") == i) for i in range(1, 5)]).alias(f"c{f}") for f in _FOLDS]) for n, t in enumerate(tables)]
+    both = seen[0]
+    for one in seen[1:]:
+        both = both.unionByName(one)
+
+    def three(c: list[int]) -> list[float]:
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] + c[1] else 0.5
+        found = [i - (i + 1) * y * c[i] / c[i - 1] if c[i - 1] else 0.5 * i for i in range(1, 4)]
+        return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(found)]
+
+    return [[three(r[f"c{f}"]) for f in _FOLDS] for r in sorted(both.collect(), key=lambda r: r["n"])]
+
+
+def orders(counts: DataFrame) -> list[DataFrame]:
+    """From (gram, n0, n1) of the highest order, the tables of all orders, lowest first: below it, n is the number of
+    different symbols seen before the n-gram."""
+    tables = [cut(counts)]
+    for n in range(ORDER - 1, 0, -1):
+        lower = F.col("gram").bitwiseAND(F.lit((1 << (BITS * n)) - 1))
+        tables.insert(0, cut(tables[0].groupBy(lower.alias("gram")).agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in _FOLDS])))
+    return tables
 
-    return score(F.col(text_col))
 
+def probabilities(wanted: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(gram, p0, p1) for each distinct n-gram of the highest order in ``wanted``, under each fold's model.
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, lang_col: str = "lang") -> tuple[dict[str, float], float | None]:
-    """By language, and over all: quantiles of the perplexity of rows marked trusted, equal in every run.
+    The share of an n-gram, what its context leaves to the lower order, and the lower order's probability meet by joins
+    on the n-gram, on its context (all but the last symbol) and on its suffix (all but the first)."""
+    needed = [wanted]
+    for n in range(ORDER - 1, 0, -1):
+        needed.insert(0, needed[0].select(F.col("gram").bitwiseAND(F.lit((1 << (BITS * n)) - 1)).alias("gram")).distinct())
+    below = None
+    for n, (counts, own, taken) in enumerate(zip(tables, needed, discounts(tables), strict=True)):
+        context = F.shiftrightunsigned("gram", BITS)
+        off = {f: F.when(F.col(f"n{f}") == 1, taken[f][0]).when(F.col(f"n{f}") == 2, taken[f][1]).otherwise(taken[f][2]) for f in _FOLDS}
+        left = {f: sum(F.count_if(F.col(f"n{f}") == i + 1 if i < 2 else F.col(f"n{f}") > 2) * taken[f][i] for i in range(3)) for f in _FOLDS}
+        contexts = counts.groupBy(context.alias("context")).agg(
+            *[F.sum(f"n{f}").alias(f"total{f}") for f in _FOLDS], *[left[f].alias(f"left{f}") for f in _FOLDS])
+        rows = own.withColumn("context", context).join(counts, "gram", "left").join(contexts, "context", "left")
+        if below is None:
+            rows = rows.select("*", *[F.lit(0.5**BITS).alias(f"low{f}") for f in _FOLDS])
+        else:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * n)) - 1))
+            rows = rows.withColumn("suffix", suffix).join(below.select(F.col("gram").alias("suffix"), *[F.col(f"p{f}").alias(f"low{f}") for f in _FOLDS]), "suffix")
+        p = {f: F.when(F.col(f"total{f}") > 0, (F.when(F.col(f"n{f}") > 0, F.col(f"n{f}") - off[f]).otherwise(0.0) + F.col(f"left{f}") * F.col(f"low{f}")) / F.col(f"total{f}"))
+             .otherwise(F.col(f"low{f}")) for f in _FOLDS}
+        below = rows.select("gram", *[p[f].alias(f"p{f}") for f in _FOLDS])
+    return below
+
+
+def _measure(chunks: DataFrame, trusted: DataFrame, steps: DataFrame, carried: str) -> DataFrame:
+    """(own, lang, filled, trusted, perplexity, and the text if carried) for each row, from the steps (chunk, gram, s0, s1)."""
+    kept = ["own", "lang", "text"] if carried else ["own", "lang"]
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+
+    def measure(rows: pa.Table, known: pa.Table) -> pa.Table:
+        key, s0, s1 = (known.column(c).to_numpy() for c in ("key", "s0", "s1"))
+        marks = set(key[s0 < 0].tolist())
+        mine = np.flatnonzero(s0 >= 0)
+        # a hash table of the chunk's n-grams: several times as fast as a search in the sorted ones
+        key, both = pd.Index(key[mine]), (s0[mine], s1[mine])
+        out, trust, filled = [], [], []
+        for row, fold, text in zip(rows.column("row").to_pylist(), rows.column("fold").to_pylist(), rows.column("text"), strict=True):
+            text, trusts = text.as_py() or "", row in marks
+            sums, length = [0, 0], 0
+            for part in _strides(text) if len(key) else ():
+                places = key.get_indexer(part)
+                length += len(part)
+                for f in _FOLDS:
+                    # a trusted row of fold f is measured by the other model alone
+                    if not trusts or f != fold:
+                        sums[f] += int(both[f][places].sum(dtype=np.int64))
+            out.append(float(np.exp(sum(sums) / (1 if trusts else 2) / STEPS / length)) if length else None)
+            trust.append(trusts)
+            filled.append(bool(text))
+        return pa.table({**{c: rows.column(c) for c in kept}, "filled": pa.array(filled, pa.bool_()), "trusted": pa.array(trust, pa.bool_()), "perplexity": pa.array(out, pa.float64())})
+
+    none = F.lit(-1)
+    known = steps.select("chunk", F.col("gram").alias("key"), "s0", "s1").unionByName(trusted.select("chunk", F.col("row").alias("key"), none.alias("s0"), none.alias("s1")))
+    left = chunks.select("chunk", "row", "fold", *kept, *([] if carried else ["text"])).groupBy("chunk")
+    return left.cogroup(known.groupBy("chunk")).applyInArrow(measure, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", filled boolean, trusted boolean, perplexity double")
+
+
+def measured(docs: DataFrame, labels: DataFrame, own: Column, carry_text: bool, id_col: str, text_col: str, lang_col: str, chunk: int = CHUNK) -> DataFrame:
+    """A written table (own, lang, filled, trusted, perplexity, text if carried) of all rows."""
+    chunks, name = in_chunks(docs, own, id_col, text_col, lang_col, chunk)
+    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    # the identifiers grow with the documents, so both sides are shuffled at every size; no text is
+    trusted = cut(chunks.select("chunk", "row", "id").join(ids.hint("merge"), "id", "left_semi").select("chunk", "row"))
+    counted = cut(count_grams(chunks, trusted))
+    total = counted.agg(*[F.coalesce(F.sum(f"n{f}"), F.lit(0)).alias(f"n{f}") for f in _FOLDS]).first()
+    if total["n0"] or total["n1"]:
+        n = [F.col("n0"), F.col("n1")] if total["n0"] and total["n1"] else [F.col("n0") + F.col("n1")] * 2
+        tables = orders(counted.where("n0 + n1 > 0").groupBy("gram").agg(*[F.sum(n[f]).alias(f"n{f}") for f in _FOLDS]))
+        p = cut(probabilities(cut(counted.select("gram").distinct()), tables))
+        step = [F.rint(F.log(f"p{f}") * -STEPS).cast("int").alias(f"s{f}") for f in _FOLDS]
+        steps = counted.select("chunk", "gram").join(p.select("gram", *step), "gram")
+    else:
+        steps = counted.select("chunk", "gram", F.lit(0).alias("s0"), F.lit(0).alias("s1")).where("false")
+    out = cut(_measure(chunks, trusted, steps, carry_text))
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return out
+
+
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, lang_col: str = "lang") -> tuple[DataFrame, float | None]:
+    """(lang, q) by language, and a number over all: quantiles of the perplexity of rows marked trusted, equal in every run.
 
     Rows are counted in bins a ten-thousandth wide, and the quantile is the greatest perplexity of the bin it falls in.
     """
@@ -215,43 +250,30 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, lang_col: str = "l
     per = Window.partitionBy("lang")
     ranked = bins.withColumn("n", F.sum("c").over(per)).withColumn("upto", F.sum("c").over(per.orderBy("bin")))
     found = ranked.where(F.col("upto") >= F.ceil(F.col("n") * F.lit(quantile))).groupBy("lang").agg(F.max("n").alias("n"), F.min("top").alias("q"))
-    found = found.where((F.col("n") >= LEAST) | F.col("lang").isNull())
-    got = found.orderBy(F.col("lang").isNotNull(), F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
-    return {r["lang"]: r["q"] for r in got if r["lang"] is not None}, next((r["q"] for r in got if r["lang"] is None), None)
-
-
-def limit_of(by_lang: dict[str, float], overall: float | None, lang_col: str = "lang") -> Column:
-    """The threshold of a row's language."""
-    rest = F.lit(overall).cast("double")
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in by_lang.items() for x in kv]), F.col(lang_col)), rest) if by_lang else rest
+    found = cut(found.where((F.col("n") >= LEAST) | F.col("lang").isNull()).select("lang", "q"))
+    rest = found.where("lang is null").first()
+    return found.where("lang is not null"), rest["q"] if rest else None
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Identifiers of the rows labelled as good, each once."""
-    return cut(labels.where("quality = 1").select(F.col("doc_id").alias(id_col)).distinct())
+def judged(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The rows with their threshold and whether they stay."""
+    by_lang, overall = thresholds(scored, quantile)
+    limit = F.coalesce("q", F.lit(overall).cast("double"))
+    keep = F.col("filled") & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
+    return scored.join(by_lang, "lang", "left").withColumn("threshold", limit).withColumn("keep", keep).drop("q")
 
 
-def assess(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+           chunk: int = CHUNK) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) for every row."""
-    ids = trusted_ids(labels, "trusted_id")
-    marked = docs.select(F.col(id_col).alias("trusted_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = fit(join_ids(marked, ids, "trusted_id", "left_semi"))
-    scored = cut(marked.select("trusted_id", "lang", perplexity(marked, model).alias("perplexity"), (F.length("text") > 0).alias("filled")))
-    scored = join_ids(scored, ids.withColumn("trusted", F.lit(True)), "trusted_id", "left")
-    limit = limit_of(*thresholds(scored, quantile))
-    keep = F.coalesce("filled", F.lit(False)) & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
-    return scored.select(F.col("trusted_id").alias("doc_id"), "lang", "perplexity", limit.alias("threshold"), keep.alias("keep"))
+    scored = measured(docs, labels, F.col(id_col), False, id_col, text_col, lang_col, chunk)
+    return judged(scored, quantile).select(F.col("own").alias("doc_id"), "lang", "perplexity", "threshold", "keep")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+              chunk: int = CHUNK) -> DataFrame:
     """The rows that stay, with their own columns."""
-    ids = trusted_ids(labels, id_col)
-    trusted = join_ids(docs, ids, id_col, "left_semi")
-    model = fit(trusted, text_col)
-    scored = trusted.select(F.col(lang_col).alias("lang"), perplexity(docs, model, text_col).alias("perplexity"), F.lit(True).alias("trusted"))
-    limit = limit_of(*thresholds(cut(scored), quantile), lang_col)
-    name = "perplexity"
-    while name in docs.columns:
-        name += "_"
-    keep = F.coalesce(F.length(text_col) > 0, F.lit(False)) & F.coalesce(F.col(name) <= limit, F.lit(True))
-    return docs.withColumn(name, perplexity(docs, model, text_col)).where(keep).drop(name)
+    others = [c for c in docs.columns if c != text_col]
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("any"))
+    scored = measured(docs, labels, own, True, id_col, text_col, lang_col, chunk)
+    return judged(scored, quantile).where("keep").select(*[F.col("text").alias(c) if c == text_col else F.col(f"own.c{others.index(c)}").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from evidentia.llm import fingerprints, kneser_ney, language, lengths, mixing, packing, preferences, simhash, tokens, topk, toxicity
+from evidentia.llm import fingerprints, language, lengths, mixing, packing, preferences, simhash, tokens, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, rank int, perplexity string, row string"
 EN, DE = "the of and tion ing er on at".split(), "der die und ung ein sch keit zu".split()
@@ -129,16 +129,6 @@ def test_top_k_is_exact(spark):
     assert len(got) == 40 and topk.top_k(table.limit(0)).count() == 0
 
 
-def test_quality_model_sums_to_one_and_rejects_signs(docs, labels, empty):
-    model = kneser_ney.fit(docs.where("text is not null"))
-    assert np.allclose(model.probabilities().reshape(-1, 64).sum(1), 1, atol=1e-3)
-    assert model.perplexity("the## of%% and$$") > 2 * model.perplexity("the of and")
-    rows = {(r.doc_id, r.perplexity): r.keep for r in kneser_ney.assess(docs, labels).collect()}
-    assert [k for (i, _), k in rows.items() if i in (901, 902)] == [False, False]
-    assert sum(rows.values()) > 0.8 * len(rows)
-    assert kneser_ney.keep_good(docs, labels).columns == docs.columns
-    assert kneser_ney.assess(empty, labels).count() == 0
-
 
 def test_language(docs, empty):
     rows = language.identify(docs).collect()
@@ -246,20 +236,6 @@ def test_karmarkar_karp_uses_each_once_and_balances():
         assert len(sums) == ways and max(sums) - min(sums) <= 20
 
 
-def test_thresholds_are_the_counted_quantile(spark):
-    rng = np.random.default_rng(5)
-    rows = [("ab"[i % 2] if i % 7 else None, float(x), True) for i, x in enumerate(rng.lognormal(2, 0.5, 3000))] + [("c", 2.0, True), ("a", 1e9, False)]
-    scored = spark.createDataFrame(rows, "lang string, perplexity double, trusted boolean")
-    by_lang, overall = kneser_ney.thresholds(scored, 0.9)
-
-    def plain(lang):
-        xs = sorted(p for g, p, t in rows if t and (lang is None or g == lang))
-        return xs[int(np.ceil(len(xs) * 0.9)) - 1]
-
-    assert set(by_lang) == {"a", "b"} and all(plain(g) <= q < plain(g) * 1.0002 for g, q in by_lang.items())
-    assert plain(None) <= overall < plain(None) * 1.0002
-    assert kneser_ney.thresholds(scored.repartition(7), 0.9) == (by_lang, overall)
-
 
 def test_added_tokens_in_texts(spark):
     from tokenizers import Tokenizer
@@ -322,11 +298,3 @@ def test_the_stage_drops_near_copies(spark):
     rows = [(0, " ".join(words))] + [(n, " ".join(w if i % 50 != n else "changed" for i, w in enumerate(words))) for n in range(1, 6)] + [(9, " ".join(words[::-1]))]
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()} == {0, 9}
-
-
-def test_identifiers_are_joined_by_one_plan_at_every_size(docs, labels):
-    from evidentia.llm.common import join_ids
-
-    joined = join_ids(docs, kneser_ney.trusted_ids(labels), "doc_id", "left_semi")
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
