@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.storage import new_folder, saved
+
+__all__ = ["WORD", "crc_of", "cut", "free_name", "new_folder", "share_of", "table", "words_in"]
+
+#: Write a table to the shared folder and read it back: later steps don't recompute it if executors are lost.
+cut = saved
+
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return in it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,28 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode a temporary folder where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.gettempdir() + "/evidentia-checkpoints"
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps don't recompute it if executors are lost."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until the table has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -2,11 +2,12 @@
 
 Every language has a codeword; a binary classifier on letter n-grams predicts each bit.  The language whose codeword
 loses least is chosen, each bit weighed by how well it does for that language; a second one nearly as close makes the
-answer ambiguous.  Learning takes a bounded sample: at most about SAMPLE rows in all (at least LEAST a language), over at
-most LANGUAGES languages; prediction covers every row.
+answer ambiguous.  Learning takes a bounded sample: at most SAMPLE rows in all, or LEAST a language where there are so
+many languages, of every language there is; the driver holds 8 KB a sampled row.  Prediction covers every row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no labelled row everything is
-``und``; repeated rows get equal answers; an empty table gives none.
+``und``; rows that repeat an identifier or a text take their places in the sample like others; repeated rows get equal
+answers; a null doc_id is not held out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import crc_of, share_of
 
-SAMPLE, LEAST, LANGUAGES = 3000, 20, 512
+SAMPLE, LEAST = 3000, 20
 BUCKETS = 2048
 #: Of the losses of two codewords; nearer than this is ambiguous.
 GAP = 0.02
@@ -110,12 +112,13 @@ class LanguageModel:
 
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """Learn from the usable rows that have a language."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("place"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(LEAST, sample // len(counts))
-    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
+    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * each / n)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +127,11 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "do
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found]), pa.array([x for _, x in found], pa.binary())], names=["lang", "x"])
 
-    chosen = rows.where(share_of(F.col(id_col)) < F.element_at(shares, F.col(lang_col)))
-    got = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, x binary").collect()
+    # a share of about half as many again as are wanted, of which the first of each language are taken exactly
+    near = rows.where(share_of(F.col("place")) < F.element_at(shares, F.col("lang")))
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
+    got = chosen.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))

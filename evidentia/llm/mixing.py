@@ -2,38 +2,48 @@
 
 Each document i of source s gets a rate r_i, as near 1 in Kullback-Leibler distance as the token constraint
 sum(r_i * size_i) = target_s allows, and at most MOST.  The solution is r_i = min(MOST, exp(lambda_s * x_i)) with x_i the
-document's size over its source's mean, and lambda_s minimises a convex dual.  Newton steps, kept inside a bracket,
-solve all duals at once: each step is one aggregation by source over (source, size) cells, whose masses are summed
-beforehand.  Rates become copies by systematic rounding: in groups of about GROUP documents of a source, ordered by
-size, a document gets the integers that the running sum of rates passes.  A few further rounds then add or take away, in
-each source, the one copy that brings its sum nearest the target.
+document's size over its source's mean, and lambda_s minimises a convex dual.  Newton steps, kept inside a bracket that
+is sure to hold the solution, solve all duals at once: each step is one aggregation by source over (source, size) cells,
+whose masses are summed beforehand, in whole numbers so that the order of the rows can't show.  Steps go on until every
+source has settled or its bracket can't be halved any more.
+
+Rates become copies by systematic rounding: in groups of about GROUP documents of a source, ordered by size, a document
+gets the integers that the running sum of rates passes.  What a source's sum is then off its target is mended size by
+size, largest first: of each size as many documents gain or lose one copy as fit in what is still missing.  One pass
+over the small table of sizes decides how many, and the rows are rewritten once (again only where rows can take a second
+step).
 
 Defined results: a null text has size 0 and is not taken; a null source is a source of its own, after all others;
-repeated rows are separate documents; sizes of 0 throughout give targets of 0; an empty table gives none.
+repeated rows are separate documents; null identifiers are identifiers like others; sizes of 0 throughout give targets
+of 0; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, share_of, words_in
+from .common import cut, free_name, share_of, words_in
 
 WEIGHTS, TOTAL, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-GROUP, STEPS, ROUNDS, NEAR = 2000, 40, 8, 1e-7
+GROUP, NEAR = 2000, 1e-9
+#: Parts of a word in which sums over cells are counted.
+PARTS = 1024.0
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """The rows with their rank from 0 over the whole table, by ranges, without one task for all."""
+    part, at, n, start = (free_name(df, c) for c in ("part", "at", "n", "start"))
     placed = cut(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("__part", F.spark_partition_id())
-        .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    return placed.join(starts, "__part").withColumn("rank", F.col("__start") + F.col("__at")).drop("__part", "__at", "__n", "__start")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part).agg(F.count("*").alias(n)).withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    return placed.join(starts, part).withColumn("rank", F.col(start) + F.col(at)).drop(part, at, n, start)
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -56,60 +66,101 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: flo
     return cut(rows.select("source", "source_size", "docs", F.least(F.col("cap"), level * F.col("weight")).alias("target")))
 
 
-def solve(cells: DataFrame, goals: DataFrame, most: float = MOST, steps: int = STEPS, near: float = NEAR) -> DataFrame:
+def solve(cells: DataFrame, goals: DataFrame, most: float = MOST, near: float = NEAR) -> DataFrame:
     """(source, lam): multipliers under which the cells (source, x, mass) come to the goals (source, target, source_size)."""
-    state = cut(goals.select("source", "target", (F.col("target") >= most * F.col("source_size")).alias("full"), F.lit(0.0).alias("lam"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi")))
-    for _ in range(steps):
+    least = cells.groupBy(F.col("source").alias("s")).agg(F.min("x").alias("x"))
+    ratio = F.col("target") / F.col("source_size")
+    # at lo no rate exceeds target / size, and at hi every rate is at its most
+    state = cut(
+        goals.join(least, F.col("source").eqNullSafe(F.col("s")))
+        .select("source", "target", (ratio >= most).alias("full"), F.lit(0.0).alias("lam"), F.least(F.lit(0.0), F.log(ratio) / F.col("x")).alias("lo"),
+                (F.log(F.lit(most)) / F.col("x")).alias("hi"))
+    )
+    whole = lambda c: F.sum(F.rint(c * PARTS).cast("decimal(38,0)")).cast("double") / PARTS
+    while True:
         rate = F.exp(F.col("lam") * F.col("x"))
         sums = (
             cells.join(state.select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("source")
-            .agg(F.sum(F.col("mass") * F.least(F.lit(most), rate)).alias("sum"), F.sum(F.when(rate < most, F.col("mass") * F.col("x") * rate).otherwise(0.0)).alias("slope"))
+            .agg(whole(F.col("mass") * F.least(F.lit(most), rate)).alias("sum"),
+                 whole(F.when(rate < most, F.col("mass") * F.col("x") * rate).otherwise(0.0)).alias("slope"))
         )
         over = F.col("sum") > F.col("target")
-        step = F.col("lam") - (F.col("sum") - F.col("target")) / F.col("slope")
-        inside = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
-        settled = F.col("full") | (F.abs(F.col("sum") - F.col("target")) <= near * F.greatest(F.col("target"), F.lit(1.0)))
+        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
+        step = F.when(F.col("slope") > 0, F.col("lam") - (F.col("sum") - F.col("target")) / F.col("slope"))
+        middle = (lo + hi) / 2
+        settled = F.col("full") | (F.abs(F.col("sum") - F.col("target")) <= F.greatest(near * F.col("target"), F.lit(1 / PARTS))) | (middle <= lo) | (middle >= hi)
         state = cut(
             state.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("lam"))).withColumn("hi", F.when(over, F.col("lam")).otherwise(F.col("hi")))
-            .select("source", "target", "full", F.when(settled, F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"), "lo", "hi", settled.alias("settled"))
+            .select("source", "target", "full", F.when(settled, F.col("lam")).when((step > lo) & (step < hi), step).otherwise(middle).alias("lam"),
+                    lo.alias("lo"), hi.alias("hi"), settled.alias("settled"))
         )
         if not state.where(~F.col("settled")).head(1):
-            break
+            return state.select("source", F.when(F.col("full"), F.lit(float("inf"))).otherwise(F.col("lam")).alias("lam"))
         state = state.drop("settled")
-    return state.select("source", F.when(F.col("full"), F.lit(float("inf"))).otherwise(F.col("lam")).alias("lam"))
-
-
-def round_copies(rows: DataFrame, goals: DataFrame, most: int = int(MOST), group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """The rows (row, doc_id, source, size, rate, docs) with whole copies that come near the goals."""
-    groups = F.greatest(F.lit(1), F.ceil(F.col("docs") / group))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), groups))
-    w = Window.partitionBy("source", "salt").orderBy("size", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    sums = salted.withColumn("to", F.sum("rate").over(w) + share_of(F.concat_ws("/", "source", "salt")))
-    base = cut(sums.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(most), F.floor("to") - F.floor(F.col("to") - F.col("rate")))))).select("row", "doc_id", "source", "size", F.col("copies").cast("long").alias("copies")))
-    state = base
-    for _ in range(rounds):
-        gaps = goals.join(state.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("now")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", (F.col("target") - F.col("now")).alias("gap"))
-        gaps = cut(gaps)
-        sign = F.signum("gap").cast("long")
-        left = F.abs(F.abs("gap") - F.col("size"))
-        fits = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (left < F.abs("gap"))
-        moves = cut(
-            state.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(fits)
-            .groupBy("source").agg(F.min(F.struct(left.alias("left"), "doc_id", "row", sign.alias("sign"))).alias("m"))
-            .select(F.col("m.row").alias("row"), F.col("m.sign").alias("sign"))
-        )
-        if not moves.head(1):
-            break
-        state = cut(state.join(moves, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign"))
-    return state
+
+
+def moves_by_size(cells: pd.DataFrame) -> pd.DataFrame:
+    """For one source's cells (size, count, gap): how many documents of each size move, largest first, while they fit in
+    the gap; and one more of the size that then brings the sum nearest, if any does."""
+    cells = cells.sort_values("size", ascending=False, ignore_index=True)
+    left, taken = abs(float(cells["gap"].iloc[0])), []
+    for size, count in zip(cells["size"].tolist(), cells["count"].tolist(), strict=True):
+        n = min(count, int(left // size))
+        taken.append(n)
+        left -= n * size
+    cells["n"] = taken
+    free = cells[cells["n"] < cells["count"]]
+    if len(free):
+        best = (free["size"] - left).abs().idxmin()
+        if abs(free["size"][best] - left) < left:
+            cells.loc[best, "n"] += 1
+    return cells.loc[cells["n"] > 0, ["source", "size", "n"]]
+
+
+def _salt(groups: Column) -> Column:
+    """Deals rows of equal standing by what they are; of identical rows, and only of these where they are many, by number."""
+    return F.pmod(F.xxhash64("doc_id", "mark", F.when(F.col("many"), F.col("row"))), groups)
+
+
+def round_copies(rows: DataFrame, goals: DataFrame, most: int = int(MOST), group: int = GROUP) -> DataFrame:
+    """(row, copies) for the rows (row, doc_id, mark, many, source, size, rate, docs): whole copies that come near the goals."""
+    salted = rows.withColumn("salt", _salt(F.greatest(F.lit(1), F.ceil(F.col("docs") / group))))
+    w = Window.partitionBy("source", "salt").orderBy("size", "doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, 0)
+    to = F.sum("rate").over(w) + share_of(F.concat_ws("/", "source", "salt"))
+    whole = F.greatest(F.lit(0), F.least(F.lit(most), F.floor("to") - F.floor(F.col("to") - F.col("rate"))))
+    state = cut(salted.withColumn("to", to).select("row", "doc_id", "mark", "many", "source", "size", F.when(F.col("size") == 0, 0).otherwise(whole).cast("long").alias("copies")))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    while True:
+        now = state.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("copies")).alias("now"))
+        gaps = cut(goals.join(now, same).select("s", (F.col("target") - F.col("now")).alias("gap")))
+        can = (F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)) & (F.col("size") > 0) & (F.col("gap") != 0)
+        able = state.join(gaps, same).drop("s").where(can)
+        cells = able.groupBy("source", "size").agg(F.count("*").alias("count"), F.first("gap").alias("gap"))
+        chosen = cut(cells.groupBy("source").applyInPandas(moves_by_size, "source string, size long, n long"))
+        if not chosen.head(1):
+            return state.select("row", "copies")
+        # the first n rows of a size: whole salted groups, then a part of one
+        chosen = chosen.toDF("s", "its_size", "n")
+        mine = able.join(chosen, same & (F.col("size") == F.col("its_size"))).drop("s", "its_size")
+        counts = mine.groupBy("source", "size").agg(F.count("*").alias("count")).toDF("s", "its_size", "count")
+        mine = cut(mine.join(counts, same & (F.col("size") == F.col("its_size"))).drop("s", "its_size").withColumn("salt", _salt(F.ceil(F.col("count") / group))))
+        before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        starts = mine.groupBy("source", "size", "salt").agg(F.count("*").alias("c")).select(
+            F.col("source").alias("s"), F.col("size").alias("its_size"), F.col("salt").alias("its_salt"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+        place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id", "mark", "row"))
+        moved = mine.withColumn("place", place).join(starts, same & (F.col("size") == F.col("its_size")) & (F.col("salt") == F.col("its_salt")))
+        moved = moved.where(F.col("start") + F.col("place") <= F.col("n")).select("row", F.signum("gap").cast("long").alias("sign"))
+        state = cut(state.join(moved, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, doc_id, size, source_size, target, rate, copies, taken) for every row."""
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")))
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None) -> DataFrame:
+    """(row, doc_id, size, source_size, target, rate, copies, taken) for every row; ``row`` numbers the rows."""
+    sized = cut(docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(id_col).alias("doc_id"),
+                            F.xxhash64(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")))
+    many = sized.groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("m")).agg(F.count("*").alias("c")).where(F.col("c") > GROUP).drop("c")
+    sized = sized.join(many, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").withColumn("many", F.col("m").isNotNull()).drop("i", "m")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goals = targets(sources, weights, total, most)
     own = goals.withColumnRenamed("source", "s")
@@ -118,28 +169,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     cells = cut(joined.where("size > 0").groupBy("source", "x").agg(F.sum("size").cast("double").alias("mass")))
     lam = solve(cells, goals.where("source_size > 0"), most).withColumnRenamed("source", "s")
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.lit(most), F.exp(F.col("lam") * F.col("x"))))
-    rated = cut(joined.join(lam, F.col("source").eqNullSafe(F.col("s")), "left").select("row", "doc_id", "source", "size", "docs", F.coalesce(rate, F.lit(0.0)).alias("rate")))
+    rated = cut(joined.join(lam, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "row", "doc_id", "mark", "many", "source", "size", "docs", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate")))
     copies = round_copies(rated, goals, int(most))
-    out = copies.join(own.drop("docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return out.join(rated.select("row", "rate"), "row").withColumn("taken", F.col("size") * F.col("copies"))
+    return rated.join(copies, "row").select("row", "doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix with their own columns, each as often as it is taken."""
-    mixed = cut(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"))
-    docs = docs.withColumn("__id", F.col(id_col))
-    keys = ["__id"]
-    if mixed.groupBy("__id").count().where("count > 1").head(1):
-        # rows that repeat an identifier are told apart by source and size, then by number
-        docs = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))).withColumn("__size", words_in(F.col(text_col)))
-        w = Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(0))
-        docs, mixed = docs.withColumn("__n", F.row_number().over(w)), mixed.withColumn("__source", F.coalesce("__source", F.lit("\x00"))).withColumn("__n", F.row_number().over(w))
-        keys = ["__id", "__source", "__size", "__n"]
-    taken = mixed.where("copies > 0").select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("copies").alias("__copies"))
-    on = None
-    for k in keys:
-        part = F.col(k).eqNullSafe(F.col(f"{k}_"))
-        on = part if on is None else on & part
-    columns = [c for c in docs.columns if not c.startswith("__")]
+    row = free_name(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, row=F.col(row), **options).where("copies > 0").select(F.col("row").alias(row), "copies")
+    copies = free_name(rows, "copies")
     # what is taken grows with the documents, so both sides are shuffled at every size
-    return docs.join(taken.hint("merge"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    both = rows.join(cut(taken).toDF(row, copies).hint("merge"), row)
+    return both.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,13 +2,14 @@
 
 Documents are tokenised once, where they lie.  Each is cut at multiples of the capacity; what is left is cut into pieces
 of at most ``cut_to`` tokens, so that a window takes several pieces and comes out near-equal.  Only the pieces' lengths
-and checksums are shuffled, dealt by a hash of their place into groups of bounded size.  In a group of total length S the
+and checksums are shuffled, dealt by a hash of their row and place into groups of bounded size.  In a group of total length S the
 windows number ceil(S / capacity) at first; the differencing repeatedly takes the two partial partitions with the
 greatest imbalance and adds the larger windows of one to the smaller of the other; the number rises by one whenever a
 window exceeds the capacity.
 
-Defined results: a null or empty text has the end token alone; repeated rows are separate documents; an empty table
-gives no pieces.
+Defined results: a null or empty text has the end token alone; repeated rows are separate documents, told apart by
+``row_id``, a number of each row of the table; null identifiers stay null; extra columns are ignored; an empty table gives
+no pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ from .tokens import default_path, word_encoder
 CAPACITY, CUT_TO, END_ID = 2048, 512, 1
 #: Pieces in a group, about: enough for near-equal windows, few for one task.
 GROUP_PIECES = 4096
+_PIECE = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def karmarkar_karp(sizes: list[int], ways: int) -> list[list[int]]:
@@ -90,25 +91,25 @@ def pack_lengths(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cut_to: int = CUT_TO, end_id: int = END_ID,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): how each document's ids are cut, with the checksum of each piece."""
+    """(row_id, doc_id, start, length, ids_crc32, doc_tokens): how each document's ids are cut, with the checksum of each piece."""
     path = path or default_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for row_id, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "id", "text")), strict=True):
                 ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
                 full = len(ids) // capacity * capacity
                 starts = [*range(0, full, capacity), *range(full, len(ids), cut_to)]
                 for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
-                    rows.append((doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids)))
+                    rows.append((row_id, doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, _PIECE)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cut_to: int = CUT_TO, end_id: int = END_ID,
@@ -117,21 +118,20 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cut
     found = cut(pieces(docs, path, capacity, cut_to, end_id, id_col, text_col))
     groups = max(1, -(-found.count() // group_pieces))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "doc_tokens"], na_position="last").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy()
+    def place(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "row_id")])
+        lengths = group.column("length").to_numpy()
         whole = np.flatnonzero(lengths == capacity)
         rest = np.flatnonzero(lengths < capacity)
-        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
         sequence[whole] = np.arange(len(whole))
         for n, window in enumerate(pack_lengths(lengths[rest].tolist(), capacity) if len(rest) else []):
             at = rest[window]
             sequence[at] = len(whole) + n
             offset[at] = np.cumsum(lengths[at]) - lengths[at]
-        return pdf.assign(sequence_id=pdf["grp"].to_numpy(np.int64) * (1 << 32) + sequence, offset=offset)[
-            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        first = group.column("grp")[0].as_py() * (1 << 32)
+        return group.drop_columns(["grp"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
-    dealt = found.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    packed = dealt.withColumn("id_text", F.col("doc_id").cast("string")).drop("doc_id").withColumnRenamed("id_text", "doc_id").groupBy("grp").applyInPandas(
-        place, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
+    dealt = found.withColumn("grp", F.pmod(F.xxhash64("row_id", "start"), F.lit(groups)))
+    packed = dealt.groupBy("grp").applyInArrow(place, _PIECE + ", sequence_id long, offset long")
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id")

@@ -2,11 +2,12 @@
 
 Turns are compared by number, role and text.  The first turn at which the conversations differ, or that only one has,
 begins the completions.  A completion's mask lists the spans, as start-end in its code points, that are trained on: text
-and closing mark of the assistant's turns.
+and closing mark of the assistant's turns.  Turns are grouped once, into one array a conversation.
 
-Defined results: a null role or text counts as empty; turns that repeat a number are ordered by role and text, and
-compared as a list; equal conversations give two empty completions; a pair of which one side has no turn gives an empty
-prompt; extra columns are ignored; an empty table gives none.
+Defined results: a null role or text counts as empty; a null turn number comes first; turns that repeat a number are
+ordered by role and text, and compared as a list; equal conversations give two empty completions; a pair of which one
+side has no turn gives an empty prompt; rows without an identifier are ignored; extra columns are ignored; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+from .mixing import ranked
+
 CLOSE = "\n<|end|>\n"
 
 
@@ -21,11 +25,12 @@ def head_of(role: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
 
-def format_pairs(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant") -> DataFrame:
-    """Both sides have (pair_id, turn, role, text); gives one row a pair."""
-    clean = lambda df, side: df.select("pair_id", F.lit(side).alias("side"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = clean(chosen, 0).unionByName(clean(rejected, 1))
-    pairs = turns.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("turn", "role", "text")))).alias(n) for s, n in ((0, "a"), (1, "b"))])
+def _turn(number: Column) -> Column:
+    return F.struct(number.cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def format_arrays(pairs: DataFrame, trained: str = "assistant") -> DataFrame:
+    """From (pair_id, a, b), the turns of the chosen and the rejected side in order, one row a pair."""
     shorter = F.least(F.size("a"), F.size("b"))
     differs = F.filter(F.sequence(F.lit(1), shorter), lambda i: ~F.element_at("a", i).eqNullSafe(F.element_at("b", i)))
     first = F.when(shorter == 0, F.lit(1)).otherwise(F.coalesce(F.get(differs, F.lit(0)), shorter + 1))
@@ -53,13 +58,27 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, trained: str = "assista
         shown(rest("a")).alias("chosen"), shown(rest("b")).alias("rejected"), mask(rest("a")).alias("chosen_mask"), mask(rest("b")).alias("rejected_mask"))
 
 
-def exchange_last_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Preference data from plain conversations: each is preferred to itself with its last turn taken from its neighbour
-    (conv_id with the lowest bit changed); conversations without a neighbour give no pair."""
-    turns = conversations.where("conv_id is not null").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    swapped = last.alias("x").join(last.withColumn("other", F.col("pair_id").bitwiseXOR(F.lit(1))).select("other", F.col("last").alias("theirs")), F.col("pair_id") == F.col("other"))
-    swapped = swapped.select("pair_id", F.col("last.turn").alias("end"), F.col("theirs.role").alias("new_role"), F.col("theirs.text").alias("new_text"))
-    chosen = turns.join(swapped.select("pair_id"), "pair_id", "left_semi")
-    kept = turns.join(swapped, "pair_id").where("turn < end").select("pair_id", "turn", "role", "text")
-    return chosen, kept.unionByName(swapped.select("pair_id", F.col("end").alias("turn"), F.col("new_role").alias("role"), F.col("new_text").alias("text")))
+def format_pairs(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant") -> DataFrame:
+    """Both sides have (pair_id, turn, role, text); gives one row a pair."""
+    clean = lambda df, side: df.where("pair_id is not null").select("pair_id", F.lit(side).alias("side"), _turn(F.col("turn")).alias("t"))
+    turns = clean(chosen, 0).unionByName(clean(rejected, 1))
+    return format_arrays(turns.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t")))).alias(n) for s, n in ((0, "a"), (1, "b"))]), trained)
+
+
+def exchange_tails(conversations: DataFrame) -> DataFrame:
+    """Preference data (pair_id, a, b) from plain conversations (conv_id, turn, role, text): each is preferred to itself with
+    a tail of the next conversation (by ascending conv_id; after the last comes the first).  Of the n turns of a
+    conversation the first ``conv_id mod n`` stay, then come the next one's turns from that place on, if it has so many.
+    Turns are numbered by their place."""
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), _turn(F.col("turn")).alias("t"))
+    ordered = turns.groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias("own"))
+    placed = F.transform("own", lambda t, i: F.struct(i.cast("long").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+    whole = cut(ordered.select("pair_id", placed.alias("own")))
+    ids = ranked(whole.select("pair_id"), F.col("pair_id")).select("pair_id", "rank")
+    count = ids.count()
+    after = ids.select(F.col("pair_id").alias("next_id"), F.pmod(F.col("rank") - 1, F.lit(max(count, 1))).alias("rank"))
+    pairs = ids.join(after, "rank").select("pair_id", "next_id")
+    both = whole.join(pairs, "pair_id").join(whole.select(F.col("pair_id").alias("next_id"), F.col("own").alias("theirs")), "next_id")
+    keep = F.pmod("pair_id", F.size("own")).cast("int")
+    tail = F.slice(F.col("theirs"), keep + 1, F.greatest(F.size("theirs") - keep, F.lit(0)))
+    return both.select("pair_id", F.col("own").alias("a"), F.concat(F.slice(F.col("own"), F.lit(1), keep), tail).alias("b"))

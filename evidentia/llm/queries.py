@@ -38,7 +38,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.format_pairs(*preferences.exchange_last_turns(table(spark, sf_dir, "conversations")))
+    return preferences.format_arrays(preferences.exchange_tails(table(spark, sf_dir, "conversations")))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,23 +62,27 @@ ORACLES = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_chat_formatting": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-        e AS (SELECT conv_id, max(turn) AS last FROM t GROUP BY conv_id),
-        f AS (SELECT t.* FROM t JOIN e ON t.conv_id = e.conv_id AND t.turn = e.last),
-        p AS (SELECT a.conv_id AS pair_id, a.turn AS last, b.role AS new_role, b.text AS new_text
-              FROM f a JOIN f b ON b.conv_id = xor(a.conv_id, 1)),
-        both_ends AS (SELECT p.*, f.role, f.text, (f.role = new_role AND f.text = new_text) AS same FROM p JOIN f ON f.conv_id = p.pair_id),
-        pre AS (SELECT t.conv_id AS pair_id, count(*) AS n,
-                       string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn) AS s
-                FROM t JOIN p ON p.pair_id = t.conv_id WHERE t.turn < p.last GROUP BY t.conv_id),
-        x AS (SELECT both_ends.*, coalesce(n, 0) AS n, coalesce(s, '') AS s,
-                     '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS own,
-                     '<|' || new_role || '|>' || chr(10) || new_text || chr(10) || '<|end|>' || chr(10) AS new
-              FROM both_ends LEFT JOIN pre USING (pair_id))
-        SELECT pair_id, CAST(n + CASE WHEN same THEN 1 ELSE 0 END AS BIGINT) AS n_prompt_turns,
-               CASE WHEN same THEN s || own ELSE s END AS prompt,
-               CASE WHEN same THEN '' ELSE own END AS chosen, CASE WHEN same THEN '' ELSE new END AS rejected,
-               CASE WHEN NOT same AND role = 'assistant' THEN (length(role) + 5) || '-' || length(own) ELSE '' END AS chosen_mask,
-               CASE WHEN NOT same AND new_role = 'assistant' THEN (length(new_role) + 5) || '-' || length(new) ELSE '' END AS rejected_mask
-        FROM x""",
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+        p AS (SELECT conv_id, n, ((conv_id % n) + n) % n AS keep,
+                     coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM n),
+        r AS (SELECT t.conv_id, i, role, text FROM t JOIN p USING (conv_id) WHERE i < keep
+              UNION ALL SELECT p.conv_id, i, role, text FROM p JOIN t ON t.conv_id = p.next_id WHERE i >= keep),
+        m AS (SELECT p.conv_id, n, (SELECT count(*) FROM r WHERE r.conv_id = p.conv_id) AS n2 FROM p),
+        d AS (SELECT a.conv_id, min(a.i) AS i FROM t a JOIN r b ON a.conv_id = b.conv_id AND a.i = b.i AND (a.role <> b.role OR a.text <> b.text) GROUP BY a.conv_id),
+        f AS (SELECT m.conv_id, coalesce(d.i, least(n, n2)) AS first FROM m LEFT JOIN d ON d.conv_id = m.conv_id),
+        s AS (SELECT 0 AS side, * FROM t UNION ALL SELECT 1, * FROM r),
+        u AS (SELECT side, s.conv_id, i, i < first AS early, role, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS own FROM s JOIN f ON f.conv_id = s.conv_id),
+        w AS (SELECT *, sum(length(own)) OVER (PARTITION BY side, conv_id, early ORDER BY i) AS till FROM u),
+        g AS (SELECT conv_id, string_agg(own, '' ORDER BY i) FILTER (WHERE side = 0 AND early) AS prompt,
+                     string_agg(own, '' ORDER BY i) FILTER (WHERE side = 0 AND NOT early) AS chosen,
+                     string_agg(own, '' ORDER BY i) FILTER (WHERE side = 1 AND NOT early) AS rejected,
+                     string_agg((till - length(own) + length(role) + 5) || '-' || till, ',' ORDER BY i) FILTER (WHERE side = 0 AND NOT early AND role = 'assistant') AS m0,
+                     string_agg((till - length(own) + length(role) + 5) || '-' || till, ',' ORDER BY i) FILTER (WHERE side = 1 AND NOT early AND role = 'assistant') AS m1
+              FROM w GROUP BY conv_id)
+        SELECT f.conv_id AS pair_id, CAST(first AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen,
+               coalesce(rejected, '') AS rejected, coalesce(m0, '') AS chosen_mask, coalesce(m1, '') AS rejected_mask
+        FROM f JOIN g ON g.conv_id = f.conv_id""",
 }

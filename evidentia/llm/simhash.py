@@ -8,7 +8,8 @@ these places, at most 33 distinct ones can meet there, and any two that meet dif
 are exact too, and each costs rows in proportion to its fingerprints.  Distinct fingerprints are linked, not documents.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows and equal texts fall
-in one component; an empty table gives none.
+in one component; a null doc_id stays null and names no component, unless a component has no other; an empty table gives
+none.
 """
 
 from __future__ import annotations
@@ -110,20 +111,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id, links): each document's component is named by its smallest doc_id, and links
-    counts the other fingerprints that the linking step joined to its own."""
+    """(doc_id, fingerprint, component_id): each document's component is named by its smallest doc_id."""
     prints = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     edges = cut(links(fps.select("fp"), hot))
     labels = components(fps, edges) if edges.head(1) else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    classes = cut(
-        fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
-        .select("fp", "first", F.coalesce("label", "fp").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    )
+    classes = cut(fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     named = cut(classes.groupBy("label").agg(F.min("first").alias("component_id")))
-    classes = cut(classes.join(named, "label").select("fp", "links", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    classes = cut(classes.join(named, "label").select("fp", "component_id"))
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:

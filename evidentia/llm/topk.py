@@ -1,52 +1,72 @@
 """Exact top-k by integer inner product with Fagin's threshold algorithm.
 
-Candidates are dealt into blocks of about BLOCK rows and queries into blocks of about QUERIES rows; every query block
-meets every candidate block once, and each such pair is one group.  A group keeps one sorted list of its candidates for
-every dimension and reads the lists from both ends in rounds.  The values last read bound the score of whatever is still
-unread; a query stops when its kth score exceeds that bound.  The k best of each block are then ranked for each query.
-
-Defined results: vectors that are null, or hold null or non-finite components, or components beyond 2**52 after scaling,
-take no part; a query never meets a row with its own identifier; ties go to the smaller identifier; fewer candidates
-than k give as many rows; an empty table gives none.
+Candidates are dealt into blocks of at most about CANDIDATES rows and queries into blocks of about QUERIES rows; every
+query block meets every candidate block once, and each such pair is one group.  A group takes its candidates LISTS rows
+at a time, keeps one sorted list of them for every dimension and reads the lists from both ends in rounds.  The values
+last read bound the score of whatever is still unread; a query stops when its kth score exceeds that bound.  The k best of
+each block are then ranked for each query.  Vectors travel as they are stored, and are scaled where they meet.
+
+Defined results: vectors that are null, or hold null or non-finite components, take no part; null identifiers neither; any
+finite component counts, and a score beyond the 64 bits of its column is held at their end; a query meets vectors of its
+own length only (two empty ones score 0) and never a row with its own identifier; ties go to the smaller identifier; rows
+that repeat an identifier are candidates each, and as queries share one ranking; fewer candidates than k give as many
+rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from .common import cut
 
-BLOCK, QUERIES, K, SCALE = 2048, 4096, 10, 1024.0
+CANDIDATES, QUERIES, LISTS, K, SCALE = 65_536, 32_768, 2048, 10, 1024
+_LONG = (1 << 63) - 1
 
 
-def integers(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE) -> DataFrame:
-    """(vec_id, v) with v the floor of each scaled component, for vectors that are whole and finite."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= 2.0**42))
-    return table.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, v, width) for the vectors that are whole and finite."""
+    kind = table.schema[vector_col].dataType
+    v = F.col(vector_col) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(vector_col).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return table.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(
+        F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("width"))
+
+
+def integers(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The floors of the scaled components: doubles where these are exact, else Python's whole numbers."""
+    x = vectors.astype(np.float64)
+    if float(np.abs(x).max(initial=0)) * scale < 2.0**53:
+        return np.floor(x * scale)
+    big = np.array([int(np.floor(c * scale)) if abs(c) * scale < 2.0**53 else int(c) * scale for c in x.ravel().tolist()], object)
+    return big.reshape(x.shape)
 
 
 def _dot(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles while every sum stays below 2**53, else in Python's whole numbers, held within long."""
-    if queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) < 2.0**53:
+    """Inner products held within a long: in doubles or longs while no sum can pass their bounds, else in whole numbers."""
+    most = queries.shape[1] * int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0))
+    if most < 1 << 53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    exact = queries.astype(object) @ rows.astype(object).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    if most <= _LONG:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    return np.clip(queries.astype(object) @ rows.astype(object).T, -_LONG - 1, _LONG).astype(np.int64)
 
 
 def threshold_top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, first_depth: int = 16) -> list[list[tuple[int, int]]]:
     """For each query its k best (score, row id); rows are in ascending order of row_ids."""
     n, width = rows.shape
+    if not width:
+        return [[(0, int(i)) for i in row_ids[row_ids != q][:k]] for q in query_ids]
     lists = np.argsort(rows, axis=0, kind="stable")
     best: list[list[tuple[int, int]]] = [[] for _ in queries]
     seen = np.zeros(n, bool)
     active = np.arange(len(queries))
     depth, low = first_depth, 0
-    positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
+    positive, negative = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
     while len(active) and low < n:
         depth = min(depth, n)
         heads = np.zeros(n, bool)
@@ -57,49 +77,61 @@ def threshold_top_k(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray
         if len(fresh):
             scores = _dot(queries[active], rows[fresh])
             for at, q in enumerate(active):
-                s = scores[at]
+                others = np.flatnonzero(row_ids[fresh] != query_ids[q])
+                s = scores[at][others]
                 if len(best[q]) >= k:
                     floor = best[q][k - 1][0]
-                elif len(fresh) > k + 1:
-                    floor = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                elif len(s) > k:
+                    floor = np.partition(s, len(s) - k)[len(s) - k]
                 else:
-                    floor = s.min()
+                    floor = s.min(initial=_LONG)
                 good = np.flatnonzero(s >= floor)
-                good = good[np.lexsort((row_ids[fresh[good]], -s[good]))][: k + 1]
-                mine = best[q] + [(int(s[i]), int(row_ids[fresh[i]])) for i in good if row_ids[fresh[i]] != query_ids[q]]
+                # ~s falls as s rises, and can't pass the bounds of a long
+                good = good[np.lexsort((row_ids[fresh[others[good]]], ~s[good]))][:k]
+                mine = best[q] + [(int(s[i]), int(row_ids[fresh[others[i]]])) for i in good]
                 best[q] = sorted(mine, key=lambda x: (-x[0], x[1]))[:k]
         if seen.all():
             break
         # no row that is still unread lies outside these ends of any list
-        top, bottom = rows[lists[n - depth], np.arange(width)], rows[lists[depth - 1], np.arange(width)]
-        bound = positive[active].astype(np.float64) @ top + negative[active].astype(np.float64) @ bottom
-        active = np.array([q for q, b in zip(active, bound, strict=True) if len(best[q]) < k or best[q][k - 1][0] <= b * (1 + 1e-9 * np.sign(b)) + 1], np.int64)
+        top, bottom = rows[lists[n - depth], np.arange(width)].astype(np.float64), rows[lists[depth - 1], np.arange(width)].astype(np.float64)
+        bound = positive[active] @ top + negative[active] @ bottom
+        active = np.array([q for q, b in zip(active, bound, strict=True) if len(best[q]) < k or not best[q][k - 1][0] > b * (1 + 1e-9 * np.sign(b)) + 1], np.int64)
         low, depth = depth, depth * 4
     return best
 
 
-def top_k(table: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE,
-          block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def top_k(table: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE,
+          block: int = CANDIDATES, query_block: int = QUERIES, lists: int = LISTS) -> DataFrame:
     """(query_id, rank, vec_id, score)."""
-    vectors = cut(integers(table, id_col, vector_col, scale))
-    widths = [r["w"] for r in vectors.select(F.size("v").alias("w")).distinct().limit(2).collect()]
-    if len(widths) > 1:
-        raise ValueError("vectors of different lengths have no inner product")
-    queries = vectors.where(is_query)
-    across, down = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // query_block))
-    cast = lambda n: F.sequence(F.lit(0), F.lit(n - 1)).cast("array<int>")
-    rows = vectors.select(F.lit(False).alias("q"), "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("c"), F.explode(cast(down)).alias("r"))
-    asks = queries.select(F.lit(True).alias("q"), "vec_id", "v", F.explode(cast(across)).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("int").alias("r"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, held = pdf[pdf["q"]], pdf[~pdf["q"]].sort_values("vec_id")
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = asked["vec_id"].to_numpy(np.int64)
-        found = threshold_top_k(np.stack(asked["v"].to_list()), ids, np.stack(held["v"].to_list()), held["vec_id"].to_numpy(np.int64), k)
-        flat = [(int(q), i, s) for q, best in zip(ids, found, strict=True) for s, i in best]
-        return pd.DataFrame(flat, columns=["query_id", "vec_id", "score"])
-
-    best = rows.unionByName(asks).groupBy("c", "r").applyInPandas(meet, "query_id long, vec_id long, score long")
+    vectors = cut(usable(table, id_col, vector_col))
+    sizes = vectors.agg(F.count("*").alias("n"), F.count_if(F.expr(is_query)).alias("q")).first()
+    # no fewer groups than there are shuffle partitions, while these hold some rows each
+    least = min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes["n"] // LISTS))
+    across, down = max(1, least, -(-sizes["n"] // block)), max(1, -(-sizes["q"] // query_block))
+    # rows that repeat an identifier are dealt by their vector too
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.select(F.lit(False).alias("asks"), "vec_id", "v", "width", deal(across).alias("c"), every(down).alias("r"))
+    asks = vectors.where(is_query).select(F.lit(True).alias("asks"), "vec_id", "v", "width", every(across).alias("c"), deal(down).alias("r"))
+
+    def matrix(part: pa.Table) -> np.ndarray:
+        flat = part.column("v").combine_chunks()
+        flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1 if len(part) and len(flat.flatten()) else 0)
+
+    def meet(group: pa.Table) -> pa.Table:
+        asked, held = group.filter(group.column("asks")), group.filter(pa.compute.invert(group.column("asks"))).sort_by("vec_id")
+        found: dict[int, list[list[tuple[int, int]]]] = {}
+        ids = asked.column("vec_id").to_numpy()
+        if len(asked) and len(held):
+            wanted = integers(matrix(asked), scale)
+            for at in range(0, len(held), lists):
+                part = held.slice(at, lists)
+                for n, best in enumerate(threshold_top_k(wanted, ids, integers(matrix(part), scale), part.column("vec_id").to_numpy(), k)):
+                    found[n] = sorted(found.get(n, []) + best, key=lambda x: (-x[0], x[1]))[:k]
+        flat = [(int(ids[n]), i, s) for n, best in found.items() for s, i in best]
+        return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*flat, strict=True)) or [[], [], []])], names=["query_id", "vec_id", "score"])
+
+    best = rows.unionByName(asks).groupBy("width", "c", "r").applyInArrow(meet, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

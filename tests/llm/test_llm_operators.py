@@ -111,6 +111,7 @@ def test_toxicity_learns_inflected_words_and_ignores_groups(spark, empty):
     shift = []
     for penalty in (0.0, 30.0):
         m = toxicity.fit(docs, marks, F.lit(True), penalty=penalty)
+        assert m.pairs == sum("muslim" in t for _, t, _ in rows if t)
         shift.append(abs(m.score("the muslim of") - m.score("the christian of")))
     assert shift[1] < shift[0] / 2
     assert toxicity.classify(empty, marks).count() == 0
@@ -121,7 +122,7 @@ def test_top_k_is_exact(spark):
     v = rng.normal(size=(350, 6)).round(1)
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(table, block=64, query_block=2).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(table, block=64, query_block=2, lists=32).collect()}
     x = np.floor(1024 * v).astype(int)
     for q in (0, 100, 200, 300):
         best = sorted(((-int(x[q] @ x[i]), i) for i in range(350) if i != q))[:10]
