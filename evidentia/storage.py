@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def new_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir (below a temporary folder in local mode where it is unset)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
@@ -22,5 +22,5 @@ def new_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """The table, written and read back."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
