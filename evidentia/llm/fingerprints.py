@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Runs shorter than K are noise; passages of K + WINDOW - 1 = 100 code points are certain to match.
 K, WINDOW = 32, 69
 _BASE = 0x9E3779B97F4A7C15
@@ -168,5 +170,6 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW, id_col:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+    short_batches()
     return with_following(docs, id_col, text_col).drop("at").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, new_folder
+from .common import cut, new_folder, short_batches
 
 ORDER, BITS = 4, 16
 #: Symbols of a chunk, about: what one task holds of texts at once.
@@ -41,7 +41,7 @@ CHUNK = 1 << 24
 STEPS = 2048
 QUANTILE, LEAST = 0.999, 50
 _FOLDS = (0, 1)
-_STRIDE = 1 << 20
+_STRIDE = 1 << 18
 
 
 def symbols(text: str) -> np.ndarray:
@@ -79,6 +79,7 @@ def in_chunks(docs: DataFrame, own: Column, id_col: str, text_col: str, lang_col
             done = int(ends[-1]) if len(ends) else done
             yield pa.RecordBatch.from_arrays([pa.array(first + ends // chunk, pa.int64()), *batch.columns], names=["chunk", *batch.schema.names])
 
+    short_batches()
     spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
     placed = rows.mapInArrow(place, "chunk long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -103,7 +104,7 @@ def count_grams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
                     counts[:, which] = n
                 found.append((keys, counts))
                 waiting[which], sizes[which] = [], 0
-            if sum(len(k) for k, _ in found) > 4 * _STRIDE and len(found) > 1:
+            if sum(len(k) for k, _ in found) > 3 * _STRIDE + len(found[0][0]):
                 merge()
 
         def merge() -> None:

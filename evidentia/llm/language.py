@@ -16,13 +16,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_of, share_of
+from .common import crc_of, share_of, short_batches, slices
 
 SAMPLE, LEAST = 3000, 20
 BUCKETS = 2048
@@ -122,7 +121,7 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, features(t)) for k, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            found = [(k, features(t)) for k, t in zip(batch.column("lang").to_pylist(), (t for some in slices(batch.column("text")) for t in some), strict=True)]
             found = [(k, x.astype(np.float32).tobytes()) for k, x in found if x is not None]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found]), pa.array([x for _, x in found], pa.binary())], names=["lang", "x"])
@@ -142,20 +141,21 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "do
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", gap: float = GAP) -> Column:
     """A column of struct(lang_pred, score, ambiguous)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    short_batches()
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def answer(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
+    def answer(texts: pa.Array) -> pa.Array:
+        m, at = shared.value, 0
         names, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        for at in range(0, len(texts) if m else 0, 1024):
-            found = [(at + i, x) for i, x in enumerate(map(features, texts.iloc[at : at + 1024])) if x is not None]
+        for some in slices(texts) if m else ():
+            found = [(at + i, x) for i, x in enumerate(map(features, some)) if x is not None]
             if found:
                 best, score, gaps = m.decode(np.stack([x for _, x in found]))
                 for (i, _), b, s, g in zip(found, best, score, gaps, strict=True):
                     names[i], scores[i], unsure[i] = m.names[b], s, g < gap
-        return pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": unsure})
+            at += len(some)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(unsure)], ["lang_pred", "score", "ambiguous"])
 
-    return answer(F.col(text_col))
+    return F.arrow_udf(answer, "lang_pred string, score double, ambiguous boolean")(F.col(text_col))
 
 
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -10,12 +10,12 @@ truncated totals of 0.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, per_text
 from .tokens import default_path, word_encoder
 
 SPAN = 64
@@ -25,11 +25,7 @@ def histogram(docs: DataFrame, path: str | None = None, text_col: str = "text")
     """(length, docs)."""
     path = path or default_path()
 
-    @F.pandas_udf("long")
-    def length(texts: pd.Series) -> pd.Series:
-        encoder = word_encoder(path)
-        return pd.Series([encoder.length(t) for t in texts], dtype="int64")
-
+    length = per_text(lambda t: word_encoder(path).length(t), "long", pa.int64())
     return docs.select(length(F.col(text_col)).alias("length")).groupBy("length").agg(F.count("*").alias("docs"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import cut, free_name, share_of, words_in
 
 WEIGHTS, TOTAL, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-GROUP, NEAR = 2000, 1e-9
+GROUP, NEAR = 2000, 1e-7
 #: Parts of a word in which sums over cells are counted.
 PARTS = 1024.0
 
@@ -89,7 +89,7 @@ def solve(cells: DataFrame, goals: DataFrame, most: float = MOST, near: float =
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
         step = F.when(F.col("slope") > 0, F.col("lam") - (F.col("sum") - F.col("target")) / F.col("slope"))
         middle = (lo + hi) / 2
-        settled = F.col("full") | (F.abs(F.col("sum") - F.col("target")) <= F.greatest(near * F.col("target"), F.lit(1 / PARTS))) | (middle <= lo) | (middle >= hi)
+        settled = F.col("full") | (F.abs(F.col("sum") - F.col("target")) <= F.greatest(near * F.col("target"), F.lit(0.5))) | (middle <= lo) | (middle >= hi)
         state = cut(
             state.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
             .select("source", "target", "full", F.when(settled, F.col("lam")).when((step > lo) & (step < hi), step).otherwise(middle).alias("lam"),

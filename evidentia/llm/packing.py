@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, short_batches, slices
 from .tokens import default_path, word_encoder
 
 CAPACITY, CUT_TO, END_ID = 2048, 512, 1
@@ -93,13 +93,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, doc_id, start, length, ids_crc32, doc_tokens): how each document's ids are cut, with the checksum of each piece."""
     path = path or default_path()
+    short_batches()
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in batches:
             rows = []
-            for row_id, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "id", "text")), strict=True):
+            for row_id, doc_id, text in zip(batch.column("row_id").to_pylist(), batch.column("id").to_pylist(), (t for some in slices(batch.column("text")) for t in some), strict=True):
                 ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
                 full = len(ids) // capacity * capacity
                 starts = [*range(0, full, capacity), *range(full, len(ids), cut_to)]

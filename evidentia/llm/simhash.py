@@ -15,12 +15,12 @@ none.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, per_text
 
 #: Keys with more fingerprints than this are handled by neighbours instead of pairs.
 HOT = 64
@@ -56,11 +56,11 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed long of the same 64 bits."""
 
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, width) for t in texts], np.uint64).view(np.int64))
+    def print_of(text: str | None) -> int:
+        found = simhash(text, width)
+        return found - (1 << 64) if found >> 63 else found
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), print_of(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), per_text(print_of, "long", pa.int64())(text_col).alias("fp"))
 
 
 def _keys() -> list[tuple[int, int]]:

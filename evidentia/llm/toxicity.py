@@ -18,12 +18,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, cut
+from .common import crc_of, cut, per_text
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_Z, WIDTH = 12_000, 3000, 4, 5.0, 5
 RIDGE, PENALTY = 3e-4, 1.0
@@ -209,11 +208,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Colu
     """A double column from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
-
-    return run(F.col(text_col))
+    return per_text(lambda t: shared.value.score(t), "double", pa.float64())(text_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

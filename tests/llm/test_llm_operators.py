@@ -264,8 +264,8 @@ def shingles_of(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("chunk", [64, 2])
-def test_near_copies_are_those_of_all_pairs(spark, chunk):
+@pytest.mark.parametrize("rounds", [4, 0])
+def test_near_copies_are_those_of_all_pairs(spark, rounds):
     from evidentia.llm import shingles
 
     rng = random.Random(4)
@@ -287,7 +287,7 @@ def test_near_copies_are_those_of_all_pairs(spark, chunk):
             label = [label[a] if x == label[b] else x for x in label]
     least = {x: min(i for i, y in enumerate(label) if y == x) for x in label}
     frame = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(3)
-    assert {r.n: r.component_id for r in shingles.near_copies(frame, "n", chunk=chunk).collect()} == {i: least[x] for i, x in enumerate(label)}
+    assert {r.n: r.component_id for r in shingles.near_copies(frame, "n", rounds=rounds).collect()} == {i: least[x] for i, x in enumerate(label)}
     assert len(least) < 0.7 * len(texts)
 
 
