@@ -178,9 +178,76 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0, by Stirling's series eight steps up."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    down = x
+    for i in range(1, 8):
+        down = down * (x + float(i))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(down)
+
+
 def binomial_p(k: Column, n: Column) -> Column:
-    """Exact two-sided p of the lesser count k among n at one half."""
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("sum"))
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), start,
-                       lambda s, i: F.struct((s["term"] * (n - i + 1) / i).alias("term"), (s["sum"] + s["term"] * (n - i + 1) / i).alias("sum")), lambda s: s["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p of the lesser count k among n at one half.
+
+    The tail is summed from its greatest term down; terms beyond some 40 standard deviations are nothing, so the sum is as
+    long as the root of n, and a count of millions neither underflows nor makes a long array."""
+    x, m = k.cast("double"), n.cast("double")
+    first = F.exp(log_gamma(m + 1) - log_gamma(x + 1) - log_gamma(m - x + 1) - m * F.log(F.lit(2.0)))
+    steps = F.least(k.cast("long"), F.ceil(F.sqrt(m) * 20) + 20)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * (x - i + 1) / (m - x + i)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    relative = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<bigint>")), start, step, lambda s: s["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * first * relative))
+
+
+def vote_probability(p: Column, k: Column) -> Column:
+    """Probability that at least k of independent events of these probabilities occur."""
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.size(p)))
+
+    def step(dist: Column, x: Column) -> Column:
+        return F.transform(dist, lambda d, i: d * (1 - x) + F.when(i > 0, F.get(dist, i - 1) * x).otherwise(0.0))
+
+    return F.aggregate(F.slice(F.aggregate(p, start, step), k + 1, F.size(p) + 1), F.lit(0.0), lambda a, x: a + x)
+
+
+#: File name rules, first that fits decides; the patterns are for the lower-case path.
+ARTIFACT_KINDS = [
+    ("python_test", r"(^|/)(tests?/.*|test_[^/]*|[^/]*_test)\.py$"), ("python_source", r"\.py$"), ("typescript_source", r"\.tsx?$"), ("javascript_source", r"\.(js|jsx|mjs|cjs)$"),
+    ("stylesheet", r"\.(css|scss|sass|less)$"), ("user_interface", r"\.html?$"),
+    ("dependency_manifest", r"(^|/)(pyproject\.toml|poetry\.lock|pdm\.lock|pipfile|pipfile\.lock|uv\.lock|setup\.cfg|requirements[^/]*|constraints[^/]*)$"),
+    ("ci_configuration", r"^\.github/workflows/|(^|/)(\.gitlab-ci\.yml|azure-pipelines\.yml|jenkinsfile)$"), ("container_or_deployment", r"(^|/)(dockerfile[^/]*|(docker-)?compose\.ya?ml)$"),
+    ("infrastructure", r"\.(tf|tfvars)$|k8s/|kubernetes/|manifests/|helm/templates/|(^|/)(configmap|cronjob|daemonset|deployment|ingress|job|namespace|secret|service|statefulset)\.ya?ml$"),
+    ("api_or_data_schema", r"(openapi|swagger)[^/]*$|\.schema\.json$|\.(proto|graphql|graphqls|avsc)$|(^|/)asyncapi[^/]*$"), ("database_schema_or_migration", r"migration|\.sql$"),
+    ("documentation", r"\.(md|rst|adoc|txt)$"), ("static_analysis_result", r"\.sarif$|sarif\.json$"), ("coverage_result", r"coverage[^/]*\.(json|xml|lcov)$"), ("test_result", r"junit[^/]*$|test-result|test_result"),
+    ("configuration", r"\.(toml|ya?ml|json|ini|cfg|env)$"), ("binary_or_generated", r"\.(png|jpe?g|gif|webp|pdf|zip|gz|whl|exe|dll|so|pyd)$"),
+]
+
+
+def artifact_kind(path: Column) -> Column:
+    """What kind of file a path is, by ordered rules; 'unclassified' if none fits."""
+    out = F.lit("unclassified")
+    for kind, pattern in reversed(ARTIFACT_KINDS):
+        out = F.when(F.lower(path).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def evidence_posture(assurance: Column, evidence: Column, latest: Column, reviewed: Column, executions: Column, implemented: Column, tests: Column, covered: Column) -> Column:
+    """What a finding's verification amounts to, from the sets of its obligations' and evidence's states, its latest execution and
+    flags; the first rule that fits decides."""
+    has = lambda c, *xs: F.arrays_overlap(c, F.array(*[F.lit(x) for x in xs]))
+    idle = (F.size(assurance) > 0) & F.forall(assurance, lambda a: a.isin("not_applicable", "retired"))
+    rules = [
+        (has(assurance, "verified", "closed") & has(evidence, "sufficient"), "verified_with_sufficient_evidence"), (has(assurance, "accepted_risk"), "risk_accepted_not_verification_evidence"), (idle, "not_applicable"),
+        (latest.isin("failed", "timeout", "error"), "execution_failed"), ((latest == "passed") & reviewed, "reviewed_execution_recorded"), (latest == "passed", "execution_review_pending"), (executions > 0, "execution_recorded"),
+        (implemented, "implementation_registered"), (tests & covered, "candidate_tests_and_coverage"), (tests, "candidate_tests_only"), (covered, "coverage_observation_only"),
+    ]
+    out = F.lit("no_verification_signal")
+    for test, name in reversed(rules):
+        out = F.when(F.coalesce(test, F.lit(False)), name).otherwise(out)
+    return out

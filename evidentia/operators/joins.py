@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import columns as C
+from evidentia.operators import mapping
 
 
 def parent_child(spans: DataFrame) -> DataFrame:
@@ -30,28 +31,30 @@ def map_unique(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataF
     return rows.join(unique, key, "left")
 
 
-def range_map(points: DataFrame, ranges: DataFrame, id_cols: list[str], bucket: int = 64) -> DataFrame:
-    """The narrowest range of a point's path around it: mapped, ambiguous where two are as narrow, or unmapped.
+def range_map(points: DataFrame, ranges: DataFrame, id_cols: list[str]) -> DataFrame:
+    """The narrowest range of a point's path around it: mapped, ambiguous where two are as narrow, or unmapped."""
+    met = mapping.within(points.select(*id_cols, "path", "line").distinct(), ranges.select("component_id", "path", "line", "end_line"), "path")
+    return mapping.narrowest(points, met, id_cols)
 
-    Ranges are spread over buckets of lines, so that this is an equality join and not a nested loop."""
-    spread = ranges.select("path", "component_id", F.col("line").alias("from_line"), "end_line",
-                           F.explode(F.sequence(F.floor(F.col("line") / bucket), F.floor(F.col("end_line") / bucket))).alias("bucket"))
-    met = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(spread, ["path", "bucket"]).where("line between from_line and end_line")
-    best = met.groupBy(*id_cols).agg(F.min(F.struct((F.col("end_line") - F.col("from_line")).alias("width"), "component_id")).alias("b"))
-    ties = met.join(best.select(*id_cols, "b"), id_cols).where("end_line - from_line = b.width").groupBy(*id_cols).agg(F.countDistinct("component_id").alias("ties"))
-    out = points.select(*id_cols).distinct().join(best.select(*id_cols, "b"), id_cols, "left").join(ties, id_cols, "left")
-    status = F.when(F.col("b").isNull(), "unmapped").when(F.col("ties") > 1, "ambiguous").otherwise("mapped")
-    return out.select(*id_cols, status.alias("status"), F.when(status == "mapped", F.col("b.component_id")).alias("component_id"))
 
-
-def coverage_by_component(points: DataFrame, components: DataFrame, bucket: int = 64) -> DataFrame:
+def coverage_by_component(points: DataFrame, components: DataFrame) -> DataFrame:
     """Lines that can run and that ran, within each component's range."""
-    spread = components.select("component_id", "path", F.col("line").alias("from_line"), "end_line",
-                               F.explode(F.sequence(F.floor(F.col("line") / bucket), F.floor(F.col("end_line") / bucket))).alias("bucket"))
-    met = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(spread, ["path", "bucket"]).where("line between from_line and end_line")
+    met = mapping.within(points, components.select("component_id", "path", "line", "end_line"), "path")
     return met.groupBy("component_id").agg(F.countDistinct("line").alias("executable"), F.countDistinct(F.when(F.col("executed") == 1, F.col("line"))).alias("executed"))
 
 
+def branch_coverage(points: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component_id, branches, taken, rate) of branch points (path, line, to_line, executed) by their first line, and the
+    leftovers (kind, id): paths that no component has, and components on no measured path."""
+    met = mapping.within(points, components.select("component_id", "path", "line", "end_line"), "path")
+    pair = F.struct("line", "to_line")
+    rates = met.groupBy("component_id").agg(F.countDistinct(pair).alias("branches"), F.countDistinct(F.when(F.col("executed") == 1, pair)).alias("taken"))
+    paths = points.select("path").distinct()
+    loose = paths.join(components.select("path").distinct(), "path", "left_anti").select(F.lit("path").alias("kind"), F.col("path").alias("id"))
+    idle = components.join(paths, "path", "left_anti").select(F.lit("component").alias("kind"), F.col("component_id").cast("string").alias("id"))
+    return rates.withColumn("rate", F.col("taken") / F.col("branches")), loose.unionByName(idle)
+
+
 def reconcile_edges(external: DataFrame, native: DataFrame) -> DataFrame:
     """corroborated, external_only or outside (an end that the native graph doesn't have)."""
     nodes = native.select(F.explode(F.array("source", "target")).alias("n")).distinct()
@@ -71,18 +74,28 @@ def _paths(df: DataFrame, id_col: str, side: str) -> DataFrame:
     return df.select(id_col, C.normalize_endpoint(F.col("url")).alias("path"), F.col("method").alias(f"{side}_method")).where("path <> ''")
 
 
+def _methods(df: DataFrame, id_col: str) -> DataFrame:
+    """(path, methods): the few methods that stand at each path."""
+    return _paths(df, id_col, "its").groupBy("path").agg(F.collect_set("its_method").alias("methods"))
+
+
 def method_mismatch(clients: DataFrame, routes: DataFrame) -> DataFrame:
     """Clients whose path some route has, but with no compatible method."""
-    on_path = _paths(clients, "endpoint_id", "client").join(_paths(routes, "route_id", "route").select("path"), "path", "left_semi")
-    return on_path.join(match_endpoints(clients, routes).select("endpoint_id"), "endpoint_id", "left_anti").select("endpoint_id", "path")
+    met = _paths(clients, "endpoint_id", "client").join(_methods(routes, "route_id"), "path")
+    fits = (F.col("client_method") == "UNKNOWN") | F.array_contains("methods", "ANY") | F.array_contains("methods", F.col("client_method"))
+    return met.where(~fits).select("endpoint_id", "path")
 
 
 def unmatched_endpoints(clients: DataFrame, routes: DataFrame) -> DataFrame:
-    """Clients on no route's path, and routes that no client meets."""
-    matched = match_endpoints(clients, routes)
-    c = clients.select("endpoint_id").join(matched.select("endpoint_id"), "endpoint_id", "left_anti").join(method_mismatch(clients, routes).select("endpoint_id"), "endpoint_id", "left_anti")
-    r = routes.select("route_id").join(matched.select("route_id"), "route_id", "left_anti")
-    return c.select(F.lit("client").alias("side"), F.col("endpoint_id").alias("id")).unionByName(r.select(F.lit("route").alias("side"), F.col("route_id").alias("id")))
+    """Clients on no route's path, and routes that no client meets.  Each side's paths are normalised once and meet the
+    methods of the other, not its rows."""
+    c = _paths(clients, "endpoint_id", "client").select("endpoint_id", F.col("path").alias("p"))
+    on_path = c.join(_paths(routes, "route_id", "route").select(F.col("path").alias("p")).distinct(), "p", "left_semi").select("endpoint_id")
+    lost = clients.select("endpoint_id").join(on_path, "endpoint_id", "left_anti")
+    r = _paths(routes, "route_id", "route").join(_methods(clients, "endpoint_id"), "path")
+    fits = (F.col("route_method") == "ANY") | F.array_contains("methods", "UNKNOWN") | F.array_contains("methods", F.col("route_method"))
+    idle = routes.select("route_id").join(r.where(fits).select("route_id"), "route_id", "left_anti")
+    return lost.select(F.lit("client").alias("side"), F.col("endpoint_id").alias("id")).unionByName(idle.select(F.lit("route").alias("side"), F.col("route_id").alias("id")))
 
 
 def apply_dispositions(records: DataFrame, decisions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +132,11 @@ def cite(findings: DataFrame, mappings: DataFrame) -> DataFrame:
     """Findings with the citations whose selector fits: exact, prefix and catch-all selectors are joined apart, by equality."""
     exact = mappings.where(~F.col("selector").endswith("*")).select(F.col("selector").alias("rule_id"), "citation")
     prefix = mappings.where(F.col("selector").endswith(".*")).select(F.expr("substring(selector, 1, length(selector) - 1)").alias("prefix"), "citation")
-    every = mappings.where("selector = '*'").select("citation").agg(F.collect_set("citation").alias("citations"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("rule_id", r"\."))), lambda i: F.concat(F.array_join(F.slice(F.split("rule_id", r"\."), 1, i), "."), F.lit(".")))
     a = findings.join(exact, "rule_id").select("finding_id", "citation")
     b = findings.select("finding_id", F.explode(prefixes).alias("prefix")).join(prefix, "prefix").select("finding_id", "citation")
-    c = findings.join(F.broadcast(every)).select("finding_id", F.explode("citations").alias("citation"))
+    # a catch-all selector is the same key for every rule
+    c = findings.withColumn("any", F.lit("*")).join(mappings.where("selector = '*'").select(F.col("selector").alias("any"), "citation"), "any").select("finding_id", "citation")
     return a.unionByName(b).unionByName(c).distinct()
 
 
@@ -212,10 +225,24 @@ def accounting(expected: DataFrame, observed: DataFrame, keys: list[str]) -> Dat
     return a.join(b, keys, "full").groupBy(keys[0]).agg(F.count("e").alias("expected"), F.count("o").alias("observed"), F.count_if(F.col("o").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("unexpected"))
 
 
-def token_witness(records: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
-    """Up to k entities that share a token with each record, most shared tokens first."""
-    a = records.select("record_id", F.explode("tokens").alias("t"))
-    b = entities.select("entity_id", F.explode("tokens").alias("t"))
-    met = a.join(b, "t").groupBy("record_id", "entity_id").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("record_id").orderBy(F.desc("shared"), "entity_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def invalidated(prev: DataFrame, cur: DataFrame, key: str = "finding_id", mark: str = "fingerprint", sufficient: str = "status = 'F'") -> DataFrame:
+    """Rows whose evidence was sufficient before, and whose mark has changed since."""
+    now = cur.select(key, F.col(mark).alias("now"))
+    return prev.where(sufficient).join(now, key).where(~F.col(mark).eqNullSafe(F.col("now"))).select(key)
+
+
+def rescan_rows(prev: DataFrame, cur: DataFrame, human: list[str], scanner: list[str], key: str = "finding_id", mark: str = "fingerprint") -> DataFrame:
+    """The merged findings themselves: the scanner's columns from the new scan, the human ones from the run before, what
+    happened, and whether a review must be done again (human columns filled, scanner's view changed or gone)."""
+    m = merge_rescan(prev, cur, key, mark)
+    old, new = prev.select(F.col(key).alias("old_id"), *human), cur.select(F.col(key).alias("new_id"), *scanner)
+    rows = m.join(old, "old_id", "left").join(new, "new_id", "left")
+    reviewed = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in human])
+    return rows.select(F.coalesce("new_id", "old_id").alias(key), "change", *human, *scanner, (reviewed & F.col("change").isin("changed", "moved", "removed")).alias("revalidate"))
+
+
+def changes_inside(windows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows (keys, started_at, ended_at) within which a version changed: violations of one version a window."""
+    c = changes.select(*keys, "effective_at")
+    met = windows.join(c, keys).where("effective_at > started_at and effective_at < ended_at")
+    return met.groupBy(*keys, "started_at").agg(F.count("*").alias("changes"), F.min("effective_at").alias("first_change"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions.columns import priority_score
+from evidentia.storage import saved
 
 
 def review_queue(findings: DataFrame, limit: int) -> DataFrame:
@@ -36,23 +37,28 @@ def diversify(findings: DataFrame) -> DataFrame:
 def priority_reserve(findings: DataFrame, limit: int) -> DataFrame:
     """Protected first, then at least a tenth of the limit for each priority, then the rest, up to the limit."""
     least = max(1, limit // 10)
-    w = Window.partitionBy("protected", "screening_priority").orderBy("finding_id")
-    phase = F.when(F.col("protected"), 0).when(F.row_number().over(w) <= least, 1).otherwise(2)
-    return findings.withColumn("phase", phase).orderBy("phase", F.desc("score"), "finding_id").limit(limit).select("finding_id", F.col("phase").cast("long").alias("phase"))
+    w = Window.partitionBy("screening_priority").orderBy("finding_id")
+    # the reserve is ranked under a bound, which Spark applies before it shuffles; the rest is only ordered
+    reserve = findings.where(~F.col("protected")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= least).select("finding_id", F.lit(1).alias("reserved"))
+    phase = F.when(F.col("protected"), 0).when(F.col("reserved") == 1, 1).otherwise(2)
+    rows = findings.join(reserve, "finding_id", "left").withColumn("phase", phase)
+    return rows.orderBy("phase", F.desc("score"), "finding_id").limit(limit).select("finding_id", F.col("phase").cast("long").alias("phase"))
 
 
 def stratified_sample(findings: DataFrame, rule: str, strata: list[str], item: str) -> DataFrame:
     """Round robin over strata until each rule has min(n, max(5, min(30, ceil(2 log2(n + 1))))) rows."""
     sizes = findings.groupBy(rule).agg(F.count("*").alias("n"))
     target = F.least(F.col("n"), F.greatest(F.lit(5), F.least(F.lit(30), F.ceil(2 * F.log2(F.col("n") + 1)))))
-    turn = findings.withColumn("round", F.row_number().over(Window.partitionBy(rule, *strata).orderBy(item)))
+    # no rule takes more than 30, so no stratum gives more: a bound that Spark applies before it shuffles
+    turn = findings.withColumn("round", F.row_number().over(Window.partitionBy(rule, *strata).orderBy(item))).where(F.col("round") <= 30)
     placed = turn.withColumn("place", F.row_number().over(Window.partitionBy(rule).orderBy("round", *strata, item)))
     return placed.join(sizes.select(rule, target.alias("target")), rule).where("place <= target").select(rule, item, F.col("place").cast("long").alias("place"))
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """Batch numbers of at most ``size`` rows in the order of a key: ranks come from ranges, so no task holds all rows."""
-    placed = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).persist()
+    placed = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    placed = saved(placed)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     return placed.join(starts, "part").withColumn("batch", F.floor((F.col("at") - F.col("first") + F.col("n0")) / size)).drop("part", "at", "first", "n0")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions.columns import binomial_p, ratio, wilson
+from evidentia.storage import saved
 
 
 def _count(c: Column) -> Column:
@@ -50,7 +51,8 @@ def expected_calibration_error(df: DataFrame, n: int = 10, *by: str) -> DataFram
 def risk_coverage(df: DataFrame, key: str, every: int = 10) -> DataFrame:
     """Error among the k most confident, for k = 1, every tenth and all; ranks run over ranges, not in one task."""
     placed = df.withColumn("wrong", 1 - outcome(df)).repartitionByRange(F.desc("confidence"), key).sortWithinPartitions(F.desc("confidence"), key)
-    placed = placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).select(key, "wrong", "part", "at", "confidence").persist()
+    placed = placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).select(key, "wrong", "part", "at", "confidence")
+    placed = saved(placed)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("wrong").alias("w")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w0"), F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
     w = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,12 +74,13 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def krippendorff_alpha(ratings: DataFrame, item: str, value: str) -> DataFrame:
-    """Nominal, two values, missing ratings allowed; items with one rating don't count."""
-    items = ratings.where(F.col(value).isNotNull()).groupBy(item).agg(F.count("*").alias("m"), _count(F.col(value)).alias("t")).where("m > 1")
-    sums = items.agg(F.sum("m").alias("n"), F.sum("t").alias("t"), F.sum(2 * F.col("t") * (F.col("m") - F.col("t")) / (F.col("m") - 1)).alias("d"))
-    seen = F.col("d") / F.col("n")
-    expected = 2 * F.col("t") * (F.col("n") - F.col("t")) / (F.col("n") * (F.col("n") - 1))
-    return sums.select("n", F.when(expected == 0, 1.0).otherwise(1 - seen / expected).alias("alpha"))
+    """Nominal, two values, missing ratings allowed: all pairs of ratings of an item are pooled over the items, and single
+    ratings count among the values that chance is taken from.  Null where no item has two ratings."""
+    items = ratings.where(F.col(value).isNotNull()).groupBy(item).agg(F.count("*").alias("m"), _count(F.col(value)).alias("t"))
+    sums = items.agg(F.sum("m").alias("n"), F.sum("t").alias("t"), F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs"), F.sum(2 * F.col("t") * (F.col("m") - F.col("t"))).alias("d"))
+    seen = ratio(F.col("d"), F.col("pairs"))
+    expected = F.coalesce(ratio(2 * F.col("t") * (F.col("n") - F.col("t")), F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    return sums.select("n", F.when((expected == 0) & (seen == 0), 1.0).otherwise(1 - ratio(seen, expected)).alias("alpha"))
 
 
 def mcnemar(pred: DataFrame) -> DataFrame:
@@ -98,8 +101,12 @@ def cluster_bootstrap(clusters: DataFrame, reps: int, seed: int, confidence: flo
     m = clusters.count()
     if not m:
         return clusters.sparkSession.createDataFrame([], "low double, high double, reps long")
-    numbered = clusters.withColumn("no", F.row_number().over(Window.orderBy("cluster")) - 1)
-    draws = clusters.sparkSession.range(reps).withColumnRenamed("id", "rep").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    rows = saved(clusters.repartitionByRange("cluster").sortWithinPartitions("cluster").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    numbered = rows.join(starts, "part").select((F.col("start") + F.col("at")).alias("no"), "k", "n")
+    # one row a draw, from ranges: no array as long as the clusters are many
+    draws = clusters.sparkSession.range(reps * m).select(F.floor(F.col("id") / m).alias("rep"), (F.col("id") % m).alias("i"))
     draw = F.shiftright((F.col("rep") * 7919 + F.col("i") * 104729 + seed) * 1103515245 % 2147483648, 8) % m
     sums = draws.withColumn("no", draw).join(numbered, "no").groupBy("rep").agg((F.sum("k") / F.sum("n")).alias("x"))
     tail = (1 - confidence) / 2
@@ -146,6 +153,16 @@ def window_health(events: DataFrame, by: str, error_limit: float, p95_limit: flo
     return out.withColumn("passed", (F.col("error_rate") <= error_limit) & (F.col("p95") <= p95_limit))
 
 
+def health_drift(health: DataFrame, by: str, evaluations: DataFrame, policy: dict[str, float]) -> DataFrame:
+    """Windows (by, requests, error_rate, p95) with their evaluations' pass rate (by, passed), the relative drift of their p95
+    against the first window's, and whether they keep the policy's limits."""
+    rate = evaluations.groupBy(by).agg(F.count("*").alias("evaluations"), F.avg(F.col("passed").cast("double")).alias("pass_rate"))
+    base = health.agg(F.min_by("p95", by).alias("base"))
+    rows = health.join(rate, by, "left").join(F.broadcast(base)).withColumn("drift", F.abs(ratio(F.col("p95") - F.col("base"), F.col("base"))))
+    keeps = (F.col("error_rate") <= policy["error_rate"]) & (F.col("p95") <= policy["p95"]) & (F.col("drift") <= policy["drift"]) & (F.col("evaluations") >= policy["evaluations"]) & (F.col("pass_rate") >= policy["pass_rate"])
+    return rows.select(by, "requests", "error_rate", "p95", "evaluations", "pass_rate", "drift", F.coalesce(keeps, F.lit(False)).alias("passed"))
+
+
 def fuse_channels(edges: DataFrame) -> DataFrame:
     """The channels that know each ordered pair, and what they amount to."""
     g = edges.groupBy("source", "target").agg(F.array_sort(F.collect_set("channel")).alias("c"))

@@ -54,3 +54,21 @@ def g11_block_reliability(spark, sf_dir):
 def g12_retry_amplification(spark, sf_dir):
     edges = view(spark, sf_dir, "v_tree_edges").withColumn("attempts", (1 + F.col("target") % 3).cast("double"))
     return G.retry_amplification(edges, table(spark, sf_dir, "part").where("p_partkey = 0").select(F.col("p_partkey").alias("node"))).select("node", "product")
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS node, p_partkey AS tip, CAST(p_partkey AS VARCHAR) AS path, 0 AS d FROM part UNION ALL
+    SELECT c.node, e.source, c.path || '>' || CAST(e.source AS VARCHAR), c.d + 1 FROM c JOIN v_tree_edges e ON e.target = c.tip WHERE c.d < 4)
+    SELECT node, path, d = 4 AND tip IN (SELECT target FROM v_tree_edges) AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d DESC) AS r FROM c) WHERE r = 1 AND d > 0""")
+def g03_cascade_paths(spark, sf_dir):
+    starts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    paths, _ = G.cascade_paths(view(spark, sf_dir, "v_tree_edges"), starts, 5, 4)
+    return paths.select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "truncated")
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS root, p_partkey AS source, p_partkey AS target, [p_partkey] AS path, 0 AS depth FROM part WHERE p_size = 1 UNION ALL
+    SELECT c.root, e.source, e.target, list_append(c.path, e.target), c.depth + 1 FROM c JOIN v_tree_edges e ON e.source = c.target WHERE c.depth < 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, path[1:depth], target) AS step FROM c WHERE depth > 0)
+    SELECT root, CAST(step AS INTEGER) AS step, source, target, depth FROM r WHERE step <= 20""")
+def g05_reachable_sequence(spark, sf_dir):
+    roots = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"))
+    return G.reachable_sequence(view(spark, sf_dir, "v_tree_edges"), roots, 3, 20)

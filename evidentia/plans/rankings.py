@@ -74,5 +74,5 @@ def w13_per_rule_topk(spark, sf_dir):
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY rule_id, failure_class ORDER BY finding_id) AS k, {SCORE} AS s FROM v_findings)
     SELECT rule_id, failure_class, count(*) AS n, CAST(sum(s) AS BIGINT) AS weight, arg_min(finding_id, (-s, finding_id)) AS representative, string_agg(CAST(finding_id AS VARCHAR), ',' ORDER BY finding_id) FILTER (k <= 250) AS members FROM r GROUP BY 1, 2""")
-def w16_consolidation_queue(spark, sf_dir):
+def a24_clusters_with_members(spark, sf_dir):
     return R.review_clusters(view(spark, sf_dir, "v_findings"))

@@ -25,8 +25,8 @@ VIEWS = {
     "v_spans": """SELECT user_id AS trace_id, event_id AS span_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent_span_id,
         event_type AS component, ts, value AS latency_ms, event_type = 'error' AS error FROM events""",
     "v_tree_edges": "SELECT p_partkey AS target, CAST(floor(p_partkey / 3) AS BIGINT) AS source FROM part WHERE p_partkey > 0",
-    "v_channel_edges": """SELECT DISTINCT l_suppkey AS source, l_partkey % 97 AS target,
-        CASE l_returnflag WHEN 'R' THEN 'native_ast' WHEN 'A' THEN 'external_static' ELSE 'runtime_observed' END AS channel FROM lineitem WHERE l_orderkey % 5 = 0""",
+    "v_channel_edges": """SELECT DISTINCT l_suppkey AS source, l_partkey AS target,
+        CASE l_returnflag WHEN 'R' THEN 'native_ast' WHEN 'A' THEN 'external_static' ELSE 'runtime_observed' END AS channel FROM lineitem""",
     "v_predictions": """SELECT l.doc_id, d.lang AS stratum, d.source AS repository, l.quality = 1 AS expected, d.n_chars % 3 <> 0 AS predicted,
         (d.n_chars % 101) / CAST(100 AS DOUBLE) AS confidence FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "v_tool_predictions": """SELECT l.doc_id, t.tool, l.quality = 1 AS expected,
@@ -40,8 +40,8 @@ VIEWS = {
     "v_coverage_points": """SELECT p.p_brand AS path, l.l_partkey AS line, max(CASE WHEN l.l_returnflag = 'R' AND l.l_quantity > 45 THEN 1 ELSE 0 END) AS executed
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, l.l_partkey""",
     "v_changes": "SELECT user_id, ts AS effective_at, event_id AS version FROM events WHERE event_type = 'signup'",
-    "v_vectors": """SELECT DISTINCT l_suppkey % 20 AS decision, l_quantity > 25 AS c1, l_discount > 0.05 AS c2, l_tax > 0.04 AS c3,
-        l_quantity > 25 AND (l_discount > 0.05 OR l_tax > 0.04) AS outcome FROM lineitem WHERE l_orderkey % 211 = 0""",
+    "v_vectors": """SELECT DISTINCT l_partkey AS decision, l_quantity > 25 AS c1, l_discount > 0.05 AS c2, l_tax > 0.04 AS c3,
+        l_quantity > 25 AND (l_discount > 0.05 OR l_tax > 0.04) AS outcome FROM lineitem""",
     "v_scenarios": """SELECT user_id, CAST(ts AS DATE) AS day, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS e1,
         max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS e2, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS e3
         FROM events GROUP BY user_id, CAST(ts AS DATE)""",
@@ -54,6 +54,26 @@ VIEWS = {
     "v_aliases": "SELECT p_partkey AS record, p_partkey % 40 AS alias FROM part UNION ALL SELECT p_partkey, p_partkey % 40 + 1 FROM part WHERE p_partkey % 8 <> 0",
     "v_decision_obs": """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'proof_of_concept' ELSE 'active' END AS exploitation,
         CASE WHEN o_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS automatable FROM orders""",
+    "v_named_components": """SELECT p_partkey AS component_id, concat('f', CAST(p_partkey % 700 AS STRING)) AS name,
+        concat(replace(p_name, ' ', '_'), '.f', CAST(p_partkey % 700 AS STRING)) AS qualname, concat(p_brand, '/', p_type, '.py') AS path, p_partkey AS line FROM part""",
+    "v_named_spans": """SELECT e.event_id AS span_id, e.user_id AS trace_id, CASE WHEN e.event_id % 4 = 0 THEN concat(replace(p.p_name, ' ', '_'), '.f', CAST(p.p_partkey % 700 AS STRING)) END AS component_attr,
+        CASE e.event_id % 4 WHEN 1 THEN concat(p.p_brand, '/', p.p_type, '.py:', replace(p.p_name, ' ', '_'), '.f', CAST(p.p_partkey % 700 AS STRING)) WHEN 2 THEN concat('f', CAST(p.p_partkey % 700 AS STRING)) END AS function_attr,
+        CASE WHEN e.event_id % 5 = 0 THEN concat('f', CAST(p.p_partkey % 700 AS STRING)) ELSE e.event_type END AS name, concat('/app/', p.p_brand, '/', p.p_type, '.py') AS file
+        FROM events e JOIN part p ON p.p_partkey = e.event_id % 1999""",
+    "v_observed_edges": "SELECT l_suppkey AS source, l_partkey AS target, CAST(l_linenumber AS BIGINT) AS line FROM lineitem WHERE l_returnflag = 'R'",
+    "v_call_sites": """SELECT l_suppkey AS component_id, l_orderkey AS ord, concat('m.f', CAST(l_partkey % 700 AS STRING)) AS reference,
+        CASE l_linestatus WHEN 'F' THEN 'unresolved' ELSE 'unique_static_target' END AS resolution, CAST(l_quantity AS BIGINT) AS line FROM lineitem WHERE l_returnflag = 'A'""",
+    "v_tree_events": "SELECT p_brand AS tree, concat('e', CAST(p_partkey % 5 AS STRING)) AS node, avg(p_retailprice) / 5000 AS p FROM part GROUP BY p_brand, concat('e', CAST(p_partkey % 5 AS STRING))",
+    "v_order_blocks": """SELECT l_orderkey AS tree, CAST(l_linenumber AS STRING) AS node, exp(-(max(l_discount) + 0.01)) AS value, exp(-(max(l_discount) + 0.02)) AS low, exp(-(max(l_discount) + 0.005)) AS high
+        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "v_work_obligations": """SELECT o_orderkey * 10 + n AS obligation_id, o_orderkey AS finding_id, CASE o_orderkey % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'candidate' ELSE 'verification_planned' END AS assurance_status,
+        CASE o_custkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' WHEN 2 THEN 'collected_unreviewed' ELSE 'sufficient' END AS evidence_status, CASE WHEN o_custkey % 9 = 8 THEN 2 ELSE 0 END AS gaps,
+        CASE WHEN o_custkey % 11 <> 0 THEN 'r1' ELSE '' END AS reviewer, CASE WHEN o_custkey % 13 <> 0 THEN 'because' END AS rationale,
+        CASE WHEN o_orderkey % 4 = 2 THEN 'proposed' ELSE 'implemented' END AS implementation, CASE o_custkey % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'review' ELSE 'analysis' END AS verification_method,
+        CASE WHEN o_custkey % 29 = 0 THEN 'retired' ELSE 'active' END AS source_status
+        FROM orders CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k WHERE o_orderstatus = 'F' AND o_orderkey % 17 <> 0 AND (n = 0 OR o_orderkey % 13 = 0)""",
+    "v_executions": """SELECT l_orderkey * 10 AS obligation_id, l_shipdate AS ran_at, concat(CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS execution_id,
+        CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'passed' END AS status, l_quantity > 15 AS reviewed FROM lineitem WHERE l_returnflag <> 'A'""",
     "v_measures": """SELECT n.n_nationkey AS measure_id, n.n_regionkey AS requirement_id, avg(s.s_acctbal) AS value, 100.0 AS uncertainty, 3000.0 AS threshold
         FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_nationkey, n.n_regionkey""",
 }
