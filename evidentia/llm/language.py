@@ -84,12 +84,15 @@ class LanguageModel:
     def __init__(self, names: list[str], matrix: np.ndarray, classes: np.ndarray, ridge: float = 0.01) -> None:
         self.names, self.code = names, codewords(len(names))
         weight = np.sqrt(1.0 / np.maximum(np.bincount(classes, minlength=len(names)), 1))[classes][:, None]
-        x = np.hstack([matrix, np.ones((len(matrix), 1), np.float32)]).astype(np.float64) * weight
-        y = self.code[classes].astype(np.float64) * weight
-        if len(x) < x.shape[1]:
-            self.w = x.T @ np.linalg.solve(x @ x.T + ridge * np.eye(len(x)), y)
-        else:
-            self.w = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
+        size = matrix.shape[1] + 1
+        left, right = ridge * np.eye(size), np.zeros((size, self.code.shape[1]))
+        for at in range(0, len(matrix), 256):
+            # a few rows at a time in doubles
+            own = weight[at : at + 256]
+            x = np.hstack([matrix[at : at + 256], np.ones((len(own), 1), np.float32)]) * own
+            left += x.T @ x
+            right += x.T @ (self.code[classes[at : at + 256]] * own)
+        self.w = np.linalg.solve(left, right)
         self.w = self.w.astype(np.float32)
         right = np.sign(self.margins(matrix)) == self.code[classes]
         good = np.array([right[classes == i].mean(0) if (classes == i).any() else np.ones(right.shape[1]) for i in range(len(names))])
@@ -135,7 +138,10 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "do
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     names = sorted({r["lang"] for r in got})
-    return LanguageModel(names, np.stack([np.frombuffer(r["x"], np.float32) for r in got]), np.array([names.index(r["lang"]) for r in got]))
+    classes, matrix = np.array([names.index(r["lang"]) for r in got]), np.empty((len(got), BUCKETS), np.float32)
+    while got:
+        matrix[len(got) - 1] = np.frombuffer(got.pop()["x"], np.float32)
+    return LanguageModel(names, matrix, classes)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", gap: float = GAP) -> Column:
