@@ -158,12 +158,80 @@ def read_test_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of all files below a folder."""
+    """(path, bytes, sha256, kind) of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), C.artifact_kind(F.col("path")).alias("kind"))
 
 
 def read_case_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, evidence, unique) of a manifest's cases."""
     cases = _document(spark, path, "cases array<struct<case_id:string,evidence:array<string>>>").select(F.inline("cases"))
     return cases.groupBy("case_id").agg(F.sum(F.size(F.coalesce("evidence", F.array().cast("array<string>")))).alias("evidence"), (F.count("*") == 1).alias("unique"))
+
+
+_SOURCE = "struct<path:string,line:long,end_line:long>"
+_SITE = "struct<order:long,line:long,reference:string,resolution:string,internal_target_component_ids:array<string>,awaited:boolean>"
+_COMPONENT = f"struct<id:string,name:string,qualname:string,kind:string,source:{_SOURCE},affected_component_ids:array<string>,call_sites:array<{_SITE}>,called_by:array<string>>"
+_REVIEW = "struct<disposition:string,severity:string,occurrence:string,detection:string,reviewer:string,rationale:string>"
+_ITEM = f"struct<id:string,component_id:string,source_status:string,source_change:string,source:{_SOURCE},scanner:struct<rule_id:string,failure_class:string,screening_priority:string,confidence:string>,review:{_REVIEW},linked_hazards:array<string>>"
+_OBLIGATION = "struct<id:string,finding_id:string,source_status:string,verification_method:string,assurance_status:string,evidence_status:string,planning_gaps:array<string>,automation:struct<implementation_status:string>>"
+_EXECUTION = "struct<id:string,obligation_id:string,status:string,reviews:array<struct<reviewer:string>>>"
+
+
+def read_analysis(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of run documents (gzip too), each with its run (the file): components, call_sites, called_by, findings,
+    obligations, executions.  Every file is one document, read once for each table that is used, with only its columns."""
+    docs = _document(spark, path, f"schema_version string, components array<{_COMPONENT}>, items array<{_ITEM}>, assurance struct<obligations:array<{_OBLIGATION}>,executions:array<{_EXECUTION}>>")
+    docs = docs.withColumn("run", F.input_file_name())
+    of = lambda c: docs.select("run", F.explode(c).alias("x"))
+    parts, items = of("components"), of("items")
+    place = [F.col("x.source.path").alias("path"), F.col("x.source.line").alias("line"), F.col("x.source.end_line").alias("end_line")]
+    sites = parts.select("run", F.col("x.id").alias("component_id"), F.explode("x.call_sites").alias("s"))
+    rating = lambda c: F.col(f"x.review.{c}").try_cast("int").alias(c)
+    return {
+        "components": parts.select("run", F.col("x.id").alias("component_id"), "x.name", "x.qualname", "x.kind", *place, F.col("x.affected_component_ids").alias("affected")),
+        "call_sites": sites.select("run", "component_id", F.col("s.order").alias("ord"), "s.line", "s.reference", "s.resolution", F.col("s.internal_target_component_ids").alias("targets"), "s.awaited"),
+        "called_by": parts.select("run", F.col("x.id").alias("target_component_id"), F.explode("x.called_by").alias("caller_reference")),
+        "findings": items.select("run", F.col("x.id").alias("finding_id"), "x.component_id", *place, "x.source_status", "x.source_change", "x.scanner.rule_id", "x.scanner.failure_class", "x.scanner.screening_priority",
+                                 "x.review.disposition", rating("severity"), rating("occurrence"), rating("detection"), "x.review.reviewer", "x.linked_hazards"),
+        "obligations": of("assurance.obligations").select("run", F.col("x.id").alias("obligation_id"), "x.finding_id", "x.source_status", "x.verification_method", "x.assurance_status", "x.evidence_status",
+                                                          F.size(F.coalesce("x.planning_gaps", F.array().cast("array<string>"))).alias("gaps"), F.col("x.automation.implementation_status").alias("implementation")),
+        "executions": of("assurance.executions").select("run", F.col("x.id").alias("execution_id"), "x.obligation_id", "x.status", (F.size(F.coalesce("x.reviews", F.array())) > 0).alias("reviewed")),
+    }
+
+
+def read_lifecycle_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities (entity_id, kind, label) and relations (source, target, kind) of a model's elements in JSON."""
+    docs = _document(spark, path, "elements array<struct<`@id`:string,`@type`:string,name:string,relationships:array<struct<target:string,kind:string>>>>").select(F.inline("elements"))
+    entities = docs.select(F.col("@id").alias("entity_id"), F.col("@type").alias("kind"), F.col("name").alias("label"))
+    return entities, docs.select(F.col("@id").alias("source"), F.explode("relationships").alias("r")).select("source", "r.target", "r.kind")
+
+
+def read_requirements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of requirement objects in XML: SPEC-OBJECT elements, and SPEC-RELATION elements between them."""
+    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    entities = xml("SPEC-OBJECT", "_IDENTIFIER string, `_LONG-NAME` string").select(F.col("_IDENTIFIER").alias("entity_id"), F.lit("requirement").alias("kind"), F.col("_LONG-NAME").alias("label"))
+    ends = "struct<`SPEC-OBJECT-REF`:string>"
+    relations = xml("SPEC-RELATION", f"_IDENTIFIER string, SOURCE {ends}, TARGET {ends}")
+    return entities, relations.select(F.col("SOURCE.SPEC-OBJECT-REF").alias("source"), F.col("TARGET.SPEC-OBJECT-REF").alias("target"), F.lit("relation").alias("kind"))
+
+
+def read_perf_receipts(spark: SparkSession, path: str) -> DataFrame:
+    """(generated_at, environment, median_seconds, p95_seconds, peak_bytes, version, policy); receipts from before policies
+    were kept get the default one."""
+    docs = _document(spark, path, "generated_at string, environment map<string,string>, summary struct<median_seconds:double,p95_seconds:double,maximum_peak_traced_bytes:long>, tool struct<version:string>, policy struct<repeats:int,warmup:int>")
+    default = F.struct(F.lit(2).alias("repeats"), F.lit(0).alias("warmup"))
+    return docs.select(F.col("generated_at").try_cast("timestamp").alias("generated_at"), "environment", "summary.median_seconds", "summary.p95_seconds", F.col("summary.maximum_peak_traced_bytes").alias("peak_bytes"),
+                       "tool.version", F.coalesce("policy", default).alias("policy"))
+
+
+def explode_spans(documents: DataFrame, column: str = "body") -> DataFrame:
+    """Spans of trace documents held as JSON text in a column, one row a span, beside the documents' other columns: what a
+    table function would give."""
+    spans = F.from_json(F.col(column), _OTLP)
+    docs = documents.withColumn("d", spans)
+    others = [c for c in documents.columns if c != column]
+    plain = docs.select(*others, F.explode(F.coalesce("d.spans", F.array())).alias("s"))
+    nested = F.flatten(F.flatten(F.transform("d.resourceSpans", lambda r: F.transform(F.coalesce(r["scopeSpans"], r["instrumentationLibrarySpans"]), lambda s: s["spans"]))))
+    traced = docs.select(*others, F.explode(F.coalesce(nested, F.array())).alias("s"))
+    return plain.unionByName(traced).select(*others, F.col("s.traceId").alias("trace_id"), F.col("s.spanId").alias("span_id"), F.nullif(F.col("s.parentSpanId"), F.lit("")).alias("parent_span_id"), F.col("s.name").alias("name"))
