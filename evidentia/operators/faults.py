@@ -127,6 +127,8 @@ def cut_sets(events: DataFrame, gates: DataFrame, inputs: DataFrame, top: str =
     for n in range(1, highest + 1):
         own = grouped.where(F.col("level") == n)
         longest = own.agg(F.max(F.size("members")).alias("m")).first()["m"] or 0
+        if not longest:
+            continue
         partial = own.select("tree", "node", "g", "members", F.array().cast("array<string>").alias("term"))
         finished = []
         for i in range(1, longest + 1):
