@@ -29,7 +29,7 @@ def test_no_denominator_is_null(spark):
 def test_range_map_ties_and_misses(spark):
     points = spark.createDataFrame([("f", 5), ("f", 12), ("f", 99), ("g", 1)], "path string, line long")
     ranges = spark.createDataFrame([(1, "f", 1, 20), (2, "f", 4, 8), (3, "f", 10, 14), (4, "f", 11, 15)], "component_id long, path string, line long, end_line long")
-    got = {(r.path, r.line): (r.status, r.component_id) for r in joins.range_map(points, ranges, ["path", "line"], 4).collect()}
+    got = {(r.path, r.line): (r.status, r.component_id) for r in joins.range_map(points, ranges, ["path", "line"]).collect()}
     assert got == {("f", 5): ("mapped", 2), ("f", 12): ("ambiguous", None), ("f", 99): ("unmapped", None), ("g", 1): ("unmapped", None)}
 
 
