@@ -104,7 +104,7 @@ def count_grams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
                     counts[:, which] = n
                 found.append((keys, counts))
                 waiting[which], sizes[which] = [], 0
-            if sum(len(k) for k, _ in found) > 3 * _STRIDE + len(found[0][0]):
+            if found and sum(len(k) for k, _ in found[1:]) > 3 * _STRIDE:
                 merge()
 
         def merge() -> None:
