@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, kneser_ney, language, lengths, mixing, packing, preferences, simhash, topk, toxicity
+from . import decontamination, fingerprints, kneser_ney, language, lengths, merkle, mixing, packing, preferences, repair, round_sql, simhash, topk, toxicity
 from .common import table
 
 
@@ -49,11 +49,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_document_fingerprints, op2_mixing_sources, op3_toxicity, op4_exact_top_k, op5_quality_classifier,
-    op6_language_id, op7_token_counts, op8_chat_formatting, op9_simhash_near_dedup, op10_packing)}
+    op6_language_id, op7_token_counts, op8_chat_formatting, op9_simhash_near_dedup, op10_packing,
+    op11_conversation_repair, op12_benchmark_decontamination, op13_merkle_manifest)}
 
 ORACLES = {
+    "op11_conversation_repair": round_sql.REPAIR,
+    "op12_benchmark_decontamination": round_sql.DECONTAMINATION,
+    "op13_merkle_manifest": round_sql.MERKLE,
     "op4_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -73,7 +89,7 @@ ORACLES = {
         m AS (SELECT p.conv_id, n, (SELECT count(*) FROM r WHERE r.conv_id = p.conv_id) AS n2 FROM p),
         d AS (SELECT a.conv_id, min(a.i) AS i FROM t a JOIN r b ON a.conv_id = b.conv_id AND a.i = b.i AND (a.role <> b.role OR a.text <> b.text) GROUP BY a.conv_id),
         f AS (SELECT m.conv_id, coalesce(d.i, least(n, n2)) AS first FROM m LEFT JOIN d ON d.conv_id = m.conv_id),
-        s AS (SELECT 0 AS side, * FROM t UNION ALL SELECT 1, * FROM r),
+        s AS (SELECT 0 AS side, conv_id, role, text, i FROM t UNION ALL SELECT 1, conv_id, role, text, i FROM r),
         u AS (SELECT side, s.conv_id, i, i < first AS early, role, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS own FROM s JOIN f ON f.conv_id = s.conv_id),
         w AS (SELECT *, sum(length(own)) OVER (PARTITION BY side, conv_id, early ORDER BY i) AS till FROM u),
         g AS (SELECT conv_id, string_agg(own, '' ORDER BY i) FILTER (WHERE side = 0 AND early) AS prompt,
