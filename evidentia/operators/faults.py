@@ -2,14 +2,21 @@
 
 Trees are tables: gates (tree, node, kind, k) and inputs (tree, node, child).  Kinds are and, or, vote (at least k) and
 inhibit (like and).  A gate's level is one above its highest child's; gates on a cycle, or above an unknown child, never
-get a level and are reported instead of computed."""
+get a level and are reported instead of computed.  Where every state or every cut set of a tree is asked for, the tree's few
+rows come together and one task works on it; trees are spread over the tasks."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.columns import glob_match, vote_probability
 from evidentia.storage import saved
@@ -68,84 +75,187 @@ def evaluate_trees(states: DataFrame, gates: DataFrame, inputs: DataFrame, keys:
     return reduce(DataFrame.unionByName, [*out, undone])
 
 
+def _drawn(gates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(tree, gates): each tree's gates (node, kind, k, children) in one row."""
+    children = inputs.distinct().groupBy("tree", "node").agg(F.array_sort(F.collect_list("child")).alias("children"))
+    gate = F.struct("node", "kind", F.col("k").cast("int").alias("k"), "children")
+    return gates.select("tree", "node", "kind", "k").distinct().join(children, ["tree", "node"]).groupBy("tree").agg(F.array_sort(F.collect_list(gate)).alias("gates"))
+
+
+def _in_order(gates: Iterable[dict], events: Iterable[str]) -> list[dict]:
+    """The gates that can be computed, each after its children.  An event that is a gate too counts as the gate."""
+    by_name = {g["node"]: g for g in gates}
+    left = {name: set(g["children"]) for name, g in by_name.items()}
+    above = defaultdict(list)
+    for name, children in left.items():
+        for c in children:
+            above[c].append(name)
+    out, ready = [], [e for e in events if e not in by_name]
+    while ready:
+        child = ready.pop()
+        for name in above[child]:
+            left[name].discard(child)
+            if not left[name]:
+                out.append(by_name[name])
+                ready.append(name)
+    return out
+
+
+#: States in which event 0 to 5 is true, of 64.
+_MASKS = [sum(1 << s for s in range(64) if s >> i & 1) for i in range(6)]
+
+
+def truth_table(gates: list[dict], events: list[str], top: str) -> np.ndarray | None:
+    """Whether the top holds in each of the 2**n states (bit i of a state: event i), worked out gate by gate for 64 states a
+    word; None if the top can't be computed."""
+    words = max(1, 2 ** len(events) // 64)
+    table: dict[str, np.ndarray] = {}
+    for i, e in enumerate(events):
+        table[e] = np.full(words, _MASKS[i], np.uint64) if i < 6 else np.where(np.arange(words) >> (i - 6) & 1, np.uint64(2**64 - 1), np.uint64(0))
+    for gate in _in_order(gates, events):
+        inputs = [table[c] for c in gate["children"]]
+        least = {"or": 1, "vote": gate["k"] or 0}.get(gate["kind"], len(inputs))
+        # at least j of the inputs so far
+        held = [np.full(words, 2**64 - 1, np.uint64), *[np.zeros(words, np.uint64) for _ in range(min(max(least, 0), len(inputs) + 1))]]
+        for x in inputs:
+            for j in range(len(held) - 1, 0, -1):
+                held[j] |= held[j - 1] & x
+        table[gate["node"]] = held[-1]
+    if top not in table or all(g["node"] != top for g in gates):
+        return None
+    return np.unpackbits(table[top].view(np.uint8), bitorder="little")[: 2 ** len(events)].astype(bool)
+
+
+def _weights(chances: Iterable[float | None]) -> np.ndarray:
+    """The probability of each state."""
+    w = np.ones(1)
+    for p in chances:
+        p = float("nan") if p is None else p
+        w = np.concatenate([w * (1 - p), w * p])
+    return w
+
+
 def tree_probability(events: DataFrame, gates: DataFrame, inputs: DataFrame, top: str = "top") -> tuple[DataFrame, DataFrame]:
     """(tree, status, probability, low, high) and (tree, event, importance), from events (tree, node, p, low, high).
 
-    Exact over all 2**n states, so that shared events count once; the states of all trees are one table.  The importance
-    is Birnbaum's: P(top | event) - P(top | no event)."""
-    size = events.groupBy("tree").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("node", "p", "low", "high"))).alias("e"))
-    fine = saved(size.where(F.col("n") <= MOST_EVENTS))
-    states = fine.select("tree", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n").cast("int")) - 1)).alias("state"))
-    bit = lambda i: F.getbit(F.col("state"), i) == 1
-    long = states.select("tree", "state", F.posexplode("e").alias("i", "x")).select("tree", "state", F.col("x.node").alias("node"), bit(F.col("i")).alias("value"))
-    tops = saved(evaluate_trees(long, gates, inputs, ["state"]).where((F.col("node") == top) & F.col("value")).select("tree", "state"))
-    weighed = tops.join(fine.select("tree", "e"), "tree")
-
-    def weight(field: str, skip: Column | None = None) -> Column:
-        chance = lambda x, i: F.when(bit(i), x[field]).otherwise(1 - x[field])
-        terms = F.transform("e", lambda x, i: chance(x, i) if skip is None else F.when(i == skip, F.lit(1.0)).otherwise(chance(x, i)))
-        return F.aggregate(terms, F.lit(1.0), lambda a, x: a * x)
-
-    sums = weighed.groupBy("tree").agg(*[F.sum(weight(f)).alias(n) for f, n in (("p", "probability"), ("low", "low"), ("high", "high"))])
-    placed, _ = levels(gates, inputs, events.select("tree", "node"))
-    computed = placed.where((F.col("node") == top) & F.col("level").isNotNull()).select("tree", F.lit(True).alias("top"))
-    status = F.when(F.col("n") > MOST_EVENTS, "too_many_events").when(F.col("top"), "computed").otherwise("undefined_top")
-    rows = size.select("tree", "n").join(computed, "tree", "left").join(sums, "tree", "left").withColumn("status", status)
-    zero = lambda c: F.when(F.col("status") == "computed", F.coalesce(c, F.lit(0.0))).alias(c)
-    each = weighed.select("tree", "state", "e", F.posexplode("e").alias("i", "x"))
-    parts = each.select("tree", F.col("x.node").alias("event"), F.when(bit(F.col("i")), 1.0).otherwise(-1.0).alias("sign"), weight("p", F.col("i")).alias("w"))
-    importance = parts.groupBy("tree", "event").agg(F.sum(F.col("sign") * F.col("w")).alias("importance"))
-    return rows.select("tree", "status", zero("probability"), zero("low"), zero("high")), importance
-
-
-def _minimal(terms: DataFrame) -> DataFrame:
-    """Terms (tree, node, term) that hold no other term of their node.  A term that lies in another has its first element
-    there, so only such pairs are compared."""
-    terms = saved(terms.distinct())
-    small = terms.select("tree", "node", F.element_at("term", 1).alias("one"), F.col("term").alias("small"))
-    large = terms.select("tree", "node", "term", F.explode("term").alias("one"))
-    held = large.join(small, ["tree", "node", "one"]).where((F.size("small") < F.size("term")) & (F.size(F.array_except("small", "term")) == 0))
-    return terms.join(held.select("tree", "node", "term").distinct(), ["tree", "node", "term"], "left_anti")
+    Exact over all 2**n states, so that shared events count once.  A tree is one row of its events and gates, and its truth
+    table is made in one task; a tree of over MOST_EVENTS events is reported and its rows are not gathered.  The importance
+    is Birnbaum's: P(top | event) - P(top | no event).  An unknown probability makes the tree's numbers unknown."""
+    sizes = saved(events.groupBy("tree").agg(F.count("*").alias("n")))
+    fine = events.join(sizes.where(F.col("n") <= MOST_EVENTS).select("tree"), "tree").groupBy("tree").agg(
+        F.array_sort(F.collect_list(F.struct("node", *[F.col(c).cast("double").alias(c) for c in ("p", "low", "high")]))).alias("events"))
+    rows = fine.join(_drawn(gates, inputs), "tree", "left")
+    number = T.DoubleType()
+    schema = T.StructType([T.StructField("tree", events.schema["tree"].dataType), T.StructField("status", T.StringType()), *[T.StructField(c, number) for c in ("probability", "low", "high")],
+                           T.StructField("parts", T.ArrayType(T.StructType([T.StructField("event", T.StringType()), T.StructField("importance", number)])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lambda x: None if np.isnan(x) else float(x)
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("status", "probability", "low", "high", "parts")}
+            for own, drawn in zip(batch.column("events").to_pylist(), batch.column("gates").to_pylist(), strict=True):
+                names = [e["node"] for e in own]
+                holds = truth_table(drawn or [], names, top)
+                out["status"].append("computed" if holds is not None else "undefined_top")
+                for field, name in (("p", "probability"), ("low", "low"), ("high", "high")):
+                    out[name].append(None if holds is None else known(_weights(e[field] for e in own)[holds].sum()))
+                parts = []
+                for i, e in enumerate(own if holds is not None else []):
+                    w = _weights(x["p"] for x in own if x is not e)
+                    split = holds.reshape(-1, 2, 2**i)
+                    parts.append({"event": e["node"], "importance": known(w[split[:, 1, :].ravel()].sum() - w[split[:, 0, :].ravel()].sum())})
+                out["parts"].append(parts)
+            kinds = [pa.string(), *[pa.float64()] * 3, pa.list_(pa.struct([("event", pa.string()), ("importance", pa.float64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["tree", *out])
+
+    found = saved(rows.mapInArrow(run, schema))
+    large = sizes.where(F.col("n") > MOST_EVENTS).select("tree", F.lit("too_many_events").alias("status"), *[F.lit(None).cast("double").alias(c) for c in ("probability", "low", "high")])
+    return found.drop("parts").unionByName(large), found.select("tree", F.explode("parts").alias("x")).select("tree", "x.*")
+
+
+class _TooMany(Exception):
+    """A gate passes a limit."""
+
+
+def _minimal(terms: Iterable[int], most_terms: int) -> set[int]:
+    """The terms (sets of events, as bits) that hold no other one.  A kept term stands under its rarest event, so a term is
+    compared only with those whose rarest event it holds."""
+    terms = sorted(set(terms), key=int.bit_count)
+    least = bisect_right(terms, terms[0].bit_count(), key=int.bit_count) if terms else 0
+    if least > most_terms:  # none of the smallest holds another
+        raise _TooMany
+    if least == len(terms):
+        return set(terms)
+    bits = lambda t: (i for i in range(t.bit_length()) if t >> i & 1)
+    often = Counter(i for t in terms for i in bits(t))
+    kept: set[int] = set()
+    under: dict[int, list[int]] = defaultdict(list)
+    for t in terms:
+        if t and any(k & t == k for i in bits(t) for k in under[i]) or 0 in kept:
+            continue
+        kept.add(t)
+        if len(kept) > most_terms:
+            raise _TooMany
+        if t:
+            under[min(bits(t), key=lambda i: (often[i], i))].append(t)
+    return kept
+
+
+def _product(a: set[int], b: set[int], most_terms: int) -> set[int]:
+    """The minimal terms of a and b together; what grows past a few times the limit is cut down at once."""
+    out: set[int] = set()
+    for x in a:
+        out.update(x | y for y in b)
+        if len(out) > 4 * most_terms:
+            out = _minimal(out, most_terms)
+    return _minimal(out, most_terms)
+
+
+def minimal_cuts(gates: list[dict], events: list[str], top: str, most_terms: int, most_width: int) -> tuple[str, list[list[str]]]:
+    """The status of a tree and its minimal cut sets.
+
+    Gates are worked out from below, and terms that hold another are dropped after each child.  At least k of the children
+    follow from at least j of those before, so no choice of k is ever listed."""
+    at = {e: i for i, e in enumerate(events)}
+    terms: dict[str, set[int]] = {e: {1 << i} for e, i in at.items()}
+    try:
+        for gate in _in_order(gates, events):
+            inputs = sorted((terms[c] for c in gate["children"]), key=len)
+            least = {"or": 1, "vote": gate["k"] or 0}.get(gate["kind"], len(inputs))
+            held: list[set[int]] = [{0}, *[set() for _ in range(min(max(least, 0), len(inputs) + 1))]]
+            for n, x in enumerate(inputs):
+                for j in range(len(held) - 1, 0, -1):
+                    if n + 1 >= j >= len(held) - 1 - (len(inputs) - n - 1):  # others can't be filled, or don't matter any more
+                        held[j] = _minimal(held[j] | _product(held[j - 1], x, most_terms), most_terms)
+            if any(t.bit_count() > most_width for t in held[-1]):
+                raise _TooMany
+            terms[gate["node"]] = held[-1]
+    except _TooMany:
+        return "limit_exceeded", []
+    if top not in terms or all(g["node"] != top for g in gates):
+        return "undefined_top", []
+    return "computed", sorted([e for e, i in at.items() if t >> i & 1] for t in terms[top])
 
 
 def cut_sets(events: DataFrame, gates: DataFrame, inputs: DataFrame, top: str = "top", most_terms: int = 10_000, most_width: int = 50) -> tuple[DataFrame, DataFrame]:
     """Minimal cut sets (tree, cut_set) of the tops, and (tree, status).
 
-    Every gate is an or of and-groups: one for each child, one of all, or one for each choice of k.  Groups are multiplied
-    out child by child, and terms that hold another are dropped.  A tree of which a gate passes a limit, or whose top has no
-    level, is reported and left out."""
-    placed, highest = levels(gates, inputs, events.select("tree", "node"))
-    placed = gates.join(placed, ["tree", "node"])
-    children = inputs.distinct().groupBy("tree", "node").agg(F.array_sort(F.collect_list("child")).alias("c"))
-    every = F.array(F.col("c"))
-    choices = F.transform(F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("c")) - 1), lambda m: F.bit_count(m) == F.col("k")),
-                          lambda m: F.filter("c", lambda x, i: F.getbit(m, i) == 1))
-    groups = F.when(F.col("kind") == "or", F.transform("c", lambda x: F.array(x))).when(F.col("kind") == "vote", choices).otherwise(every)
-    grouped = saved(placed.where("level is not null").join(children, ["tree", "node"]).select("tree", "node", "level", F.posexplode(groups).alias("g", "members")))
-    terms = saved(events.select("tree", "node", F.array("node").alias("term")).distinct())
-    over = None
-    for n in range(1, highest + 1):
-        own = grouped.where(F.col("level") == n)
-        longest = own.agg(F.max(F.size("members")).alias("m")).first()["m"] or 0
-        if not longest:
-            continue
-        partial = own.select("tree", "node", "g", "members", F.array().cast("array<string>").alias("term"))
-        finished = []
-        for i in range(1, longest + 1):
-            met = partial.where(F.size("members") >= i).withColumn("child", F.element_at("members", i)).join(terms.select("tree", F.col("node").alias("child"), F.col("term").alias("more")), ["tree", "child"])
-            partial = saved(met.select("tree", "node", "g", "members", F.array_sort(F.array_union("term", "more")).alias("term")).distinct())
-            finished.append(partial.where(F.size("members") == i).select("tree", "node", "term"))
-        found = saved(_minimal(reduce(DataFrame.unionByName, finished)))
-        big = saved(found.groupBy("tree", "node").agg(F.count("*").alias("n"), F.max(F.size("term")).alias("w")).where((F.col("n") > most_terms) | (F.col("w") > most_width)).select("tree").distinct())
-        over = big if over is None else over.unionByName(big)
-        terms = saved(terms.unionByName(found).join(big, "tree", "left_anti"))
-        grouped = grouped.join(big, "tree", "left_anti")
-    trees = gates.select("tree").distinct()
-    tops = placed.where(F.col("node") == top).select("tree", F.col("level").isNotNull().alias("ok"))
-    beyond = over.distinct().withColumn("beyond", F.lit(True)) if over is not None else trees.where("false").withColumn("beyond", F.lit(True))
-    status = F.when(F.col("beyond"), "limit_exceeded").when(F.col("ok"), "computed").otherwise("undefined_top")
-    states = trees.join(tops, "tree", "left").join(beyond, "tree", "left").select("tree", status.alias("status"))
-    return terms.where(F.col("node") == top).select("tree", F.col("term").alias("cut_set")), states
+    A tree is one row of its events and gates, worked out in one task.  If a gate, or the part of its children done so far, has
+    more minimal terms than ``most_terms``, or a gate a term of more than ``most_width`` events, the tree is reported as
+    limit_exceeded and left out; if its top can't be computed, as undefined_top."""
+    own = events.select("tree", "node").distinct().groupBy("tree").agg(F.array_sort(F.collect_list("node")).alias("events"))
+    rows = gates.select("tree").distinct().join(_drawn(gates, inputs), "tree", "left").join(own, "tree", "left")
+    schema = T.StructType([T.StructField("tree", gates.schema["tree"].dataType), T.StructField("status", T.StringType()), T.StructField("sets", T.ArrayType(T.ArrayType(T.StringType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row's sets may be many
+                one = batch.slice(i, 1)
+                status, sets = minimal_cuts(one.column("gates")[0].as_py() or [], one.column("events")[0].as_py() or [], top, most_terms, most_width)
+                yield pa.RecordBatch.from_arrays([one.column("tree"), pa.array([status]), pa.array([sets], pa.list_(pa.list_(pa.string())))], names=["tree", "status", "sets"])
+
+    found = saved(rows.mapInArrow(run, schema))
+    return found.select("tree", F.explode("sets").alias("cut_set")), found.select("tree", "status")
 
 
 def block_reliability(blocks: DataFrame, gates: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -171,7 +281,8 @@ def block_reliability(blocks: DataFrame, gates: DataFrame, inputs: DataFrame) ->
         values = saved(gathered.select("tree", "node", *[combined(c) for c in ("value", "low", "high")]))
         out.append(values)
         known = known.unionByName(values.withColumnRenamed("node", "child"))
-    return reduce(DataFrame.unionByName, out).withColumnRenamed("tree", "diagram")
+    none = known.select("tree", F.col("child").alias("node"), "value", "low", "high").where("false")
+    return reduce(DataFrame.unionByName, out, none).withColumnRenamed("tree", "diagram")
 
 
 def block_importance(blocks: DataFrame, gates: DataFrame, inputs: DataFrame, top: str = "top") -> DataFrame:

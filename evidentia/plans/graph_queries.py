@@ -49,7 +49,7 @@ def g11_block_reliability(spark, sf_dir):
     return G.series_reliability(view(spark, sf_dir, "v_blocks")).withColumn("reliability", F.round("reliability", 9))
 
 
-@query("""WITH RECURSIVE r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(1 AS DOUBLE) AS product, 0 AS d UNION ALL SELECT e.target, r.product * (1 + e.target % 3), r.d + 1 FROM r JOIN v_tree_edges e ON e.source = r.node WHERE r.d < 8)
+@query("""WITH RECURSIVE r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(1 AS DOUBLE) AS product UNION ALL SELECT e.target, r.product * (1 + e.target % 3) FROM r JOIN v_tree_edges e ON e.source = r.node)
     SELECT node, max(product) AS product FROM r GROUP BY node""")
 def g12_retry_amplification(spark, sf_dir):
     edges = view(spark, sf_dir, "v_tree_edges").withColumn("attempts", (1 + F.col("target") % 3).cast("double"))

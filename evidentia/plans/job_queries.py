@@ -50,10 +50,10 @@ def c02_trace_job(spark, sf_dir):
     return jobs.report(method=(out["methods"], "method", "n"), alignment=(out["alignment"], "alignment", "n"))
 
 
-@query(f"""WITH x AS (SELECT * FROM {of('a41_fuse_channels')} WHERE source < 90 AND target < 1500), f AS (SELECT component_id AS c FROM v_findings)
+@query(f"""WITH x AS (SELECT * FROM {of("a41_fuse_channels")}), f AS (SELECT component_id AS c FROM v_findings)
     {figures('classification', 'x', 'classification', group='classification')} UNION ALL SELECT 'chain', CAST(n AS VARCHAR), CAST(count(*) AS DOUBLE) FROM (SELECT CASE WHEN c IN (SELECT source FROM x) THEN 0 ELSE 1 END + CASE WHEN c IN (SELECT target FROM x) THEN 0 ELSE 1 END AS n FROM f) GROUP BY n""")
 def c03_fusion_job(spark, sf_dir):
-    edges = view(spark, sf_dir, "v_channel_edges").where("source < 90 and target < 1500")
+    edges = view(spark, sf_dir, "v_channel_edges")
     channels = {c: edges.where(F.col("channel") == c) for c in ("native_ast", "external_static", "runtime_observed")}
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node"))
     out = jobs.fusion(nodes, channels, view(spark, sf_dir, "v_findings"))

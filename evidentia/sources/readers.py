@@ -111,19 +111,6 @@ def read_sbom(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("bom-ref").alias("bom_ref"), "purl", C.purl_parts(F.col("purl"))["ecosystem"].alias("ecosystem"), "name", "version")
 
 
-def read_bench_results(spark: SparkSession, path: str, kind: str, columns: dict[str, str]) -> DataFrame:
-    """(case_id and what else ``columns`` names) from csv, json or jsonl; ``columns`` gives for each of our columns its expression there."""
-    df = spark.read.csv(path, header=True) if kind == "csv" else spark.read.option("multiLine", kind == "json").json(path)
-    return df.select(*[F.expr(e).alias(name) for name, e in columns.items()])
-
-
-def read_bench_ids(spark: SparkSession, path: str, lists: dict[str, str]) -> DataFrame:
-    """(case_id, outcome) from lists of identifiers such as success_ids; ``lists`` gives each list's outcome."""
-    docs = _document(spark, path, ", ".join(f"`{name}` array<string>" for name in lists))
-    each = [docs.select(F.explode(name).alias("case_id"), F.lit(outcome).alias("outcome")) for name, outcome in lists.items()]
-    return reduce(DataFrame.unionByName, each)
-
-
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """(source, target) of objects {caller: [callee, ...]}, each edge once."""
     docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
@@ -143,12 +130,6 @@ def read_scorecards(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("bucket", F.when(F.col("score") < 0, "inconclusive").when(F.col("score") < 5, "low").when(F.col("score") < 8, "medium").otherwise("high"))
 
 
-def read_taxonomy(spark: SparkSession, path: str, tag: str = "Weakness") -> DataFrame:
-    """(id, name, links) of a weakness or attack pattern catalogue in XML."""
-    rows = spark.read.format("xml").option("rowTag", tag).schema("_ID string, _Name string, Related_Weaknesses struct<Related_Weakness:array<struct<_CWE_ID:string,_Nature:string>>>").load(path)
-    return rows.select(F.col("_ID").alias("id"), F.col("_Name").alias("name"), F.array_distinct("Related_Weaknesses.Related_Weakness").alias("links"))
-
-
 def read_test_reports(spark: SparkSession, path: str) -> DataFrame:
     """(outcome, n) of test cases in JUnit files."""
     part = "struct<_message:string,_VALUE:string>"

@@ -41,8 +41,6 @@ def test_small_readers(spark, tmp_path):
     assert [tuple(r) for r in R.read_epss(spark, put(tmp_path / "e.csv", "#model:v1\ncve,epss,percentile\nCVE-1,0.5,0.9\n")).collect()] == [("CVE-1", 0.5, 0.9)]
     bom = R.read_sbom(spark, put(tmp_path / "b.json", {"components": [{"bom-ref": "x", "purl": "pkg:pypi/n@1", "name": "n", "version": "1"}]})).first()
     assert tuple(bom) == ("x", "pkg:pypi/n@1", "pypi", "n", "1")
-    ids = R.read_bench_ids(spark, put(tmp_path / "i.json", {"success_ids": ["1"], "failure_ids": ["2", "3"]}), {"success_ids": "success", "failure_ids": "failure", "error_ids": "error"})
-    assert {tuple(r) for r in ids.collect()} == {("1", "success"), ("2", "failure"), ("3", "failure")}
     adv = {"id": "A", "aliases": ["CVE-1"], "affected": [{"package": {"ecosystem": "PyPI", "name": "A_b"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2"}]}]}]}
     row = R.read_advisories(spark, put(tmp_path / "v.json", [adv])).first()
     assert (row.package, row.withdrawn, [tuple(e) for e in row.events]) == ("a-b", False, [("introduced", "0"), ("fixed", "2")])
