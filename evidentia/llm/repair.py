@@ -18,9 +18,9 @@ beginning of another (an insertion more costs more), so the best of a whole is m
 
 Defined results: a null role, text, turn or identifier counts as one space where text is made of it; a null identifier is a
 conversation of its own; rows that repeat a turn are ordered by role, then text, bytewise; roles count by their first
-character, whatever follows; a row that is deleted keeps its role and text for telling later duplicates; a conversation
-without a row left has zeros, an empty audit and the hash of the empty text; extra columns are ignored; an empty table gives
-no rows.
+character, whatever follows; a role without characters adds no initial, so its row may stay anywhere; a row that is
+deleted keeps its role and text for telling later duplicates; a conversation without a row left has zeros, an empty audit
+and the hash of the empty text; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,13 +88,18 @@ def with_faults(rows: DataFrame) -> DataFrame:
     return rows.select("conv", "no_conv", "turn", "role", "text", "times", fault.alias("fault"), F.substring("role", 1, 1).alias("initial"))
 
 
+def kept_in(state: int, initial: str) -> list[int]:
+    """Where keeping a row with this initial leads, if it may be kept."""
+    return [to for to in FOLLOWS[state] if STATES[to] == initial] if initial else [state]
+
+
 def _edits(row: dict, state: int) -> list[tuple[str, int, int]]:
     """The edits of a row's first copy as (letter, cost, state after), least letter first.  Its other copies, duplicates or
     blank like itself, are deleted after it."""
     out = [("D", DELETE, state)]
     if row["fault"] in ("", "truncated"):
         extra = TRUNCATED if row["fault"] else 0
-        out += [("K", extra, to) for to in FOLLOWS[state] if STATES[to] == row["initial"]]
+        out += [("K", extra, to) for to in kept_in(state, row["initial"])]
         out += [("R", REROLE + extra, to) for to in FOLLOWS[state] if to in NAMES]
     return out
 
@@ -154,7 +159,7 @@ def render(rows: list[dict], audit: str, state: int = 0) -> list[str]:
             copies = row["times"]
         copies -= 1
         if letter == "K":
-            state = next(to for to in FOLLOWS[state] if STATES[to] == row["initial"])
+            state = kept_in(state, row["initial"])[0]
             out.append(f"{row['role']}:{row['text']}")
         elif letter == "R":
             state = next(to for to in FOLLOWS[state] if to in NAMES)

@@ -73,7 +73,7 @@ def _more(frm: str, cost: str, audit: str, text: str) -> str:
 def _row(state: str) -> str:
     """What a row makes of the states: it is deleted, kept or gets another role, in that state's place."""
     own = "chr(10) || {0} || ':' || text"
-    options = [_more(f"j.{state}", "2", "'D'", "''")]
+    options = [_more(f"j.{state}", "2", "'D'", "''"), f"CASE WHEN fault IN ('', 'truncated') AND initial = '' THEN {_more(f'j.{state}', 'late', chr(39) + 'K' + chr(39), own.format('role'))} END"]
     before = {"e": (), "s": ("e",), "u": ("e", "s", "a"), "a": ("u",)}[state]
     for frm in before:
         options.append(f"CASE WHEN fault IN ('', 'truncated') AND initial = '{state}' THEN {_more(f'j.{frm}', 'late', chr(39) + 'K' + chr(39), own.format('role'))} END")
