@@ -73,7 +73,7 @@ def scan_fusion(results: DataFrame, components: DataFrame) -> Tables:
     return {"places": places, "clusters": clusters, "status": counted(places, "status")}
 
 
-def vulnerability(sbom: DataFrame, advisories: DataFrame, aliases: DataFrame, kev: DataFrame, epss: DataFrame, rules: list[dict]) -> Tables:
+def vulnerability(sbom: DataFrame, advisories: DataFrame, aliases: DataFrame, kev: DataFrame, epss: DataFrame, rules: DataFrame) -> Tables:
     """Advisories merged by alias, matched to components, decided by a table of rules, and counted.
 
     Aliases are (advisory_id, alias); a merged advisory is named by its least identifier."""

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import columns as C
 from evidentia.operators import mapping
+from evidentia.storage import saved
 
 
 def parent_child(spans: DataFrame) -> DataFrame:
@@ -119,13 +120,28 @@ def merge_intel(base: DataFrame, **feeds: DataFrame) -> DataFrame:
     return out.select("id", *[F.coalesce(f"in_{n}", F.lit(False)).alias(f"in_{n}") for n in ("base", *feeds)], *[c for f in feeds.values() for c in f.columns if c != "id"])
 
 
-def decision_table(obs: DataFrame, rules: list[dict], points: list[str], default: str = "undecided") -> DataFrame:
-    """Each rule lists allowed values of some points; of the rules that fit, the last decides."""
-    out: Column = F.lit(default)
-    for rule in rules:
-        fits = reduce(lambda a, b: a & b, [F.col(p).isin(*rule[p]) for p in points if p in rule], F.lit(True))
-        out = F.when(fits, rule["outcome"]).otherwise(out)
-    return obs.withColumn("outcome", out)
+def decision_table(obs: DataFrame, rules: DataFrame, points: list[str], default: str = "undecided") -> DataFrame:
+    """The observations with the outcome of the last rule (rule_order, outcome, allowed: point to allowed values) that fits.
+
+    A rule fits if each point that it names has one of the values it allows there; points that it doesn't name may have any
+    value.  An observation of which a point is null is undecided, as is one that no rule fits.  Rules are multiplied out to
+    rows, one for each combination of values, of which the last rule's stays; each distinct combination of points that is
+    observed meets them by equality, once for each set of points that rules name.  So rules cost rows, not plan."""
+    any_value = F.array(F.lit("*"))
+    cell = lambda value: F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
+    rows = rules.select("rule_order", "outcome", F.array().cast("array<string>").alias("key"), "allowed")
+    for p in points:
+        cells = F.coalesce(F.transform(F.array_distinct(F.col("allowed")[p]), cell), any_value)
+        rows = rows.select("rule_order", "outcome", "key", "allowed", F.explode(cells).alias("cell")).select("rule_order", "outcome", F.concat("key", F.array("cell")).alias("key"), "allowed")
+    table = saved(rows.groupBy("key").agg(F.max_by("outcome", "rule_order").alias("outcome"), F.max("rule_order").alias("rule_order")))
+    masks = table.select(F.transform("key", lambda c: c == "*").alias("any")).distinct()
+    # sets of points that rules name: at most 2 to the number of points
+    shapes = [r["any"] for r in masks.collect()]
+    seen = obs.select(*points).where(reduce(lambda x, y: x & y, [F.col(p).isNotNull() for p in points])).distinct()
+    keys = [F.array(*[F.lit("*") if any_ else cell(F.col(p).cast("string")) for p, any_ in zip(points, shape, strict=True)]) for shape in shapes]
+    asked = seen.withColumn("key", F.explode(F.array(*keys) if keys else F.array().cast("array<array<string>>")))
+    decided = asked.join(table, "key").groupBy(*points).agg(F.max_by("outcome", "rule_order").alias("outcome"))
+    return obs.join(decided, points, "left").withColumn("outcome", F.coalesce("outcome", F.lit(default)))
 
 
 def cite(findings: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -95,22 +95,28 @@ def disagreements(pred: DataFrame, case: str = "doc_id") -> DataFrame:
     return pred.groupBy(case).agg(F.countDistinct("predicted").alias("answers"), _count(F.col("predicted")).alias("yes")).where("answers > 1").select(case, "yes")
 
 
-def cluster_bootstrap(clusters: DataFrame, reps: int, seed: int, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of sum(k)/sum(n), resampling whole clusters: draw i of repetition r is a whole-number congruence, so
-    that any engine recomputes it.  Clusters (cluster, k, n) are numbered by name."""
-    m = clusters.count()
-    if not m:
-        return clusters.sparkSession.createDataFrame([], "low double, high double, reps long")
-    rows = saved(clusters.repartitionByRange("cluster").sortWithinPartitions("cluster").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+def cluster_bootstrap(clusters: DataFrame, reps: int, seed: int, confidence: float = 0.95, by: str | None = None) -> DataFrame:
+    """(by, low, high, reps): percentile interval of sum(k)/sum(n), resampling whole clusters, of each stratum on its own if there
+    are strata; no clusters, no row.
+
+    Draw i of repetition r is a whole-number congruence, so that any engine recomputes it.  Clusters (cluster, k, n) are
+    numbered by name within their stratum; each stands for as many draws as there are repetitions, so all strata are drawn
+    in one pass, one row a draw."""
+    rows = clusters.select((F.col(by) if by else F.lit("all")).alias("stratum"), "cluster", "k", "n")
+    order = [F.col("stratum").asc_nulls_first(), F.col("cluster").asc_nulls_first()]
+    rows = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    numbered = rows.join(starts, "part").select((F.col("start") + F.col("at")).alias("no"), "k", "n")
-    # one row a draw, from ranges: no array as long as the clusters are many
-    draws = clusters.sparkSession.range(reps * m).select(F.floor(F.col("id") / m).alias("rep"), (F.col("id") % m).alias("i"))
-    draw = F.shiftright((F.col("rep") * 7919 + F.col("i") * 104729 + seed) * 1103515245 % 2147483648, 8) % m
-    sums = draws.withColumn("no", draw).join(numbered, "no").groupBy("rep").agg((F.sum("k") / F.sum("n")).alias("x"))
+    placed = rows.join(starts, "part").select("stratum", (F.col("start") + F.col("at")).alias("no"), "k", "n")
+    sizes = placed.groupBy(F.col("stratum").alias("its")).agg(F.count("*").alias("m"), F.min("no").alias("first"))
+    numbered = saved(placed.join(sizes, F.col("stratum").eqNullSafe(F.col("its"))).select("stratum", "m", (F.col("no") - F.col("first")).alias("no"), "k", "n"))
+    draws = numbered.select(F.col("stratum").alias("its"), "m", F.col("no").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
+    draw = F.shiftright((F.col("rep") * 7919 + F.col("i") * 104729 + seed) * 1103515245 % 2147483648, 8) % F.col("m")
+    drawn = draws.select("its", "rep", draw.alias("drawn")).join(numbered, F.col("its").eqNullSafe(F.col("stratum")) & (F.col("drawn") == F.col("no")))
+    sums = drawn.groupBy("stratum", "rep").agg((F.sum("k") / F.sum("n")).alias("x"))
     tail = (1 - confidence) / 2
-    return sums.agg(F.percentile("x", tail).alias("low"), F.percentile("x", 1 - tail).alias("high"), F.count("*").alias("reps"))
+    out = sums.groupBy("stratum").agg(F.percentile("x", tail).alias("low"), F.percentile("x", 1 - tail).alias("high"), F.count("*").alias("reps"))
+    return out.withColumnRenamed("stratum", by) if by else out.drop("stratum")
 
 
 def graph_pr(expected: DataFrame, actual: DataFrame) -> DataFrame:

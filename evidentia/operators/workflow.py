@@ -68,16 +68,13 @@ def metric_bounds(metrics: DataFrame, reps: int, seed: int, floor: float, by: st
     """(metric or by, k, n, wilson_low, bootstrap_low, conservative_low, passed) from one row (cluster, k, n, by) a repository:
     the lesser of the score interval's and the cluster bootstrap's lower bound, against a floor.
 
-    Strata are few by their nature (labels of a protocol); each is resampled on its own."""
-    groups = [None] if by is None else sorted(r[0] for r in metrics.select(by).distinct().collect())
-    parts = []
-    for g in groups:
-        own = (metrics if g is None else metrics.where(F.col(by) == g)).groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-        total = own.agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-        both = total.join(F.broadcast(cluster_bootstrap(own, reps, seed).select(F.col("low").alias("bootstrap_low"))))
-        parts.append(both.select(F.lit("all" if g is None else g).alias("stratum"), "k", "n", wilson(F.col("k"), F.col("n"))["low"].alias("wilson_low"), "bootstrap_low"))
+    All strata are summed and resampled in one pass; without rows there are no bounds."""
+    rows = metrics.select((F.col(by) if by else F.lit("all")).alias("stratum"), "cluster", "k", "n").groupBy("stratum", "cluster").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    totals = rows.groupBy("stratum").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    drawn = cluster_bootstrap(rows, reps, seed, by="stratum").select(F.col("stratum").alias("its"), F.col("low").alias("bootstrap_low"))
+    both = totals.join(drawn, F.col("stratum").eqNullSafe(F.col("its"))).select("stratum", "k", "n", wilson(F.col("k"), F.col("n"))["low"].alias("wilson_low"), "bootstrap_low")
     low = F.least("wilson_low", "bootstrap_low")
-    return reduce(DataFrame.unionByName, parts).withColumn("conservative_low", low).withColumn("passed", F.coalesce(F.col("conservative_low") >= floor, F.lit(False)))
+    return both.withColumn("conservative_low", low).withColumn("passed", F.coalesce(F.col("conservative_low") >= floor, F.lit(False)))
 
 
 def segment_features(repositories: DataFrame, field: str) -> DataFrame:

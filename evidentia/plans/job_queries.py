@@ -72,7 +72,7 @@ def c04_scan_fusion_job(spark, sf_dir):
     return jobs.report(status=(out["status"], "status", "n"), clusters=(clusters, "key", "n"))
 
 
-RULES = [{"outcome": "track"}, {"outcome": "attend", "state": ["affected", "unresolved"]}, {"outcome": "act", "state": ["affected"], "exploitation": ["active"]}]
+RULES = [(1, "track", {}), (2, "attend", {"state": ["affected", "unresolved"]}), (3, "act", {"state": ["affected"], "exploitation": ["active"]})]
 
 
 @query(f"""WITH x AS (SELECT * FROM {of('j16_vuln_applicability')}), g AS (SELECT bom_ref, advisory_id % 50 AS grp, min(CASE state WHEN 'affected' THEN 1 WHEN 'unresolved' THEN 2 WHEN 'not_affected' THEN 3 ELSE 4 END) AS r, bool_or(known_exploited) AS k FROM x GROUP BY 1, 2)
@@ -80,7 +80,7 @@ RULES = [{"outcome": "track"}, {"outcome": "attend", "state": ["affected", "unre
 def c05_vuln_job(spark, sf_dir):
     sbom, advisories, kev, epss = vulnerability_queries.inputs(spark, sf_dir)
     aliases = advisories.select("advisory_id", (F.col("advisory_id") % 50).alias("alias"))
-    out = jobs.vulnerability(sbom, advisories, aliases, kev, epss, RULES)
+    out = jobs.vulnerability(sbom, advisories, aliases, kev, epss, spark.createDataFrame(RULES, "rule_order int, outcome string, allowed map<string,array<string>>"))
     return jobs.report(state=(out["states"], "state", "n"), outcome=(out["outcomes"], "outcome", "n"))
 
 

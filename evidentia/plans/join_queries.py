@@ -112,10 +112,24 @@ def j18_merge_intel(spark, sf_dir):
 
 @query("""SELECT id, CASE WHEN exploitation = 'active' AND automatable = 'yes' THEN 'act' WHEN exploitation = 'active' THEN 'attend' WHEN automatable = 'yes' THEN 'track_closely' ELSE 'track' END AS outcome FROM v_decision_obs""")
 def j19_decision_table(spark, sf_dir):
-    rules = [{"outcome": "track"}, {"automatable": ["yes"], "outcome": "track_closely"}, {"exploitation": ["active"], "outcome": "attend"}, {"exploitation": ["active"], "automatable": ["yes"], "outcome": "act"}]
+    rules = spark.createDataFrame([(1, "track", {}), (2, "track_closely", {"automatable": ["yes"]}), (3, "attend", {"exploitation": ["active"]}), (4, "act", {"exploitation": ["active"], "automatable": ["yes"]})],
+                                  "rule_order int, outcome string, allowed map<string,array<string>>")
     return J.decision_table(view(spark, sf_dir, "v_decision_obs"), rules, ["exploitation", "automatable"]).select("id", "outcome")
 
 
+@query("""WITH r AS (SELECT p_partkey AS ord, 'o' || CAST(p_partkey AS VARCHAR) AS outcome, p_brand AS brand, p_size AS size, p_partkey % 3 AS n FROM part),
+    m AS (SELECT p_partkey, ord, r.outcome FROM part JOIN r ON (n = 0 OR brand = p_brand) AND (n = 1 OR size = p_size OR size + 1 = p_size) WHERE n < 2 OR (brand = p_brand AND (size = p_size OR size + 1 = p_size)))
+    SELECT p.p_partkey AS id, CASE WHEN p_size % 13 = 0 THEN 'undecided' ELSE coalesce(max_by(outcome, ord), 'undecided') END AS outcome FROM part p LEFT JOIN m USING (p_partkey) GROUP BY p.p_partkey, p_size""")
+def j19_rules_of_a_table(spark, sf_dir):
+    """Every part is a rule too: on its size and the next one, its brand, or both; sizes that 13 divides are unknown."""
+    part = table(spark, sf_dir, "part")
+    size, brand = F.array(F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")), F.array("p_brand")
+    allowed = F.when(F.col("p_partkey") % 3 == 0, F.create_map(F.lit("size"), size)).when(F.col("p_partkey") % 3 == 1, F.create_map(F.lit("brand"), brand)).otherwise(F.create_map(F.lit("size"), size, F.lit("brand"), brand))
+    rules = part.select(F.col("p_partkey").alias("rule_order"), F.concat(F.lit("o"), F.col("p_partkey").cast("string")).alias("outcome"), allowed.alias("allowed"))
+    obs = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 13 != 0, F.col("p_size").cast("string")).alias("size"))
+    return J.decision_table(obs, rules, ["size", "brand"]).select("id", "outcome")
+
+
 @query("""SELECT DISTINCT finding_id, citation FROM v_findings JOIN (VALUES ('*', 'c0'), ('rule.*', 'c1'), ('rule.7', 'c2'), ('rule.1', 'c3')) m(selector, citation)
     ON selector = '*' OR rule_id = selector OR (selector LIKE '%.*' AND starts_with(rule_id, replace(selector, '*', '')))""")
 def j20_cite(spark, sf_dir):

@@ -19,7 +19,7 @@ def s02_read_spans(spark, sf_dir):
                     F.array(F.struct(F.lit("kind").alias("key"), text("event_type").alias("value"))).alias("attributes"))
     service = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit("svc").alias("stringValue")).alias("value")))
     resource = F.struct(F.struct(service.alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))
-    table(spark, sf_dir, "events").select(F.pmod("event_id", F.lit(64)).alias("g"), resource.alias("r")).groupBy("g").agg(F.collect_list("r").alias("resourceSpans")).drop("g").write.json(path)
+    table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("g"), resource.alias("r")).groupBy("g").agg(F.collect_list("r").alias("resourceSpans")).drop("g").write.json(path)
     return R.read_spans(spark, path, lines=True).select("trace_id", "span_id", "name", "start_ns", F.col("attributes")["service.name"].alias("service"))
 
 
@@ -69,9 +69,9 @@ def _analysis(spark, sf_dir):
     item = F.struct(_text("o_orderkey").alias("id"), (F.col("o_custkey") % 50).cast("string").alias("component_id"), F.struct(F.concat(F.lit("rule"), (F.col("o_custkey") % 7).cast("string")).alias("rule_id")).alias("scanner"), review.alias("review"))
     gaps = F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("o_custkey") % 3).cast("int"))
     obligation = F.struct(_text("o_orderkey").alias("id"), F.col("o_orderpriority").alias("assurance_status"), gaps.alias("planning_gaps"), F.struct(F.when(F.col("o_custkey") % 2 == 0, "implemented").otherwise("proposed").alias("implementation_status")).alias("automation"))
-    rows = table(spark, sf_dir, "orders").select(F.pmod("o_orderkey", F.lit(16)).alias("g"), item.alias("i"), obligation.alias("o"))
+    rows = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("g"), item.alias("i"), obligation.alias("o"))
     docs = rows.groupBy("g").agg(F.collect_list("i").alias("items"), F.struct(F.collect_list("o").alias("obligations")).alias("assurance"))
-    docs.repartition(16, "g").write.option("maxRecordsPerFile", 1).json(path)
+    docs.write.option("maxRecordsPerFile", 1).json(path)
     return R.read_analysis(spark, path)
 
 
@@ -80,7 +80,7 @@ def s05_coverage_round_trip(spark, sf_dir):
     path = new_folder(spark)
     hit = lambda n: F.when(F.col("s_nationkey") % 2 == n, F.array("s_suppkey")).otherwise(F.array().cast("array<long>"))
     files = F.map_from_entries(F.collect_list(F.struct(F.col("s_name"), F.struct(hit(0).alias("executed_lines"), hit(1).alias("missing_lines")))))
-    table(spark, sf_dir, "supplier").groupBy(F.col("s_suppkey") % 8).agg(files.alias("files")).select("files").write.option("maxRecordsPerFile", 1).json(path)
+    table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 1000)).agg(files.alias("files")).select("files").write.option("maxRecordsPerFile", 1).json(path)
     return R.read_coverage(spark, path)
 
 
@@ -88,7 +88,7 @@ def s05_coverage_round_trip(spark, sf_dir):
 def s07_sbom_round_trip(spark, sf_dir):
     path = new_folder(spark)
     part = F.struct(F.concat(F.lit("bom"), _text("p_partkey")).alias("bom-ref"), F.concat(F.lit("pkg:pypi/"), F.translate("p_name", " ", "-"), F.lit("@"), _text("p_size")).alias("purl"), F.col("p_name").alias("name"), _text("p_size").alias("version"))
-    table(spark, sf_dir, "part").groupBy(F.col("p_partkey") % 8).agg(F.collect_list(part).alias("components")).select("components").write.option("maxRecordsPerFile", 1).json(path)
+    table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 1000)).agg(F.collect_list(part).alias("components")).select("components").write.option("maxRecordsPerFile", 1).json(path)
     return R.read_sbom(spark, path).select("bom_ref", "ecosystem", "name", "version")
 
 
@@ -96,7 +96,7 @@ def s07_sbom_round_trip(spark, sf_dir):
 def s10_adjacency_round_trip(spark, sf_dir):
     path = new_folder(spark)
     lists = table(spark, sf_dir, "lineitem").groupBy(_text("l_suppkey").alias("s")).agg(F.collect_set(_text("l_partkey")).alias("t"))
-    lists.groupBy(F.pmod(F.hash("s"), F.lit(8))).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s", "t")))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    lists.groupBy(F.floor(F.col("s").cast("long") / 100)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s", "t")))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return R.read_adjacency(spark, path)
 
 
@@ -104,7 +104,7 @@ def s10_adjacency_round_trip(spark, sf_dir):
 def s12_lifecycle_entities(spark, sf_dir):
     path = new_folder(spark)
     element = F.struct(F.col("c_name").alias("@id"), F.lit("Customer").alias("@type"), F.col("c_mktsegment").alias("name"), F.array(F.struct((F.col("c_nationkey")).cast("string").alias("target"), F.lit("in").alias("kind"))).alias("relationships"))
-    table(spark, sf_dir, "customer").groupBy(F.col("c_custkey") % 8).agg(F.collect_list(element).alias("elements")).select("elements").write.option("maxRecordsPerFile", 1).json(path)
+    table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 1000)).agg(F.collect_list(element).alias("elements")).select("elements").write.option("maxRecordsPerFile", 1).json(path)
     return R.read_lifecycle_model(spark, path)[0]
 
 
@@ -115,6 +115,18 @@ def f04_explode_spans(spark, sf_dir):
     return R.explode_spans(docs).select("trace_id", "span_id", "name", "batch")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, CASE WHEN event_id % 2 = 1 THEN 'root' END AS parent_span_id, event_type AS name, user_id % 10 AS batch FROM events")
+def f04_spans_of(spark, sf_dir):
+    """By SQL alone; traces of even users are nested in resources."""
+    parent = F.when(F.col("event_id") % 2 == 1, "root").otherwise("")
+    span = F.struct(_text("user_id").alias("traceId"), _text("event_id").alias("spanId"), parent.alias("parentSpanId"), F.col("event_type").alias("name"))
+    grouped = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(span).alias("spans"))
+    nested = F.to_json(F.struct(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans")))
+    docs = grouped.select((F.col("user_id") % 10).alias("batch"), F.when(F.col("user_id") % 2 == 0, nested).otherwise(F.to_json(F.struct("spans"))).alias("body"))
+    R.register_spans_of(spark)
+    return spark.sql("SELECT trace_id, span_id, parent_span_id, name, batch FROM (SELECT batch, spans_of(body) AS spans FROM {docs}) LATERAL VIEW inline(spans) s AS trace_id, span_id, parent_span_id, name", docs=docs)
+
+
 @query("SELECT c_custkey, sha256('{\"c_custkey\":' || CAST(c_custkey AS VARCHAR) || ',\"c_name\":\"' || c_name || '\"}') AS digest FROM customer")
 def p03_row_digest(spark, sf_dir):
     from evidentia.functions.columns import row_digest

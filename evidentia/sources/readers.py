@@ -206,9 +206,21 @@ def read_perf_receipts(spark: SparkSession, path: str) -> DataFrame:
                        "tool.version", F.coalesce("policy", default).alias("policy"))
 
 
+def register_spans_of(spark: SparkSession) -> None:
+    """Make ``spans_of(body)`` known to the session's SQL: the spans of a trace document, JSON text, as an array of (trace_id,
+    span_id, parent_span_id, name), which ``LATERAL VIEW inline`` makes rows of.
+
+    It is an expression in Catalyst, so a query that uses it stays one pass over the documents.  A table function of the same
+    body would be joined back to its documents by their text, which shuffles every text twice."""
+    nested = "flatten(flatten(transform(d.resourceSpans, r -> transform(coalesce(r.scopeSpans, r.instrumentationLibrarySpans), s -> s.spans))))"
+    span = "struct(s.traceId AS trace_id, s.spanId AS span_id, nullif(s.parentSpanId, '') AS parent_span_id, s.name AS name)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION spans_of(body STRING) RETURNS ARRAY<STRUCT<trace_id: STRING, span_id: STRING, parent_span_id: STRING, name: STRING>> "
+        f"RETURN transform(array_compact(transform(array(from_json(body, '{_OTLP}')), d -> concat(coalesce(d.spans, array()), coalesce({nested}, array()))))[0], s -> {span})")
+
+
 def explode_spans(documents: DataFrame, column: str = "body") -> DataFrame:
-    """Spans of trace documents held as JSON text in a column, one row a span, beside the documents' other columns: what a
-    table function would give."""
+    """Spans of trace documents held as JSON text in a column, one row a span, beside the documents' other columns."""
     spans = F.from_json(F.col(column), _OTLP)
     docs = documents.withColumn("d", spans)
     others = [c for c in documents.columns if c != column]

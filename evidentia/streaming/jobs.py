@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from evidentia.storage import new_folder
 
 #: What the breaker's state holds: its name, failures in a row, probes passed, when it opened.
 STATE = "state string, failures long, passed long, opened_us long"
-TRANSITIONS = "service long, event_id long, at_us long, state_before string, state_after string, rejected boolean"
+TRANSITION_NAMES = ["service", "event_id", "at_us", "state_before", "state_after", "rejected", "violation"]
+TRANSITIONS = "service long, event_id long, at_us long, state_before string, state_after string, rejected boolean, violation string"
+WAITING = "event_id long, at_us long, failed boolean, logged_before string, logged_after string"
 
 
 def to_instant(ts: Column) -> Column:
@@ -40,12 +42,6 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def drained_by(stream: DataFrame, take: Callable[[DataFrame, int], None]) -> None:
-    """Give each micro-batch with its number to a function."""
-    progress = new_folder(stream.sparkSession)
-    stream.writeStream.foreachBatch(take).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-
-
 def ingest_spans(spans: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each (trace_id, span_id) once; state is dropped when the watermark has passed."""
     return spans.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
@@ -77,25 +73,33 @@ def parent_child(parents: DataFrame, children: DataFrame, within: str = "7 days"
     return c.join(p, (F.col("trace_id") == F.col("p_trace")) & (F.col("parent_span_id") == F.col("p_span")) & near).select("trace_id", "span_id", "parent_span_id", "source", "target")
 
 
-def rolling_edges(edges: DataFrame) -> DataFrame:
+def rolling_edges(edges: DataFrame, base: str | None = None, progress: str | None = None) -> DataFrame:
     """(source, target, channels, seen) after all batches: each batch is folded into a new version of the edge table.
 
-    A version is named by its batch, so a repeated batch writes the same version again."""
-    spark, base = edges.sparkSession, new_folder(edges.sparkSession)
-    last: list[int] = []
+    A version is a folder named by its batch, begun from the last one before it, so a repeated batch writes the same version
+    again; with the ``base`` and ``progress`` folders of an earlier run the stream goes on where that ended."""
+    spark = edges.sparkSession
+    base, progress = base or new_folder(spark), progress or new_folder(spark)
+    schema = "source string, target string, channels array<string>, seen long"
+
+    def versions() -> list[int]:
+        """The batches whose versions were written whole."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return sorted(int(n) for n in names if n.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS")))
 
     def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("source", "target").agg(F.collect_set("channel").alias("channels"), F.count("*").alias("seen"))
-        before = [n for n in last if n < number]
+        new = batch.groupBy(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).agg(F.collect_set("channel").alias("channels"), F.count("*").alias("seen"))
+        before = [n for n in versions() if n < number]
         if before:
-            new = new.unionByName(spark.read.schema(new.schema).parquet(f"{base}/{before[-1]}"))
+            new = new.unionByName(spark.read.schema(schema).parquet(f"{base}/{before[-1]}"))
         (new.groupBy("source", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("channels"), F.sum("seen").alias("seen"))
          .write.mode("overwrite").parquet(f"{base}/{number}"))
-        if number not in last:
-            last.append(number)
 
-    drained_by(edges, upsert)
-    return spark.read.parquet(f"{base}/{last[-1]}") if last else spark.createDataFrame([], "source string, target string, channels array<string>, seen long")
+    edges.writeStream.foreachBatch(upsert).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    there = versions()
+    return spark.read.schema(schema).parquet(f"{base}/{there[-1]}") if there else spark.createDataFrame([], schema)
 
 
 class Breaker:
@@ -127,8 +131,14 @@ class Breaker:
         return before, self.state, False
 
 
+def violation(said: tuple[str, str, bool], before: str | None, after: str | None) -> str | None:
+    """Which of the states that were logged, if any, the replay contradicts."""
+    return "state_before" if before is not None and before != said[0] else "state_after" if after is not None and after != said[1] else None
+
+
 def replay_breakers(requests: DataFrame, threshold: int = 2, cooldown_us: int = 3_600_000_000, probes: int = 2) -> DataFrame:
-    """Replay of (service, event_id, at_us, failed): each service's rows come sorted to one task, which holds one breaker and no rows."""
+    """Replay of (service, event_id, at_us, failed, logged_before, logged_after): each service's rows come sorted to one task, which
+    holds one breaker and no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = breaker = None
@@ -137,21 +147,110 @@ def replay_breakers(requests: DataFrame, threshold: int = 2, cooldown_us: int =
             for r in pdf.itertuples(index=False):
                 if breaker is None or r.service != service:
                     service, breaker = r.service, Breaker(threshold, cooldown_us, probes)
-                out.append((r.service, r.event_id, r.at_us, *breaker.see(r.at_us, r.failed)))
-            yield pd.DataFrame(out, columns=["service", "event_id", "at_us", "state_before", "state_after", "rejected"])
+                said = breaker.see(r.at_us, r.failed)
+                out.append((r.service, r.event_id, r.at_us, *said, violation(said, r.logged_before, r.logged_after)))
+            yield pd.DataFrame(out, columns=TRANSITION_NAMES)
 
-    ordered = requests.select("service", "event_id", "at_us", "failed").repartition("service").sortWithinPartitions("service", "at_us", "event_id")
+    ordered = requests.select("service", "event_id", "at_us", "failed", "logged_before", "logged_after").repartition("service").sortWithinPartitions("service", "at_us", "event_id")
     return ordered.mapInPandas(run, TRANSITIONS)
 
 
-def replay_breakers_stream(requests: DataFrame, threshold: int = 2, cooldown_us: int = 3_600_000_000, probes: int = 2) -> DataFrame:
-    """The same over a stream; the files must come in order of time, and one micro-batch of a service fits its task."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        breaker = Breaker(threshold, cooldown_us, probes, tuple(state.get) if state.exists else None)
-        rows = pd.concat(list(parts)).sort_values(["at_us", "event_id"])
-        out = [(key[0], r.event_id, r.at_us, *breaker.see(r.at_us, r.failed)) for r in rows.itertuples(index=False)]
-        state.update(breaker.held())
-        yield pd.DataFrame(out, columns=["service", "event_id", "at_us", "state_before", "state_after", "rejected"])
-
-    return requests.select("service", "event_id", "at_us", "failed").groupBy("service").applyInPandasWithState(run, TRANSITIONS, STATE, "append", GroupStateTimeout.NoTimeout)
+class _Replay(StatefulProcessor):
+    """Holds a service's requests until the watermark has passed them, then replays them in order; state is the breaker and
+    what lies within the watermark's delay."""
+
+    def __init__(self, threshold: int, cooldown_us: int, probes: int) -> None:
+        self.policy = threshold, cooldown_us, probes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.breaker = handle.getValueState("breaker", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        least = None
+        for pdf in rows:
+            new = [tuple(r) for r in pdf[["event_id", "at_us", "failed", "logged_before", "logged_after"]].astype(object).where(pdf.notna(), None).itertuples(index=False)]
+            self.waiting.appendList(new)
+            least = min([*([] if least is None else [least]), *(r[1] for r in new)])
+        if least is not None:
+            self.handle.registerTimer(least // 1000)
+        yield pd.DataFrame(columns=TRANSITION_NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for r in self.waiting.get():
+            (ready if r[1] // 1000 <= passed else later).append(tuple(r))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(r[1] for r in later) // 1000)
+        else:
+            self.waiting.clear()
+        breaker = Breaker(*self.policy, held=tuple(self.breaker.get()) if self.breaker.exists() else None)
+        out = []
+        for event_id, at_us, failed, before, after in sorted(ready, key=lambda r: (r[1], r[0])):
+            said = breaker.see(at_us, failed)
+            out.append((key[0], event_id, at_us, *said, violation(said, before, after)))
+        if out:
+            self.breaker.update(breaker.held())
+        yield pd.DataFrame(out, columns=TRANSITION_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def replay_breakers_stream(requests: DataFrame, threshold: int = 2, cooldown_us: int = 3_600_000_000, probes: int = 2, delay: str = "1 hour") -> DataFrame:
+    """The same over a stream of (service, event_id, at_us, failed, logged_before, logged_after), with ``violation``: which of the
+    logged states the replay contradicts.
+
+    Requests are replayed in order of time and number once the watermark, ``delay`` behind the newest, has passed them,
+    however they are spread over files; what comes later than that is dropped and counted in the query's progress.  The
+    session's state store must be RocksDB (``rocks``)."""
+    timed = requests.select("service", "event_id", "at_us", "failed", "logged_before", "logged_after", F.timestamp_micros("at_us").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("service").transformWithStateInPandas(_Replay(threshold, cooldown_us, probes), TRANSITIONS, "Append", "EventTime")
+
+
+def rocks(spark: SparkSession) -> None:
+    """Keep the state of streams on disk, as stateful processors need it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+#: Rows of a slice of time that ``in_order`` writes as one file.
+SLICE_ROWS = 1_000_000
+
+
+def in_order(events: DataFrame, least_slices: int = 4) -> DataFrame:
+    """The events (ts as instant) as a stream of files in order of time, one a micro-batch, so that a batch holds a slice of time.
+
+    Streams take files by when they were written, so the slices, of about SLICE_ROWS rows each, are written one after the other."""
+    spark, path = events.sparkSession, new_folder(events.sparkSession)
+    at = F.unix_micros("ts")
+    slices = max(least_slices, -(-events.count() // SLICE_ROWS))
+    cuts = sorted(set(events.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000).alias("q")).first()["q"] or []))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own = events if low is None else events.where(at > low)
+        (own if high is None else own.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def two_sinks(events: DataFrame, accepted: str, rejected: str, progress: str, window: str = "1 day", delay: str = "1 hour") -> dict[str, int]:
+    """Write each event (event_id, ts, ended_at) once, to the folder of the accepted or of the rejected (``route_late``), and tell how
+    many rows came in, and were late: older than the watermark, so that Spark dropped them.
+
+    Both folders get a batch in one commit of the stream, under the batch's number, so a batch that is repeated after a failure
+    replaces what it had written.  With the progress folder of an earlier run the stream goes on where that ended."""
+    once = route_late(events, window).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for sink, path in (("accepted", accepted), ("rejected", rejected)):
+                batch.where(F.col("sink") == sink).drop("sink").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    query = once.writeStream.foreachBatch(take).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = query.recentProgress
+    return {"input": sum(p.numInputRows for p in told), "late": sum(o.numRowsDroppedByWatermark for p in told for o in p.stateOperators)}

@@ -172,3 +172,108 @@ def test_taxonomies(spark, tmp_path):
     entries, links = B.read_taxonomy(spark, str(tmp_path))
     assert rows_of(entries, "kind", "entry_id", "deprecated", "reject") == [("capec", "5", False, None), ("cwe", "1", False, None), ("cwe", "2", True, "incomplete")]
     assert rows_of(links, "kind", "entry_id", "target_kind", "target_id", "nature", "view_id") == [("capec", "5", "capec", "6", "canprecede", ""), ("capec", "5", "cwe", "1", "related", ""), ("cwe", "1", "cwe", "2", "childof", "9")]
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    from evidentia.operators import claims as K
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)] + ["common"] * 6
+    rows = [(i, sorted({rng.choice(words) for _ in range(rng.randrange(0, 9))}), rng.choice(["a", "a", "b", None])) for i in range(160)]
+    rows += [(200 + i, ["same", "set"], "a") for i in range(6)] + [(300, ["one"], "b"), (301, ["one"], "b")]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, component string").repartition(4)
+    for least in (0.2, 0.5, 0.84, 1.0):
+        want = {(a, b): plain_jaccard(set(x), set(y)) for a, x, c in rows for b, y, d in rows if a < b and c is not None and c == d and x and y}
+        got = {(r.left_id, r.right_id): r.similarity for r in K.similar_pairs(df, None, least, ["component"]).collect()}
+        assert got == {k: v for k, v in want.items() if v >= least}
+        left, right = rows[:90], rows[70:]
+        make = lambda some: spark.createDataFrame([r[:2] for r in some], "id long, tokens array<string>").repartition(3)
+        got = K.similar_pairs(make(left), make(right), least, []).collect()
+        want = {(a, b): plain_jaccard(set(x), set(y)) for a, x, _ in left for b, y, _ in right if x and y}
+        assert len(got) == len({(r.left_id, r.right_id) for r in got}) and {(r.left_id, r.right_id): r.similarity for r in got} == {k: v for k, v in want.items() if v >= least}
+
+
+def test_decision_rules_are_rows(spark):
+    from evidentia.operators import joins as J
+
+    rng = random.Random(2)
+    values = {"a": ["x", "y", "*", "1:x"], "b": ["p", "q"], "c": ["r", "s", "t"]}
+    rules = [(i, f"o{i}", {p: rng.sample(v, rng.randrange(1, len(v))) for p, v in values.items() if rng.random() < 0.6}) for i in range(60)] + [(i, f"late{i}", {"a": [f"v{i}"], "b": ["p"]}) for i in range(60, 4000)]
+    obs = [(i, *[rng.choice([*v, None, "other"]) for v in values.values()]) for i in range(200)] + [(500, "v777", "p", "r")]
+
+    def plain(row):
+        seen = dict(zip(values, row[1:]))
+        fits = [o for _, o, allowed in rules if all(seen[p] in own for p, own in allowed.items())]
+        return "undecided" if None in seen.values() or not fits else fits[-1]
+
+    table = spark.createDataFrame(rng.sample(rules, len(rules)), "rule_order int, outcome string, allowed map<string,array<string>>")
+    got = J.decision_table(spark.createDataFrame(obs, "id long, a string, b string, c string"), table, list(values)).collect()
+    assert {r.id: r.outcome for r in got} == {r[0]: plain(r) for r in obs} and len(got) == len(obs)
+    none = J.decision_table(spark.createDataFrame(obs, "id long, a string, b string, c string"), table.limit(0), list(values)).collect()
+    assert {r.outcome for r in none} == {"undecided"}
+
+
+def test_tokens_at_unknown_depths(spark):
+    from evidentia.operators import claims as K
+
+    rows = [(1, json.dumps({"id": 7, "x": [[{"y": {"z": [{"file_sha256": "ab", "run_ids": ["p", 2, None, ""], "user_id": True}]}}]], "note": "n"})), (2, "not json"), (3, None), (4, json.dumps(["a", {"id": {"id": "q"}}])), (5, json.dumps("id"))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k int, body string, level int")
+    got = {r.k: r.tokens for r in K.identity_tokens_of(df, "body").collect()}
+    assert got == {1: ["file_sha256=ab", "id=2", "id=7", "id=p", "run_ids=2", "run_ids=p", "sha256=ab"], 2: [], 3: [], 4: ["id=q"], 5: []}
+    assert K.identity_tokens_of(df, "body").columns == ["k", "body", "level", "tokens"]
+
+
+def test_late_rows_and_two_sinks_over_two_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from evidentia.streaming import jobs as S
+
+    day = 86_400_000_000
+    shape = "event_id long, ts timestamp, ended_at timestamp"
+
+    def write(rows):
+        df = spark.createDataFrame(rows, "event_id long, a long, b long").select("event_id", F.timestamp_micros("a").alias("ts"), F.timestamp_micros("b").alias("ended_at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return S.two_sinks(stream, str(tmp_path / "yes"), str(tmp_path / "no"), str(tmp_path / "progress"))
+
+    for first in (1, 10, 20):
+        write([(first + i, first * day + i * 1000, first * day + i * 1000 + (2 * day if i % 3 == 0 else 0)) for i in range(9)])
+    told = run()
+    assert told == {"input": 27, "late": 0}
+    write([(100 + i, 5 * day, 5 * day) for i in range(4)] + [(200, 21 * day, 21 * day)])
+    told = run()
+    assert told == {"input": 5, "late": 4}
+    yes, no = spark.read.parquet(str(tmp_path / "yes")), spark.read.parquet(str(tmp_path / "no"))
+    assert (yes.count(), no.count()) == (19, 9) and yes.select("event_id").distinct().count() == 19
+
+
+def test_edges_go_on_after_a_restart(spark, tmp_path):
+    from evidentia.streaming import jobs as S
+
+    shape = "source string, target string, channel string"
+    run = lambda: {(r.target, r.seen) for r in S.rolling_edges(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "base"), str(tmp_path / "progress")).collect()}
+    write = lambda rows: spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write([("a", "b", "x")])
+    assert run() == {("b", 1)}
+    write([("a", "b", "y"), ("a", "c", "x")])
+    assert run() == {("b", 2), ("c", 1)}
+    (tmp_path / "base" / "9").mkdir()  # a version that was begun and not finished
+    assert run() == {("b", 2), ("c", 1)}
+
+
+def test_bounds_of_strata_and_of_none(spark):
+    from evidentia.operators import workflow as W
+
+    rows = [(f"c{i}", i % 4, 4, s) for i in range(30) for s in ("a", "b", None)]
+    metrics = spark.createDataFrame(rows, "cluster string, k long, n long, stratum string")
+    by = {r.stratum: tuple(r)[1:] for r in W.metric_bounds(metrics, 40, 3, 0.1, "stratum").collect()}
+    alone = {tuple(r)[1:] for r in W.metric_bounds(metrics.where("stratum = 'a'"), 40, 3, 0.1).collect()}
+    assert set(by) == {"a", "b", None} and set(by.values()) == alone
+    assert W.metric_bounds(metrics.limit(0), 40, 3, 0.1, "stratum").count() == 0 and W.metric_bounds(metrics.limit(0), 40, 3, 0.1).count() == 0
