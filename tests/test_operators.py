@@ -1,5 +1,7 @@
 """Operators on hand-made rows."""
 
+import os
+
 import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import columns as C
 from evidentia.operators import graphs, joins, stats
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_version_range_and_unresolved(spark):
     df = spark.createDataFrame([("1.0",), ("1.5",), ("2",), ("2.1rc1",)], "v string")
@@ -68,3 +72,20 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["classification", "n", "first_items", "omitted"]
+
+
+def test_every_sql_runs():
+    """DuckDB takes the SQL of every query, so that none breaks unseen."""
+    duckdb = pytest.importorskip("duckdb")
+    from evidentia.plans import catalog
+
+    base = duckdb.connect()
+    for name in os.listdir(SMALL):
+        base.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SMALL}/{name}'")
+    broken = {}
+    for name, sql in catalog.ORACLES.items():
+        try:
+            base.execute(f"SELECT count(*) FROM ({sql})").fetchall()
+        except duckdb.Error as e:
+            broken[name] = str(e)[:200]
+    assert not broken
