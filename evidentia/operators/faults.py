@@ -258,6 +258,13 @@ def cut_sets(events: DataFrame, gates: DataFrame, inputs: DataFrame, top: str =
     return found.select("tree", F.explode("sets").alias("cut_set")), found.select("tree", "status")
 
 
+def availability(blocks: DataFrame) -> DataFrame:
+    """(tree, node, value, low, high): the share of time that repaired blocks (tree, node, failure, repair and their _low and _high
+    rates) are up, mu / (lambda + mu); the bounds take the worst and the best of both rates.  Null where no rate is above 0."""
+    up = lambda failure, repair: F.col(repair) / F.nullif(F.col(failure) + F.col(repair), F.lit(0.0))
+    return blocks.select("tree", "node", up("failure", "repair").alias("value"), up("failure_high", "repair_low").alias("low"), up("failure_low", "repair_high").alias("high"))
+
+
 def block_reliability(blocks: DataFrame, gates: DataFrame, inputs: DataFrame) -> DataFrame:
     """(diagram, node, value, low, high) of every gate, from blocks (tree, node, value, low, high): success probabilities,
     such as exp(-rate * time), or availabilities.

@@ -175,6 +175,28 @@ def paired_cohort(base: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return out.withColumn("comparable", (F.col("base_only") == 0) & (F.col("current_only") == 0) & (F.col("repeated") == 0))
 
 
+def like_for_like(cohorts: DataFrame, cases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(base, current, comparable, reason) of pairs of cohorts (cohort, dataset_sha256, oracle_sha256) with cases (cohort, id), many at once.
+
+    Only like may be compared with like: both digests are known and the same, no case lacks an identifier or occurs twice, and
+    both have the same cases, at least one.  The reason is the first that fails, '' if none does."""
+    known = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$") & (F.col(c) != "0" * 64), F.lit(False))
+    blank = F.coalesce(F.trim("id"), F.lit("")) == ""
+    each = cases.groupBy("cohort", "id").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("cohort").agg(F.count("*").alias("ids"), F.bool_or(F.col("n") > 1).alias("twice"), F.bool_or(blank).alias("blank"))
+    about = cohorts.select("cohort", "dataset_sha256", "oracle_sha256", (known("dataset_sha256") & known("oracle_sha256")).alias("known")).join(sizes, "cohort", "left")
+    side = lambda name: about.select(F.col("cohort").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in about.columns if c != "cohort"])
+    met = pairs.join(side("base"), "base", "left").join(side("current"), "current", "left")
+    ids = each.select("cohort", "id").where(~blank)
+    shared = pairs.distinct().join(ids.withColumnRenamed("cohort", "base"), "base").join(ids.withColumnRenamed("cohort", "current"), ["current", "id"]).groupBy("base", "current").agg(F.count("*").alias("shared"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    same = (F.col("base_dataset_sha256") == F.col("current_dataset_sha256")) & (F.col("base_oracle_sha256") == F.col("current_oracle_sha256"))
+    reason = (F.when(~yes(F.col("base_known") & F.col("current_known")), "unknown digest").when(~yes(same), "other digest").when(yes(F.col("base_blank")) | yes(F.col("current_blank")), "no identifier")
+              .when(yes(F.col("base_twice")) | yes(F.col("current_twice")), "repeated case").when(F.coalesce("shared", F.lit(0)) == 0, "no shared case")
+              .when((F.col("shared") != F.col("base_ids")) | (F.col("shared") != F.col("current_ids")), "other cases").otherwise(""))
+    return met.join(shared, ["base", "current"], "left").select("base", "current", (reason == "").alias("comparable"), reason.alias("reason"))
+
+
 def version_as_of(rows: DataFrame, changes: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """The last version in force at each row's time: one shuffle on the keys, no range join."""
     both = rows.withColumn("__v", F.lit(None).cast(changes.schema["version"].dataType)).withColumn("__t", F.col(ts)).withColumn("__k", F.lit(1)).unionByName(

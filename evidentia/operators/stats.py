@@ -66,6 +66,17 @@ def pass_at_k(attempts: DataFrame, k: int) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.avg(F.col("first").cast("double")).alias("pass_1"), F.avg(F.col("any").cast("double")).alias("pass_k"), F.avg(F.col("flaky").cast("double")).alias("flaky_rate"), F.avg("latency").alias("mean_latency"))
 
 
+def attempt_rates(attempts: DataFrame) -> DataFrame:
+    """One row over (case_id, attempt, resolved, flaky, unsafe, latency, tokens, cost): how many cases and attempts, the share of first
+    attempts that resolved their case (of those that tell), of attempts that were flaky or unsafe, and means over the attempts
+    that have a number.  Null where there is nothing to divide by."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    firsts = attempts.groupBy("case_id").agg(F.min_by("resolved", "attempt").alias("resolved")).agg(F.count("*").alias("cases"), share("resolved").alias("resolved_rate"))
+    every = attempts.agg(F.count("*").alias("attempts"), share("flaky").alias("flaky_attempt_rate"), share("unsafe").alias("unsafe_rate"), *[F.avg(c).alias(f"mean_{c}") for c in ("latency", "tokens", "cost")])
+    # two tables of one row
+    return firsts.join(F.broadcast(every))
+
+
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     c = df.agg(F.count("*").alias("n"), _count(F.col(a) & F.col(b)).alias("yy"), _count(F.col(a) & ~F.col(b)).alias("yn"), _count(~F.col(a) & F.col(b)).alias("ny"), _count(~F.col(a) & ~F.col(b)).alias("nn"))
     seen = (F.col("yy") + F.col("nn")) / F.col("n")

@@ -73,6 +73,18 @@ def a08_pass_at_k(spark, sf_dir):
     return rounded(rounded(S.pass_at_k(a, 3), "pass_1", "pass_k", "flaky_rate"), "mean_latency", digits=6)
 
 
+@query("""WITH a AS (SELECT o_custkey AS case_id, o_orderkey AS attempt, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 = 1 END AS resolved, o_orderstatus = 'P' AS flaky, o_orderkey % 7 = 0 AS unsafe, o_totalprice AS cost, o_orderkey % 100 AS tokens FROM orders),
+    f AS (SELECT case_id, arg_min(CASE WHEN resolved THEN 1 WHEN NOT resolved THEN 0 ELSE -1 END, attempt) AS r FROM a GROUP BY case_id),
+    c AS (SELECT count(*) AS cases, avg(CASE WHEN r >= 0 THEN r END) AS rr FROM f)
+    SELECT cases, round(rr, 9) AS resolved_rate, attempts, round(fl, 9) AS flaky_attempt_rate, round(un, 9) AS unsafe_rate, round(la, 6) AS mean_latency, round(tk, 6) AS mean_tokens, round(co, 6) AS mean_cost
+    FROM c, (SELECT count(*) AS attempts, avg(CAST(flaky AS INTEGER)) AS fl, avg(CAST(unsafe AS INTEGER)) AS un, avg(tokens / 10) AS la, avg(tokens) AS tk, avg(cost) AS co FROM a)""")
+def a08_attempt_rates(spark, sf_dir):
+    key = F.col("o_orderkey")
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), key.alias("attempt"), F.when(key % 4 > 0, key % 4 == 1).alias("resolved"), (F.col("o_orderstatus") == "P").alias("flaky"),
+                                              (key % 7 == 0).alias("unsafe"), (key % 100 / 10).alias("latency"), (key % 100).alias("tokens"), F.col("o_totalprice").alias("cost"))
+    return rounded(rounded(S.attempt_rates(a), "resolved_rate", "flaky_attempt_rate", "unsafe_rate"), "mean_latency", "mean_tokens", "mean_cost", digits=6)
+
+
 @query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 1) AS yy, count(*) FILTER (quality = 1 AND toxic <> 1) AS yn, count(*) FILTER (quality <> 1 AND toxic = 1) AS ny, count(*) FILTER (quality <> 1 AND toxic <> 1) AS nn FROM labels),
     p AS (SELECT n, (yy + nn) / n AS s, ((yy + yn) * (yy + ny) + (nn + yn) * (nn + ny)) / (n * n) AS e FROM c) SELECT n, round((s - e) / (1 - e), 9) AS kappa FROM p""")
 def a09_cohen_kappa(spark, sf_dir):

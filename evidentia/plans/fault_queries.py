@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import faults as T
 from evidentia.plans.catalog import query
-from evidentia.views import view
+from evidentia.views import table, view
 
 #: top = pair or rest; pair = e0 and e1; rest = any(e1, e2) and e3 and e4; trees of odd brands ask for two of e0, e1, e2 instead.
 GATES = [("top", "or", 0, ["pair", "rest"]), ("pair", "and", 0, ["e0", "e1"]), ("rest", "inhibit", 0, ["any", "e3", "e4"]), ("any", "or", 0, ["e1", "e2"]), ("any2", "vote", 2, ["e0", "e1", "e2"])]
@@ -84,6 +84,30 @@ def g11_diagrams(spark, sf_dir):
     return T.block_reliability(blocks, gates, inputs).select("diagram", F.round("value", 8).alias("value"))
 
 
+_RATES = """WITH b AS (SELECT l_orderkey AS tree, l_linenumber AS node, max(l_discount) + 0.01 AS f, min(l_quantity) AS r FROM lineitem GROUP BY 1, 2),
+    u AS (SELECT tree, node, r / (f + r) AS v, r * 0.5 / (f * 2 + r * 0.5) AS lo, r * 2 / (f * 0.5 + r * 2) AS hi FROM b), m AS (SELECT tree, count(*) AS n, sum(ln(v)) AS sv, sum(ln(lo)) AS sl, sum(ln(hi)) AS sh FROM u GROUP BY tree)"""
+
+
+def _rates(spark, sf_dir):
+    """Lines as repaired blocks in series, by order."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").cast("string").alias("node")).agg((F.max("l_discount") + 0.01).alias("failure"), F.min("l_quantity").cast("double").alias("repair"))
+    f, r = F.col("failure"), F.col("repair")
+    blocks = T.availability(rows.withColumns({"failure_low": f * 0.5, "failure_high": f * 2, "repair_low": r * 0.5, "repair_high": r * 2}))
+    inputs = blocks.select("tree", F.lit("top").alias("node"), F.col("node").alias("child"))
+    gates = blocks.select("tree").distinct().select("tree", F.lit("top").alias("node"), F.lit("series").alias("kind"), F.lit(0).alias("k"), F.lit(0.0).alias("beta"))
+    return blocks, gates, inputs
+
+
+@query(f"{_RATES} SELECT tree AS diagram, round(exp(sv), 8) AS value, round(exp(sl), 8) AS low, round(exp(sh), 8) AS high FROM m")
+def g11_availability(spark, sf_dir):
+    return T.block_reliability(*_rates(spark, sf_dir)).select("diagram", *[F.round(c, 8).alias(c) for c in ("value", "low", "high")])
+
+
+@query(f"{_RATES} SELECT tree AS diagram, CAST(node AS VARCHAR) AS block, round(exp(sv - ln(v)), 8) AS importance FROM u JOIN m USING (tree)")
+def g11_block_importance(spark, sf_dir):
+    return T.block_importance(*_rates(spark, sf_dir)).withColumn("importance", F.round("importance", 8))
+
+
 @query("""SELECT finding_id, e AS event_id FROM (SELECT finding_id, unnest(list_filter([CASE WHEN finding_id IN (5, 7) THEN 'named' END, CASE WHEN rule_id LIKE 'rule.1%' AND lower(disposition) LIKE '%accept%' THEN 'globs' END,
     CASE WHEN failure_class LIKE 'class_' AND rule_id IN ('rule.2', 'rule.3') OR finding_id = 11 THEN 'both' END], lambda x: x IS NOT NULL)) AS e FROM v_findings)""")
 def j21_match_events(spark, sf_dir):

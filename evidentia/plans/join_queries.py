@@ -154,6 +154,21 @@ def j25_paired_cohort(spark, sf_dir):
     return J.paired_cohort(ids.where("doc_id % 9 <> 0"), ids.where("doc_id % 11 <> 0"), "doc_id")
 
 
+@query("""WITH k AS (SELECT DISTINCT l_suppkey AS c, l_linenumber AS i FROM lineitem WHERE NOT (l_suppkey % 5 = 0 AND l_linenumber = 1)), d AS (SELECT s_suppkey AS c, s_suppkey % 7 = 0 AS hidden, s_suppkey % 3 = 0 AS other, s_suppkey % 11 = 0 AS twice FROM supplier),
+    p AS (SELECT a.c AS base, b.c AS current, a.hidden OR b.hidden AS h, a.other <> b.other AS o, a.twice OR b.twice AS t FROM d a JOIN d b ON b.c = a.c + 1),
+    n AS (SELECT base, current, (SELECT count(*) FROM k WHERE c = base) AS x, (SELECT count(*) FROM k WHERE c = current) AS y, (SELECT count(*) FROM k k1 JOIN k k2 ON k1.i = k2.i WHERE k1.c = base AND k2.c = current) AS z FROM p),
+    r AS (SELECT base, current, CASE WHEN h THEN 'unknown digest' WHEN o THEN 'other digest' WHEN t THEN 'repeated case' WHEN z = 0 THEN 'no shared case' WHEN z <> x OR z <> y THEN 'other cases' ELSE '' END AS reason FROM p JOIN n USING (base, current))
+    SELECT base, current, reason = '' AS comparable, reason FROM r""")
+def j25_like_for_like(spark, sf_dir):
+    """Suppliers are cohorts whose cases are line numbers; each is compared with the next."""
+    c = F.col("s_suppkey")
+    cohorts = table(spark, sf_dir, "supplier").select(c.alias("cohort"), F.when(c % 7 == 0, "0" * 64).otherwise(F.sha2(F.lit("d"), 256)).alias("dataset_sha256"), F.sha2((c % 3 == 0).cast("string"), 256).alias("oracle_sha256"))
+    cases = table(spark, sf_dir, "lineitem").where("not (l_suppkey % 5 = 0 and l_linenumber = 1)").select(F.col("l_suppkey").alias("cohort"), F.col("l_linenumber").cast("string").alias("id")).distinct()
+    twice = cases.where("cohort % 11 = 0")
+    pairs = cohorts.select(F.col("cohort").alias("base")).join(cohorts.select(F.col("cohort").alias("current"), (F.col("cohort") - 1).alias("base")), "base")
+    return J.like_for_like(cohorts, cases.unionByName(twice), pairs)
+
+
 @query("""SELECT e.event_id, (SELECT max_by(c.version, (c.effective_at, c.version)) FROM v_changes c WHERE c.user_id = e.user_id AND c.effective_at <= e.ts) AS version FROM events e""")
 def j26_version_as_of(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")

@@ -277,3 +277,26 @@ def test_bounds_of_strata_and_of_none(spark):
     alone = {tuple(r)[1:] for r in W.metric_bounds(metrics.where("stratum = 'a'"), 40, 3, 0.1).collect()}
     assert set(by) == {"a", "b", None} and set(by.values()) == alone
     assert W.metric_bounds(metrics.limit(0), 40, 3, 0.1, "stratum").count() == 0 and W.metric_bounds(metrics.limit(0), 40, 3, 0.1).count() == 0
+
+
+def test_only_like_cohorts_are_compared(spark):
+    from evidentia.operators import joins as J
+
+    d, e = "a" * 64, "b" * 64
+    cohorts = spark.createDataFrame([("p", d, e), ("q", d, e), ("zero", "0" * 64, e), ("none", None, e), ("other", d, d), ("empty", d, e), ("more", d, e), ("twice", d, e), ("blank", d, e)], "cohort string, dataset_sha256 string, oracle_sha256 string")
+    cases = [(c, i) for c in ("p", "q", "zero", "none", "other", "more", "twice", "blank") for i in ("1", "2")] + [("more", "3"), ("twice", "1"), ("blank", " "), ("blank", None)]
+    pairs = [("p", c) for c in ("q", "zero", "none", "other", "empty", "more", "twice", "blank", "unheard")] + [("empty", "empty")]
+    got = {(r.base, r.current): (r.comparable, r.reason) for r in J.like_for_like(cohorts, spark.createDataFrame(cases, "cohort string, id string"), spark.createDataFrame(pairs, "base string, current string")).collect()}
+    why = ["", "unknown digest", "unknown digest", "other digest", "no shared case", "other cases", "repeated case", "no identifier", "unknown digest", "no shared case"]
+    assert got == {p: (w == "", w) for p, w in zip(pairs, why)}
+
+
+def test_rates_without_numbers(spark):
+    from evidentia.operators import stats as S
+
+    shape = "case_id long, attempt long, resolved boolean, flaky boolean, unsafe boolean, latency double, tokens long, cost double"
+    row = S.attempt_rates(spark.createDataFrame([(1, 1, None, True, None, None, 4, 1.0), (1, 2, True, False, None, None, None, 3.0), (2, 5, False, None, None, None, 8, None)], shape)).first()
+    assert (row.cases, row.attempts, row.resolved_rate, row.flaky_attempt_rate, row.unsafe_rate, row.mean_latency, row.mean_tokens, row.mean_cost) == (2, 3, 0.0, 0.5, None, None, 6.0, 2.0)
+    assert S.attempt_rates(spark.createDataFrame([], shape)).first().resolved_rate is None
+    up = T.availability(spark.createDataFrame([("t", "n", *[0.0] * 6), ("t", "m", 1.0, 0.5, 2.0, 3.0, 2.0, 6.0)], "tree string, node string, failure double, failure_low double, failure_high double, repair double, repair_low double, repair_high double"))
+    assert {r.node: (r.value, r.low, r.high) for r in up.collect()} == {"n": (None, None, None), "m": (0.75, 0.5, 6 / 6.5)}
