@@ -144,6 +144,10 @@ def decision_table(obs: DataFrame, rules: DataFrame, points: list[str], default:
     return obs.join(decided, points, "left").withColumn("outcome", F.coalesce("outcome", F.lit(default)))
 
 
+#: Keys that the findings under a catch-all selector are dealt to.
+SALT = 64
+
+
 def cite(findings: DataFrame, mappings: DataFrame) -> DataFrame:
     """Findings with the citations whose selector fits: exact, prefix and catch-all selectors are joined apart, by equality."""
     exact = mappings.where(~F.col("selector").endswith("*")).select(F.col("selector").alias("rule_id"), "citation")
@@ -151,8 +155,10 @@ def cite(findings: DataFrame, mappings: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("rule_id", r"\."))), lambda i: F.concat(F.array_join(F.slice(F.split("rule_id", r"\."), 1, i), "."), F.lit(".")))
     a = findings.join(exact, "rule_id").select("finding_id", "citation")
     b = findings.select("finding_id", F.explode(prefixes).alias("prefix")).join(prefix, "prefix").select("finding_id", "citation")
-    # a catch-all selector is the same key for every rule
-    c = findings.withColumn("any", F.lit("*")).join(mappings.where("selector = '*'").select(F.col("selector").alias("any"), "citation"), "any").select("finding_id", "citation")
+    # a catch-all selector is the same key for every rule: findings are dealt to SALT keys, and each gets the few such mappings
+    salted = findings.withColumn("any", F.pmod(F.xxhash64("finding_id"), F.lit(SALT)))
+    every = mappings.where("selector = '*'").select("citation", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("any"))
+    c = salted.join(every, "any").select("finding_id", "citation")
     return a.unionByName(b).unionByName(c).distinct()
 
 
@@ -198,17 +204,23 @@ def like_for_like(cohorts: DataFrame, cases: DataFrame, pairs: DataFrame) -> Dat
 
 
 def version_as_of(rows: DataFrame, changes: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """The last version in force at each row's time: one shuffle on the keys, no range join."""
-    both = rows.withColumn("__v", F.lit(None).cast(changes.schema["version"].dataType)).withColumn("__t", F.col(ts)).withColumn("__k", F.lit(1)).unionByName(
-        changes.select(*keys, F.col("effective_at").alias("__t"), F.col("version").alias("__v"), F.lit(0).alias("__k")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__k", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("version", F.last("__v", ignorenulls=True).over(w)).where("__k = 1").drop("__v", "__t", "__k")
-
-
-def events_in_windows(events: DataFrame, windows: DataFrame, keys: list[str], step: int = 86400) -> DataFrame:
-    """Events joined with the half-open windows around them, through buckets of ``step`` seconds."""
-    spread = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.unix_timestamp("started_at") / step), F.floor(F.unix_timestamp("ended_at") / step))))
-    return events.withColumn("bucket", F.floor(F.unix_timestamp("ts") / step)).join(spread, [*keys, "bucket"]).where("ts >= started_at and ts < ended_at").drop("bucket")
+    """The last version in force at each row's time: one shuffle on the keys, no range join.  The rows' columns may have any names;
+    one called version is replaced."""
+    given = [c for c in rows.columns if c.lower() != "version"]
+    own = rows.select(*[F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)], F.col(f"`{ts}`").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(changes.schema["version"].dataType).alias("version"),
+                      F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"))
+    told = changes.select(*[F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)], F.col("effective_at").alias("at"), F.lit(0).alias("kind"), "version", F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+    w = Window.partitionBy(*[f"k{n}" for n in range(len(keys))]).orderBy("at", "kind", "version").rowsBetween(Window.unboundedPreceding, 0)
+    found = own.unionByName(told).withColumn("version", F.last("version", ignorenulls=True).over(w)).where("kind = 1")
+    return found.select("row.*", "version")
+
+
+def events_in_windows(events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Events joined with the half-open windows around them; a window of any length is stored in at most two rows."""
+    second = lambda c: F.unix_timestamp(c).cast("long")
+    spans = windows.withColumns({"line": second("started_at"), "end_line": second("ended_at")})
+    met = mapping.within(events.withColumn("line", second("ts")), spans, *keys)
+    return met.where("ts >= started_at and ts < ended_at").drop("line", "from_line", "end_line")
 
 
 def change_chain(changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,8 +86,8 @@ def _block(line: Column, level: Column) -> Column:
     return F.floor(line / (F.lit(_LEAST) * F.pow(F.lit(2.0), level)))
 
 
-def within(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Points (line, key) with the ranges (line, end_line, key) around them, as from_line and end_line.
+def within(points: DataFrame, ranges: DataFrame, *key: str) -> DataFrame:
+    """Points (line, keys) with the ranges (line, end_line, keys) around them, as from_line and end_line.
 
     A range is stored at the level of widths that it fits, in at most two blocks of that level; a point looks at its one
     block of every level that occurs, of at most 60.  So a range of any length costs two rows, and the join is by equality."""
@@ -97,7 +97,7 @@ def within(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     stored = stored.withColumn("block", F.explode(F.array_distinct(F.array(_block(F.col("from_line"), F.col("level")), _block(F.col("end_line"), F.col("level"))))))
     levels = stored.select("level").distinct()
     asked = points.join(F.broadcast(levels)).withColumn("block", _block(F.col("line"), F.col("level")))
-    return asked.join(stored, [key, "level", "block"]).where("line between from_line and end_line").drop("level", "block")
+    return asked.join(stored, [*key, "level", "block"]).where("line between from_line and end_line").drop("level", "block")
 
 
 def narrowest(points: DataFrame, met: DataFrame, keys: list[str]) -> DataFrame:
