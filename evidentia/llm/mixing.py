@@ -47,7 +47,7 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """(source, source_size, docs, target): shares by weight, in the order of code points, that stop at ``most`` times the size."""
+    """(source, source_size, docs, least_size, target): shares by weight, in the order of code points, that stop at ``most`` times the size."""
     order = F.array(*[F.lit(float(w)) for w in weights])
     rows = cut(
         ranked(sources, F.col("source").asc_nulls_last())
@@ -63,25 +63,24 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: flo
         if got["n"] == stopped or not got["open"]:
             break
         stopped, level = got["n"], (total * size - (got["cap"] or 0.0)) / got["open"]
-    return cut(rows.select("source", "source_size", "docs", F.least(F.col("cap"), level * F.col("weight")).alias("target")))
+    return cut(rows.select("source", "source_size", "docs", "least_size", F.least(F.col("cap"), level * F.col("weight")).alias("target")))
 
 
 def solve(cells: DataFrame, goals: DataFrame, most: float = MOST, near: float = NEAR) -> DataFrame:
-    """(source, lam): multipliers under which the cells (source, x, mass) come to the goals (source, target, source_size)."""
-    least = cells.groupBy(F.col("source").alias("s")).agg(F.min("x").alias("x"))
+    """(source, lam): multipliers under which the cells (source, x, mass) come to the goals (source, target, source_size, docs,
+    least_size), of which each has a cell."""
     ratio = F.col("target") / F.col("source_size")
+    x = F.col("least_size") * F.col("docs") / F.col("source_size")
     # at lo no rate exceeds target / size, and at hi every rate is at its most
-    state = cut(
-        goals.join(least, F.col("source").eqNullSafe(F.col("s")))
-        .select("source", "target", (ratio >= most).alias("full"), F.lit(0.0).alias("lam"), F.least(F.lit(0.0), F.log(ratio) / F.col("x")).alias("lo"),
-                (F.log(F.lit(most)) / F.col("x")).alias("hi"))
-    )
+    state = cut(goals.select("source", "target", (ratio >= most).alias("full"), F.lit(0.0).alias("lam"), F.least(F.lit(0.0), F.log(ratio) / x).alias("lo"),
+                             (F.log(F.lit(most)) / x).alias("hi")))
     whole = lambda c: F.sum(F.rint(c * PARTS).cast("decimal(38,0)")).cast("double") / PARTS
     while True:
+        # what a source has reached goes along with its cells, so a step is one join and one aggregation
         rate = F.exp(F.col("lam") * F.col("x"))
         sums = (
-            cells.join(state.select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("source")
+            cells.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+            .groupBy("source", "target", "full", "lam", "lo", "hi")
             .agg(whole(F.col("mass") * F.least(F.lit(most), rate)).alias("sum"),
                  whole(F.when(rate < most, F.col("mass") * F.col("x") * rate).otherwise(0.0)).alias("slope"))
         )
@@ -91,9 +90,8 @@ def solve(cells: DataFrame, goals: DataFrame, most: float = MOST, near: float =
         middle = (lo + hi) / 2
         settled = F.col("full") | (F.abs(F.col("sum") - F.col("target")) <= F.greatest(near * F.col("target"), F.lit(0.5))) | (middle <= lo) | (middle >= hi)
         state = cut(
-            state.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-            .select("source", "target", "full", F.when(settled, F.col("lam")).when((step > lo) & (step < hi), step).otherwise(middle).alias("lam"),
-                    lo.alias("lo"), hi.alias("hi"), settled.alias("settled"))
+            sums.select("source", "target", "full", F.when(settled, F.col("lam")).when((step > lo) & (step < hi), step).otherwise(middle).alias("lam"),
+                        lo.alias("lo"), hi.alias("hi"), settled.alias("settled"))
         )
         if not state.where(~F.col("settled")).head(1):
             return state.select("source", F.when(F.col("full"), F.lit(float("inf"))).otherwise(F.col("lam")).alias("lam"))
@@ -102,7 +100,7 @@ def solve(cells: DataFrame, goals: DataFrame, most: float = MOST, near: float =
 
 def moves_by_size(cells: pd.DataFrame) -> pd.DataFrame:
     """For one source's cells (size, count, gap): how many documents of each size move, largest first, while they fit in
-    the gap; and one more of the size that then brings the sum nearest, if any does."""
+    the gap; and one more of the size that then brings the sum nearest, if any does.  Sizes of which some move keep their count and gap."""
     cells = cells.sort_values("size", ascending=False, ignore_index=True)
     left, taken = abs(float(cells["gap"].iloc[0])), []
     for size, count in zip(cells["size"].tolist(), cells["count"].tolist(), strict=True):
@@ -115,7 +113,7 @@ def moves_by_size(cells: pd.DataFrame) -> pd.DataFrame:
         best = (free["size"] - left).abs().idxmin()
         if abs(free["size"][best] - left) < left:
             cells.loc[best, "n"] += 1
-    return cells.loc[cells["n"] > 0, ["source", "size", "n"]]
+    return cells.loc[cells["n"] > 0, ["source", "size", "n", "count", "gap"]]
 
 
 def _salt(groups: Column) -> Column:
@@ -135,16 +133,13 @@ def round_copies(rows: DataFrame, goals: DataFrame, most: int = int(MOST), group
         now = state.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("copies")).alias("now"))
         gaps = cut(goals.join(now, same).select("s", (F.col("target") - F.col("now")).alias("gap")))
         can = (F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)) & (F.col("size") > 0) & (F.col("gap") != 0)
-        able = state.join(gaps, same).drop("s").where(can)
-        cells = able.groupBy("source", "size").agg(F.count("*").alias("count"), F.first("gap").alias("gap"))
-        chosen = cut(cells.groupBy("source").applyInPandas(moves_by_size, "source string, size long, n long"))
+        cells = state.join(gaps, same).where(can).groupBy("source", "size").agg(F.count("*").alias("count"), F.first("gap").alias("gap"))
+        chosen = cut(cells.groupBy("source").applyInPandas(moves_by_size, "source string, size long, n long, count long, gap double"))
         if not chosen.head(1):
             return state.select("row", "copies")
         # the first n rows of a size: whole salted groups, then a part of one
-        chosen = chosen.toDF("s", "its_size", "n")
-        mine = able.join(chosen, same & (F.col("size") == F.col("its_size"))).drop("s", "its_size")
-        counts = mine.groupBy("source", "size").agg(F.count("*").alias("count")).toDF("s", "its_size", "count")
-        mine = cut(mine.join(counts, same & (F.col("size") == F.col("its_size"))).drop("s", "its_size").withColumn("salt", _salt(F.ceil(F.col("count") / group))))
+        mine = state.join(chosen.toDF("s", "its_size", "n", "count", "gap"), same & (F.col("size") == F.col("its_size"))).where(can)
+        mine = cut(mine.drop("s", "its_size").withColumn("salt", _salt(F.ceil(F.col("count") / group))))
         before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         starts = mine.groupBy("source", "size", "salt").agg(F.count("*").alias("c")).select(
             F.col("source").alias("s"), F.col("size").alias("its_size"), F.col("salt").alias("its_salt"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
@@ -161,9 +156,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
                             F.xxhash64(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size")))
     many = sized.groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("m")).agg(F.count("*").alias("c")).where(F.col("c") > GROUP).drop("c")
     sized = sized.join(many, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").withColumn("many", F.col("m").isNotNull()).drop("i", "m")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least_size"))
     goals = targets(sources, weights, total, most)
-    own = goals.withColumnRenamed("source", "s")
+    own = goals.withColumnRenamed("source", "s").drop("least_size")
     x = F.when(F.col("source_size") > 0, F.col("size") * F.col("docs") / F.col("source_size")).otherwise(0.0)
     joined = sized.join(own, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("x", x)
     cells = cut(joined.where("size > 0").groupBy("source", "x").agg(F.sum("size").cast("double").alias("mass")))
