@@ -159,10 +159,3 @@ def source_sites(sites: DataFrame, targets: DataFrame, group: str, order: str, t
     placed = sites.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(order, target))).select(group, target, "position")
     left = targets.select(group, target).distinct().join(sites.select(group, target).distinct(), [group, target], "left_anti")
     return placed.unionByName(left.withColumn("position", F.lit(None).cast("int")))
-
-
-def share_cap(rows: DataFrame, group: str, cap: float) -> DataFrame:
-    """One row: groups, the largest group's share, and whether it is within the cap."""
-    n = rows.groupBy(group).agg(F.count("*").alias("n"))
-    share = F.try_divide(F.max("n"), F.sum("n"))
-    return n.agg(F.count("*").alias("groups"), share.alias("largest"), (share <= cap).alias("balanced"))

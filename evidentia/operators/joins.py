@@ -162,14 +162,32 @@ def cite(findings: DataFrame, mappings: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c).distinct()
 
 
-def tree_gaps(events: DataFrame, findings: DataFrame, hazards: DataFrame) -> DataFrame:
-    """Events that cover no finding, findings under no event, and hazards that neither names."""
+def cite_profiles(findings: DataFrame, mappings: DataFrame, profiles: list[str]) -> DataFrame:
+    """(finding_id, mapping_id, citation, profiles) by the mappings (mapping_id, selector, citation, profiles, review_status) that
+    weren't rejected and share a profile with those chosen, which are named in the order chosen."""
+    chosen = F.filter(F.array(*[F.lit(p) for p in dict.fromkeys(profiles)]), lambda p: F.array_contains("profiles", p))
+    open_ones = mappings.where("review_status is distinct from 'independent_rejected'").withColumn("profiles", chosen).where(F.size("profiles") > 0)
+    found = cite(findings, open_ones.select("selector", F.col("mapping_id").alias("citation"))).withColumnRenamed("citation", "mapping_id")
+    return found.join(open_ones.select("mapping_id", "citation", "profiles"), "mapping_id").select("finding_id", "mapping_id", "citation", "profiles")
+
+
+def tree_gaps(events: DataFrame, links: DataFrame, finding_hazards: DataFrame, hazards: DataFrame) -> DataFrame:
+    """(gap_type, tree_id, event_id, hazard_id, finding_id) where fault trees and reviews don't meet.
+
+    Events are (tree_id, hazard_id, event_id, explicit, event_type, selects), links (tree_id, event_id, finding_id), finding_hazards
+    (finding_id, hazard_id) what reviews linked, hazards (hazard_id) the catalogue.  A basic or undeveloped event of an explicit
+    tree that selects findings and has none is uncovered; a link is a mismatch if the review doesn't name the tree's hazard; a
+    reviewed hazard is unmapped if no tree of it links the finding; a hazard may have no tree."""
+    placed = links.join(events.select("tree_id", "event_id", "hazard_id"), ["tree_id", "event_id"]).distinct()
+    leaf = F.col("explicit") & F.col("selects") & F.col("event_type").isin("basic", "undeveloped")
     parts = {
-        "uncovered_event": events.select(F.col("finding_id").alias("id")).join(findings.select(F.col("finding_id").alias("id")), "id", "left_anti"),
-        "unmapped_finding": findings.select(F.col("finding_id").alias("id")).join(events.select(F.col("finding_id").alias("id")), "id", "left_anti"),
-        "unused_hazard": hazards.select("id").join(findings.where("hazard_linked").select(F.col("component_id").alias("id")), "id", "left_anti"),
+        "uncovered_event": events.where(leaf).join(links, ["tree_id", "event_id"], "left_anti"),
+        "hazard_mismatch": placed.join(finding_hazards, ["finding_id", "hazard_id"], "left_anti"),
+        "unmapped_finding": finding_hazards.distinct().join(hazards, "hazard_id", "left_semi").join(placed, ["finding_id", "hazard_id"], "left_anti"),
+        "hazard_without_tree": hazards.distinct().join(events, "hazard_id", "left_anti"),
     }
-    return reduce(DataFrame.unionByName, [d.distinct().select(F.lit(k).alias("gap_type"), "id") for k, d in parts.items()])
+    columns = ["tree_id", "event_id", "hazard_id", "finding_id"]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.select(F.lit(k).alias("gap_type"), *[c for c in columns if c in d.columns]) for k, d in parts.items()])
 
 
 def paired_cohort(base: DataFrame, current: DataFrame, key: str) -> DataFrame:

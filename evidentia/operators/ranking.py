@@ -10,10 +10,33 @@ from evidentia.functions.columns import priority_score
 from evidentia.storage import saved
 
 
-def review_queue(findings: DataFrame, limit: int) -> DataFrame:
-    """Open findings by (revalidation, priority, id); the limit is the feature."""
-    rows = findings.where("disposition <> 'rejected'").withColumn("score", priority_score(F.col("screening_priority")))
-    return rows.orderBy(F.desc("revalidation_required"), F.desc("score"), "finding_id").limit(limit).select("finding_id", "score", "revalidation_required")
+#: What comes first in the queue; all else comes last.
+PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2, "manual": 3}
+CHANGE_RANK = {"changed": 0, "impacted": 1, "moved": 2, "new": 3, "manual": 4}
+
+
+def _rank(names: dict[str, int], c: str) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col(c)], F.lit(9))
+
+
+def review_queue(findings: DataFrame, diagnostics: DataFrame, limit: int, minimum: str = "low") -> DataFrame:
+    """The first ``limit`` findings to review (the limit is the feature), with their diagnostics (item_id, rule_id, level) counted.
+
+    Left out are findings that aren't active, closed ones without errors that needn't be validated again, and those below the
+    least priority (but manual ones).  First come those to validate again, then those with errors other than being unreviewed,
+    then by kind of change, priority, path, line and identifier."""
+    if minimum not in ("high", "medium", "low"):
+        raise ValueError("minimum is high, medium or low")
+    error = F.col("level") == "error"
+    found = diagnostics.groupBy(F.col("item_id").alias("finding_id")).agg(
+        F.count_if(error).alias("errors"), F.count_if(error & ~F.col("rule_id").eqNullSafe(F.lit("review.unreviewed"))).alias("blocking_errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    rows = findings.join(found, "finding_id", "left").fillna(0, ["errors", "blocking_errors", "warnings"]).withColumn("revalidation_required", F.coalesce("revalidation_required", F.lit(False)))
+    done = F.col("status").eqNullSafe(F.lit("closed")) & (F.col("errors") == 0) & ~F.col("revalidation_required")
+    priority = _rank(PRIORITY_RANK, "screening_priority")
+    wanted = (F.col("screening_priority") == "manual") | (priority <= PRIORITY_RANK[minimum])
+    rows = rows.where((F.col("source_status") == "active") & ~done & wanted)
+    order = [F.desc("revalidation_required"), F.desc(F.col("blocking_errors") > 0), _rank(CHANGE_RANK, "source_change"), priority, F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), F.col("finding_id")]
+    return rows.orderBy(*order).limit(limit).select("finding_id", "screening_priority", "source_change", "path", "line", "revalidation_required", "errors", "blocking_errors", "warnings")
 
 
 def families(findings: DataFrame) -> DataFrame:

@@ -138,13 +138,32 @@ def graph_pr(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def path_metrics(scenarios: DataFrame) -> DataFrame:
-    """Predicted against observed successive steps of each path, over all scenarios."""
-    steps = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat_ws(">", F.get(c, i - 1), F.get(c, i)))
-    edges = lambda c: F.array_distinct(F.when(F.size(c) > 1, steps(F.col(c))).otherwise(F.array().cast("array<string>")))
-    rows = scenarios.select(edges("predicted").alias("p"), edges("observed").alias("o"), (F.col("predicted") == F.col("observed")).alias("exact"))
-    both = F.size(F.array_intersect("p", "o"))
-    c = rows.agg(F.sum(both).alias("matched"), F.sum(F.size("p")).alias("predicted"), F.sum(F.size("o")).alias("observed"), F.avg(F.col("exact").cast("double")).alias("exact_rate"))
-    return c.withColumns({"precision": ratio(F.col("matched"), F.col("predicted")), "recall": ratio(F.col("matched"), F.col("observed"))})
+    """One row on how observed cascades bear out the predicted ones: steps of paths, effects, deadlines, breakers and recovery.
+
+    Scenarios are (predicted_path, observed_path, predicted_effects, observed_effects arrays, duration, deadline, expected_breaker,
+    observed_breaker, recovery, recovery_deadline).  Deadlines, breakers and recovery count only over scenarios that set one (a
+    deadline that isn't null, a breaker other than not_applicable); what wasn't observed doesn't conform.  Null arrays are empty; a
+    ratio over nothing is null."""
+    steps = lambda c: F.array_distinct(F.transform(F.slice(c, 2, F.size(c) + 1), lambda x, i: F.struct(F.get(c, i).alias("a"), x.alias("b"))))
+    array = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    names = ["predicted_path", "observed_path", "predicted_effects", "observed_effects"]
+    rows = scenarios.withColumns({c: array(c) for c in names}).withColumns({c: F.array_sort(F.array_distinct(c)) for c in names[2:]})
+    rows = rows.withColumns({"pe": steps(F.col("predicted_path")), "oe": steps(F.col("observed_path"))})
+    size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    timed, guarded, recovers = F.col("deadline").isNotNull(), F.col("expected_breaker") != "not_applicable", F.col("recovery_deadline").isNotNull()
+    c = rows.agg(
+        F.count("*").alias("scenarios"), size("pe").alias("p"), size("oe").alias("o"), size(F.array_intersect("pe", "oe")).alias("m"),
+        size("predicted_effects").alias("ep"), size("observed_effects").alias("eo"), size(F.array_intersect("predicted_effects", "observed_effects")).alias("em"),
+        F.count_if(F.col("predicted_path") == F.col("observed_path")).alias("same_paths"), F.count_if(F.col("predicted_effects") == F.col("observed_effects")).alias("same_effects"),
+        F.count_if(timed).alias("deadline_population"), F.count_if(guarded).alias("breaker_population"), F.count_if(recovers).alias("recovery_population"),
+        F.count_if(timed & (F.col("duration") <= F.col("deadline"))).alias("in_time"), F.count_if(guarded & (F.col("observed_breaker") == F.col("expected_breaker"))).alias("as_expected"),
+        F.count_if(recovers & (F.col("recovery") <= F.col("recovery_deadline"))).alias("recovered"))
+    of = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 6)
+    return c.select(
+        "scenarios", of("m", "p").alias("path_edge_precision"), of("m", "o").alias("path_edge_recall"), of("em", "ep").alias("effect_precision"), of("em", "eo").alias("effect_recall"),
+        of("same_paths", "scenarios").alias("exact_path_rate"), of("same_effects", "scenarios").alias("exact_effect_rate"), "deadline_population", "breaker_population", "recovery_population",
+        of("in_time", "deadline_population").alias("deadline_conformance"), of("as_expected", "breaker_population").alias("breaker_accuracy"), of("recovered", "recovery_population").alias("recovery_conformance"),
+        (F.col("o") - F.col("m")).alias("unexpected_edges"), (F.col("p") - F.col("m")).alias("unobserved_edges"), (F.col("eo") - F.col("em")).alias("unexpected_effects"), (F.col("ep") - F.col("em")).alias("unobserved_effects"))
 
 
 def monotone_precision(df: DataFrame, level: str, order: list[str]) -> DataFrame:

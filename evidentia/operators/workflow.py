@@ -64,6 +64,39 @@ def assurance_summary(obligations: DataFrame, executions: DataFrame) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
+def assurance_progress(findings: DataFrame, obligations: DataFrame, executions: DataFrame) -> DataFrame:
+    """One row on how far accepted findings (finding_id, disposition, source_status) are planned, tested and verified, with gates.
+
+    A finding counts as planned or verified only by exactly one active obligation that is; obligations that don't apply or whose
+    risk is accepted need no test.  Percentages over nothing are null, and the gates then hold."""
+    active = obligations.where(F.coalesce("source_status", F.lit("active")) == "active")
+    accepted = findings.where((F.coalesce("source_status", F.lit("active")) == "active") & (F.col("disposition") == "accepted")).select("finding_id").distinct()
+    text = lambda c: F.coalesce(c, F.lit("")) != ""
+    ready = F.coalesce(F.col("assurance_status").isin(PLANNING_READY) & text("reviewer") & text("rationale") & (F.coalesce("gaps", F.lit(0)) == 0), F.lit(False))
+    terminal = F.coalesce(F.col("assurance_status").isin(TERMINAL), F.lit(False))
+    by_finding = active.groupBy("finding_id").agg(F.count("*").alias("n"), F.bool_and(ready).alias("ready"), F.bool_and(terminal).alias("terminal"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    a = accepted.join(by_finding, "finding_id", "left").agg(
+        F.count("*").alias("findings"), F.count_if(~one).alias("cardinality_gaps"), F.count_if(one & F.col("ready")).alias("planning_ready"), F.count_if(one & F.col("terminal")).alias("verified"))
+    runs = executions.select("obligation_id").distinct().withColumn("ran", F.lit(True))
+    own = active.join(accepted.withColumn("applies", F.lit(True)), "finding_id", "left").join(runs, "obligation_id", "left")
+    applies = F.col("applies").isNotNull()
+    tested = applies & ~F.coalesce(F.col("assurance_status").isin("not_applicable", "accepted_risk"), F.lit(False))
+    b = own.agg(
+        F.count("*").alias("active_obligations"), F.count_if(applies).alias("applicable_obligations"), F.count_if(applies & (F.col("gaps") > 0)).alias("planning_gaps"),
+        F.count_if(tested).alias("test_required"), F.count_if(tested & (F.col("implementation") == "implemented")).alias("implemented_tests"), F.count_if(tested & F.col("ran")).alias("executed_obligations"),
+        F.count_if(applies & (F.col("evidence_status") == "sufficient")).alias("sufficient_evidence"))
+    c = executions.agg(F.count("*").alias("executions"), F.count_if(~F.coalesce("reviewed", F.lit(False))).alias("unreviewed_executions"),
+                       F.count_if(F.col("status").isin("failed", "timeout", "error")).alias("failed_executions"))
+    # three tables of one row
+    row = a.join(F.broadcast(b)).join(F.broadcast(c))
+    percent = lambda k, n: F.round(100 * ratio(F.col(k), F.col(n)), 1)
+    whole = F.col("cardinality_gaps") == 0
+    return row.withColumns({
+        "planning_percent": percent("planning_ready", "findings"), "implementation_percent": percent("implemented_tests", "test_required"), "verification_percent": percent("verified", "findings"),
+        "register_complete": whole, "plan_ready": whole & (F.col("planning_ready") == F.col("findings")), "verification_complete": whole & (F.col("verified") == F.col("findings"))})
+
+
 def metric_bounds(metrics: DataFrame, reps: int, seed: int, floor: float, by: str | None = None) -> DataFrame:
     """(metric or by, k, n, wilson_low, bootstrap_low, conservative_low, passed) from one row (cluster, k, n, by) a repository:
     the lesser of the score interval's and the cluster bootstrap's lower bound, against a floor.

@@ -138,15 +138,6 @@ def a15_proficiency(spark, sf_dir):
     return table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("participant")).agg(F.count("*").alias("items"), F.count_if(status == "action").alias("action"), F.bool_and(status != "action").alias("passed"))
 
 
-@query("""WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS o FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, o, CASE WHEN conv_id % 3 = 0 THEN o ELSE list_slice(o, 1, 2) END AS p FROM t),
-    e AS (SELECT p = o AS exact, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || '>' || p[i + 1])) AS p, list_distinct(list_transform(range(1, len(o)), lambda i: o[i] || '>' || o[i + 1])) AS o FROM p),
-    c AS (SELECT CAST(sum(len(list_intersect(p, o))) AS BIGINT) AS matched, CAST(sum(len(p)) AS BIGINT) AS predicted, CAST(sum(len(o)) AS BIGINT) AS observed, round(avg(CAST(exact AS INTEGER)), 9) AS exact_rate FROM e)
-    SELECT matched, predicted, observed, exact_rate, round(matched / predicted, 9) AS precision, round(matched / observed, 9) AS recall FROM c""")
-def a16_path_metrics(spark, sf_dir):
-    o = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]).alias("observed"))
-    return rounded(S.path_metrics(o.withColumn("predicted", F.when(F.col("conv_id") % 3 == 0, F.col("observed")).otherwise(F.slice("observed", 1, 2)))), "exact_rate", "precision", "recall")
-
-
 @query("""WITH e AS (SELECT DISTINCT source, target FROM v_channel_edges WHERE channel = 'native_ast'), a AS (SELECT DISTINCT source, target FROM v_channel_edges WHERE channel = 'runtime_observed'),
     c AS (SELECT count(*) FILTER (e.source IS NOT NULL AND a.source IS NOT NULL) AS tp, count(*) FILTER (e.source IS NULL) AS fp, count(*) FILTER (a.source IS NULL) AS fn FROM e FULL JOIN a ON e.source = a.source AND e.target = a.target)
     SELECT tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall FROM c""")

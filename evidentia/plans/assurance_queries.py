@@ -10,36 +10,6 @@ from evidentia.plans.catalog import query
 from evidentia.views import table, view
 
 
-@query("""SELECT p_partkey, CASE WHEN starts_with(p_name, 'cold') THEN 'inspection' WHEN starts_with(p_name, 'small') THEN 'test' WHEN starts_with(p_name, 'la') THEN 'analysis' ELSE 'review' END AS method FROM part""")
-def p20_verification_method(spark, sf_dir):
-    rules = [("cold", "inspection"), ("small", "test"), ("la", "analysis")]
-    return table(spark, sf_dir, "part").select("p_partkey", S.by_prefix(F.col("p_name"), rules, "review").alias("method"))
-
-
-@query("""SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 AND c_nationkey < 5 THEN 'debt_region' END, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 'debt_segment' END,
-    CASE WHEN c_nationkey < 5 AND c_mktsegment = 'BUILDING' THEN 'region_segment' END) AS exposures FROM customer""")
-def p25_compound_exposure(spark, sf_dir):
-    debt, region, segment = F.col("c_acctbal") < 0, F.col("c_nationkey") < 5, F.col("c_mktsegment") == "BUILDING"
-    rules = {"debt_region": debt & region, "debt_segment": debt & segment, "region_segment": region & segment}
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(S.holding(rules), ",").alias("exposures"))
-
-
-@query("""SELECT f.finding_id, CASE WHEN disposition = 'rejected' THEN 'closed' WHEN revalidation_required THEN 'revalidate' WHEN disposition = 'accepted' AND o.finding_id IS NULL THEN 'plan'
-    WHEN disposition = 'accepted' THEN 'verify' WHEN hazard_linked THEN 'review_first' ELSE 'review' END AS state FROM v_findings f LEFT JOIN (SELECT DISTINCT finding_id FROM v_obligations) o ON f.finding_id = o.finding_id""")
-def p27_review_state(spark, sf_dir):
-    rows = S.linked_flags(view(spark, sf_dir, "v_findings"), "finding_id", planned=view(spark, sf_dir, "v_obligations"))
-    accepted = F.col("disposition") == "accepted"
-    return rows.select("finding_id", S.ladder([(F.col("disposition") == "rejected", "closed"), (F.col("revalidation_required"), "revalidate"), (accepted & ~F.col("planned"), "plan"), (accepted, "verify"), (F.col("hazard_linked"), "review_first")], "review").alias("state"))
-
-
-@query("""SELECT id, CASE WHEN exploitation = 'active' AND automatable = 'yes' THEN 'act' WHEN exploitation = 'active' THEN 'attend' WHEN exploitation = 'proof_of_concept' THEN 'track' ELSE 'monitor' END AS stage,
-    concat_ws(',', CASE WHEN exploitation = 'none' THEN 'no_evidence' END, CASE WHEN automatable = 'no' THEN 'manual' END) AS blockers FROM v_decision_obs""")
-def p28_vuln_stage(spark, sf_dir):
-    e, auto = F.col("exploitation"), F.col("automatable") == "yes"
-    stage = S.ladder([((e == "active") & auto, "act"), (e == "active", "attend"), (e == "proof_of_concept", "track")], "monitor")
-    return view(spark, sf_dir, "v_decision_obs").select("id", stage.alias("stage"), F.array_join(S.holding({"no_evidence": e == "none", "manual": ~auto}), ",").alias("blockers"))
-
-
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '\.[A-Za-z0-9]+$', '') AS m FROM pages),
     q AS (SELECT page_id, regexp_replace(m, '^/+|/+$', '', 'g') AS m FROM p), r AS (SELECT page_id, m, regexp_extract(m, '([^/]*)$', 1) AS leaf FROM q)
     SELECT page_id, replace(m, '/', '.') AS module, leaf, regexp_replace(leaf, '^test_|_test$', '', 'g') AS stem FROM r""")
@@ -166,21 +136,6 @@ def a38_collection_complete(spark, sf_dir):
     return S.collection_complete(windows, events.where("event_type <> 'error'"), "user_id")
 
 
-@query("""SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS ordered, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS filled, c_custkey IN (SELECT user_id FROM events) AS seen,
-    (c_custkey NOT IN (SELECT o_custkey FROM orders))::INT + (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))::INT + (c_custkey NOT IN (SELECT user_id FROM events))::INT AS missing FROM customer""")
-def a43_finding_chain(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
-    return S.linked_flags(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", ordered=orders, filled=orders.where("o_orderstatus = 'F'"), seen=table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")))
-
-
-@query("""SELECT screening_priority, count(*) AS findings, count(*) FILTER (WHERE disposition = 'accepted') AS accepted, count(o.n) AS planned, count(*) FILTER (WHERE disposition = 'accepted' AND o.n IS NULL) AS gaps,
-    count(*) FILTER (WHERE o.n > 1) AS doubled, round(100.0 * count(o.n) / count(*), 6) AS percent FROM v_findings f LEFT JOIN (SELECT finding_id, count(*) AS n FROM v_obligations GROUP BY finding_id) o ON f.finding_id = o.finding_id GROUP BY screening_priority""")
-def a45_assurance_progress(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_findings").join(view(spark, sf_dir, "v_obligations").groupBy("finding_id").agg(F.count("*").alias("n")), "finding_id", "left")
-    accepted = F.col("disposition") == "accepted"
-    return rows.groupBy("screening_priority").agg(F.count("*").alias("findings"), F.count_if(accepted).alias("accepted"), F.count("n").alias("planned"), F.count_if(accepted & F.col("n").isNull()).alias("gaps"), F.count_if(F.col("n") > 1).alias("doubled"), F.round(100 * F.count("n") / F.count("*"), 6).alias("percent"))
-
-
 @query("""SELECT stratum, count(*) AS n, count(*) FILTER (WHERE expected = predicted) / count(*) AS accuracy, count(*) FILTER (WHERE predicted AND expected) / nullif(count(*) FILTER (WHERE predicted), 0) AS kept_rate,
     count(*) FILTER (WHERE predicted AND NOT expected) / nullif(count(*) FILTER (WHERE predicted), 0) AS unsafe_rate FROM v_predictions GROUP BY stratum""")
 def a48_decision_quality(spark, sf_dir):
@@ -188,11 +143,6 @@ def a48_decision_quality(spark, sf_dir):
     return view(spark, sf_dir, "v_predictions").groupBy("stratum").agg(F.count("*").alias("n"), (F.count_if(e == p) / F.count("*")).alias("accuracy"), F.try_divide(F.count_if(p & e), F.count_if(p)).alias("kept_rate"), F.try_divide(F.count_if(p & ~e), F.count_if(p)).alias("unsafe_rate"))
 
 
-@query("""WITH n AS (SELECT repository, count(*) AS n FROM v_predictions GROUP BY repository) SELECT count(*) AS groups, max(n) / sum(n) AS largest, max(n) / sum(n) <= 0.4 AS balanced FROM n""")
-def a67_plan_vs_outcome(spark, sf_dir):
-    return S.share_cap(view(spark, sf_dir, "v_predictions"), "repository", 0.4)
-
-
 @query("""SELECT count(*) AS findings, round(100.0 * count(*) FILTER (WHERE disposition <> 'unreviewed') / count(*), 6) AS reviewed, round(100.0 * count(*) FILTER (WHERE severity > 0 AND occurrence > 0 AND detection > 0) / count(*), 6) AS rated FROM v_findings""")
 def a64_outcome_scorecard(spark, sf_dir):
     rated = (F.col("severity") > 0) & (F.col("occurrence") > 0) & (F.col("detection") > 0)

@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from evidentia.plans import aggregates, assurance_queries, benchmark_queries, claim_queries, expressions, fault_queries, graph_queries, job_queries, join_queries, mapping_queries, rankings, review_queries, source_queries, stream_queries, vulnerability_queries, workflow_queries  # noqa: E402,F401
+from evidentia.plans import aggregates, assurance_queries, benchmark_queries, claim_queries, expressions, fault_queries, graph_queries, job_queries, join_queries, mapping_queries, policy_queries, rankings, review_queries, source_queries, stream_queries, vulnerability_queries, workflow_queries  # noqa: E402,F401

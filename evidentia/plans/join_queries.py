@@ -130,23 +130,6 @@ def j19_rules_of_a_table(spark, sf_dir):
     return J.decision_table(obs, rules, ["size", "brand"]).select("id", "outcome")
 
 
-@query("""SELECT DISTINCT finding_id, citation FROM v_findings JOIN (VALUES ('*', 'c0'), ('rule.*', 'c1'), ('rule.7', 'c2'), ('rule.1', 'c3')) m(selector, citation)
-    ON selector = '*' OR rule_id = selector OR (selector LIKE '%.*' AND starts_with(rule_id, replace(selector, '*', '')))""")
-def j20_cite(spark, sf_dir):
-    mappings = spark.createDataFrame([("*", "c0"), ("rule.*", "c1"), ("rule.7", "c2"), ("rule.1", "c3")], "selector string, citation string")
-    return J.cite(view(spark, sf_dir, "v_findings"), mappings)
-
-
-@query("""WITH e AS (SELECT DISTINCT o_orderkey AS finding_id FROM orders WHERE o_orderkey % 3 = 0), f AS (SELECT * FROM v_findings WHERE finding_id % 2 = 0), h AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 97)
-    SELECT 'uncovered_event' AS gap_type, finding_id AS id FROM e WHERE finding_id NOT IN (SELECT finding_id FROM f)
-    UNION ALL SELECT 'unmapped_finding', finding_id FROM f WHERE finding_id NOT IN (SELECT finding_id FROM e)
-    UNION ALL SELECT 'unused_hazard', id FROM h WHERE id NOT IN (SELECT component_id FROM f WHERE hazard_linked)""")
-def j22_tree_gaps(spark, sf_dir):
-    events = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("finding_id"))
-    hazards = table(spark, sf_dir, "customer").where("c_custkey < 97").select(F.col("c_custkey").alias("id"))
-    return J.tree_gaps(events, view(spark, sf_dir, "v_findings").where("finding_id % 2 = 0"), hazards)
-
-
 @query("""SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS paired, count(*) FILTER (b IS NULL) AS base_only, count(*) FILTER (a IS NULL) AS current_only, CAST(0 AS BIGINT) AS repeated, false AS comparable
     FROM (SELECT doc_id AS a FROM labels WHERE doc_id % 9 <> 0) FULL JOIN (SELECT doc_id AS b FROM labels WHERE doc_id % 11 <> 0) ON a = b""")
 def j25_paired_cohort(spark, sf_dir):

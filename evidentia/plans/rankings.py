@@ -16,11 +16,6 @@ def _scored(spark, sf_dir):
     return view(spark, sf_dir, "v_findings").withColumn("score", priority_score(F.col("screening_priority")))
 
 
-@query(f"SELECT finding_id, {SCORE} AS score, revalidation_required FROM v_findings WHERE disposition <> 'rejected' ORDER BY revalidation_required DESC, score DESC, finding_id LIMIT 100")
-def w01_review_queue(spark, sf_dir):
-    return R.review_queue(view(spark, sf_dir, "v_findings"), 100)
-
-
 @query(f"""WITH r AS (SELECT component_id, failure_class, finding_id, CAST({SCORE} AS BIGINT) AS score, row_number() OVER (PARTITION BY component_id, failure_class ORDER BY {SCORE} DESC, finding_id) AS k,
     count(*) OVER (PARTITION BY component_id, failure_class) AS members FROM v_findings) SELECT component_id, failure_class, finding_id, score, members FROM r WHERE k = 1""")
 def w02_group_families(spark, sf_dir):

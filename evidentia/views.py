@@ -74,6 +74,33 @@ VIEWS = {
         FROM orders CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k WHERE o_orderstatus = 'F' AND o_orderkey % 17 <> 0 AND (n = 0 OR o_orderkey % 13 = 0)""",
     "v_executions": """SELECT l_orderkey * 10 AS obligation_id, l_shipdate AS ran_at, concat(CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS execution_id,
         CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'passed' END AS status, l_quantity > 15 AS reviewed FROM lineitem WHERE l_returnflag <> 'A'""",
+    "v_review_items": """SELECT o_orderkey AS finding_id, CASE WHEN o_orderkey % 31 = 0 THEN 'retired' ELSE 'active' END AS source_status,
+        CASE o_orderstatus WHEN 'F' THEN 'closed' ELSE 'open' END AS status, o_orderkey % 1900 = 1 AS revalidation_required,
+        split_part('high,medium,low,manual', ',', CAST(o_custkey % 4 + 1 AS INT)) AS screening_priority,
+        split_part('changed,impacted,moved,new,manual,unchanged', ',', CAST(o_orderkey % 6 + 1 AS INT)) AS source_change,
+        concat('m', CAST(o_custkey % 40 AS STRING), '.py') AS path, o_custkey % 500 AS line,
+        split_part('unreviewed,needs_information,accepted,rejected', ',', CAST(o_custkey % 4 + 1 AS INT)) AS disposition FROM orders""",
+    "v_diagnostics": """SELECT l_orderkey AS item_id, CASE WHEN l_suppkey % 50 = 0 THEN 'closure.incomplete' ELSE 'review.unreviewed' END AS rule_id,
+        CASE l_linenumber % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'information' END AS level FROM lineitem WHERE l_quantity > 30""",
+    "v_tree_nodes": """SELECT concat(p_brand, '/', CAST(p_size AS STRING)) AS tree_id, CAST(p_size AS BIGINT) AS hazard_id, p_partkey AS event_id, p_size % 4 <> 0 AS explicit,
+        split_part('basic,undeveloped,intermediate', ',', CAST(p_partkey % 3 + 1 AS INT)) AS event_type, p_partkey % 5 <> 0 AS selects FROM part""",
+    "v_tree_links": """SELECT DISTINCT concat(p_brand, '/', CAST(p_size AS STRING)) AS tree_id, p_partkey AS event_id, l_orderkey AS finding_id
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_partkey % 7 <> 0""",
+    "v_finding_hazards": """SELECT o_orderkey AS finding_id, CAST(o_custkey % 60 AS BIGINT) AS hazard_id FROM orders
+        UNION ALL SELECT l_orderkey, CAST(p_size AS BIGINT) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1""",
+    "v_finding_links": """SELECT o_orderkey AS finding_id, 'source_provenance' AS dimension FROM orders JOIN part ON p_partkey = o_orderkey % 97
+        UNION ALL SELECT o_orderkey, 'component' FROM orders WHERE o_orderkey % 97 > 0 UNION ALL SELECT o_orderkey, 'hazards' FROM orders WHERE o_orderkey % 23 = 0
+        UNION ALL SELECT o_orderkey, 'requirements' FROM orders WHERE o_custkey % 4 = 1 UNION ALL SELECT o_orderkey, 'guidance' FROM orders WHERE o_custkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 'verification_readiness' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, 'sfta' FROM lineitem WHERE l_returnflag = 'R'
+        UNION ALL SELECT l_orderkey, 'interfaces' FROM lineitem WHERE l_linestatus = 'O' UNION ALL SELECT l_orderkey, 'component_relationships' FROM lineitem WHERE l_discount > 0.05
+        UNION ALL SELECT l_orderkey, 'cascade_analysis' FROM lineitem WHERE l_tax > 0.06 UNION ALL SELECT l_orderkey, 'timing_and_resilience' FROM lineitem WHERE l_quantity > 45
+        UNION ALL SELECT l_orderkey, 'verification' FROM lineitem WHERE l_quantity < 10 UNION ALL SELECT l_orderkey, 'evidence' FROM lineitem WHERE l_linenumber = 5
+        UNION ALL SELECT user_id, 'semantic_exposure' FROM events""",
+    "v_vuln_decisions": """SELECT l_orderkey * 10 + l_linenumber AS id, split_part('affected,affected,affected,unresolved,not_affected,withdrawn', ',', CAST(l_suppkey % 6 + 1 AS INT)) AS applicability,
+        CASE WHEN l_partkey % 7 = 0 THEN 'not_assessed' ELSE 'reachable' END AS reachability, CASE WHEN l_partkey % 11 = 0 THEN 'not_assessed' ELSE 'exposed' END AS exposure,
+        CASE WHEN l_partkey % 13 = 0 THEN 'not_assessed' ELSE 'minor' END AS safety_impact, CASE WHEN l_orderkey % 13 = 0 THEN 'unassigned' ELSE 'attend' END AS ssvc,
+        split_part('unassigned,planned,completed,accepted', ',', CAST(l_orderkey % 4 + 1 AS INT)) AS remediation, split_part('unassigned,not_affected,fixed,affected', ',', CAST(l_linenumber % 4 + 1 AS INT)) AS vex,
+        CASE WHEN l_returnflag = 'R' THEN '' WHEN l_returnflag = 'A' THEN 'ev' END AS verified_by, CASE WHEN l_linestatus = 'F' THEN 'csaf' END AS csaf, CASE WHEN l_quantity > 25 THEN 'poam' ELSE '' END AS poam FROM lineitem""",
     "v_measures": """SELECT n.n_nationkey AS measure_id, n.n_regionkey AS requirement_id, avg(s.s_acctbal) AS value, 100.0 AS uncertainty, 3000.0 AS threshold
         FROM nation n LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_nationkey, n.n_regionkey""",
 }
