@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -265,41 +265,67 @@ def availability(blocks: DataFrame) -> DataFrame:
     return blocks.select("tree", "node", up("failure", "repair").alias("value"), up("failure_high", "repair_low").alias("low"), up("failure_low", "repair_high").alias("high"))
 
 
+def _upwards(blocks: DataFrame, gates: DataFrame, inputs: DataFrame, values: list[str], combined: Callable[[str], Column]) -> DataFrame:
+    """(tree, node, values) of every gate that can be computed, from blocks (tree, node, values).
+
+    Each gate meets its children once, in one join and one aggregation, and keeps the blocks among them as its parts; further
+    rounds take only gates that wait for gates.  A block that is a gate too counts as the gate."""
+    own = blocks.select("tree", F.col("node").alias("child"), F.struct("node", *values).alias("part"), F.lit(False).alias("gate"))
+    named = gates.select("tree", F.col("node").alias("child"), F.lit(None).cast(own.schema["part"].dataType).alias("part"), F.lit(True).alias("gate"))
+    nodes = own.unionByName(named).groupBy("tree", "child").agg(F.first("part", ignorenulls=True).alias("part"), F.bool_or("gate").alias("gate"))
+    met = saved(inputs.select("tree", "node", "child").distinct().join(nodes, ["tree", "child"], "left"))
+    # a gate over an unknown child is never computed
+    parts = met.groupBy("tree", "node").agg(F.collect_list(F.when(~F.col("gate"), F.col("part"))).alias("parts"), F.count_if("gate").alias("waits"), F.count_if(F.col("gate").isNull()).alias("unknown"))
+    state = saved(gates.join(parts.where("unknown = 0").drop("unknown"), ["tree", "node"]))
+    links = saved(met.where("gate").select("tree", "node", "child"))
+    done = lambda df: df.where("waits = 0").withColumn("parts", F.array_sort("parts")).select("tree", "node", *[combined(c) for c in values])
+    out = [done(state)]
+    if links.head(1):
+        out[0] = saved(out[0])
+    while links.head(1) and out[-1].head(1):
+        told = out[-1].select("tree", F.col("node").alias("child"), F.struct("node", *values).alias("part"))
+        told = links.join(told, ["tree", "child"]).groupBy("tree", "node").agg(F.collect_list("part").alias("more"), F.count("*").alias("less"))
+        state = saved(state.where("waits > 0").join(told, ["tree", "node"], "left").withColumns(
+            {"parts": F.when(F.col("more").isNull(), F.col("parts")).otherwise(F.concat("parts", "more")), "waits": F.col("waits") - F.coalesce("less", F.lit(0))}).drop("more", "less"))
+        out.append(saved(done(state)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _joined(c: Column) -> Column:
+    """What a gate's children, as an array of their values in order, give by its kind, k and beta."""
+    product = F.aggregate(c, F.lit(1.0), lambda a, x: a * x)
+    none = F.aggregate(c, F.lit(1.0), lambda a, x: a * (1 - x))
+    alone = F.when(F.col("kind") == "series", product).when(F.col("kind") == "parallel", 1 - none).otherwise(vote_probability(c, F.col("k").cast("int")))
+    return (1 - F.col("beta")) * alone + F.col("beta") * F.array_min(c)
+
+
 def block_reliability(blocks: DataFrame, gates: DataFrame, inputs: DataFrame) -> DataFrame:
     """(diagram, node, value, low, high) of every gate, from blocks (tree, node, value, low, high): success probabilities,
     such as exp(-rate * time), or availabilities.
 
     Gates are series, parallel or vote (at least k); beta is the share of a gate that fails with its weakest input alone."""
-    placed, highest = levels(gates, inputs, blocks.select("tree", "node"))
-    placed = saved(gates.join(placed, ["tree", "node"]).where("level is not null"))
-    known = blocks.select("tree", F.col("node").alias("child"), "value", "low", "high")
-    out = []
+    rows = _upwards(blocks, gates, inputs, ["value", "low", "high"], lambda c: _joined(F.col("parts")[c]).alias(c))
+    return rows.withColumnRenamed("tree", "diagram")
 
-    def combined(c: str) -> Column:
-        product = F.aggregate(c, F.lit(1.0), lambda a, x: a * x)
-        none = F.aggregate(c, F.lit(1.0), lambda a, x: a * (1 - x))
-        alone = F.when(F.col("kind") == "series", product).when(F.col("kind") == "parallel", 1 - none).otherwise(vote_probability(F.col(c), F.col("k").cast("int")))
-        return ((1 - F.col("beta")) * alone + F.col("beta") * F.array_min(c)).alias(c)
 
-    for n in range(1, highest + 1):
-        own = inputs.distinct().join(placed.where(F.col("level") == n), ["tree", "node"])
-        gathered = known.join(own, ["tree", "child"]).groupBy("tree", "node", "kind", "k", "beta").agg(
-            *[F.array_sort(F.collect_list(F.struct("child", c)))[c].alias(c) for c in ("value", "low", "high")])
-        values = saved(gathered.select("tree", "node", *[combined(c) for c in ("value", "low", "high")]))
-        out.append(values)
-        known = known.unionByName(values.withColumnRenamed("node", "child"))
-    none = known.select("tree", F.col("child").alias("node"), "value", "low", "high").where("false")
-    return reduce(DataFrame.unionByName, out, none).withColumnRenamed("tree", "diagram")
+def block_importance(blocks: DataFrame, gates: DataFrame, inputs: DataFrame, top: str = "top") -> DataFrame:
+    """(diagram, block, importance): what a sure success of the block adds to the top over a sure failure.
 
+    A gate carries its value and, for each block below it, its values with that block forced to fail and to succeed; so a
+    block costs one row a level rather than copies of its tree.  A block that is not below the top adds nothing."""
+    forced = F.array(F.struct(F.col("node").alias("block"), F.lit(0.0).alias("off"), F.lit(1.0).alias("on")))
+    parts = F.col("parts")
 
-def block_importance(blocks: DataFrame, gates: DataFrame, inputs: DataFrame, top: str = "top") -> DataFrame:
-    """(diagram, block, importance): what a sure success of the block adds to the top over a sure failure."""
-    forced = blocks.select("tree", F.col("node").alias("block")).join(blocks, "tree").select("tree", "block", "node", "value", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("forced"))
-    name = F.struct("tree", "block", "forced")
-    value = F.when(F.col("node") == F.col("block"), F.col("forced")).otherwise(F.col("value"))
-    copies = forced.select(name.alias("tree"), "node", value.alias("value"), value.alias("low"), value.alias("high"))
-    versions = forced.select("tree", name.alias("copy")).distinct()
-    spread = lambda df: df.join(versions, "tree").drop("tree").withColumnRenamed("copy", "tree")
-    got = block_reliability(copies, spread(gates), spread(inputs)).where(F.col("node") == top)
-    parts = got.select(F.col("diagram.tree").alias("diagram"), F.col("diagram.block").alias("block"), F.when(F.col("diagram.forced") == 1, F.col("value")).otherwise(-F.col("value")).alias("v"))
-    return parts.groupBy("diagram", "block").agg(F.sum("v").alias("importance"))
+    def combined(c: str) -> Column:
+        if c == "value":
+            return _joined(parts["value"]).alias(c)
+        # the children's values with block b forced
+        child = lambda x, b, way: F.coalesce(F.get(F.filter(x["forced"], lambda f: f["block"] == b), F.lit(0)), F.struct(b.alias("block"), x["value"].alias("off"), x["value"].alias("on")))[way]
+        at = lambda b, way: _joined(F.transform(parts, lambda x: child(x, b, way)))
+        below = F.array_distinct(F.flatten(F.transform(parts, lambda x: x["forced"]["block"])))
+        return F.transform(below, lambda b: F.struct(b.alias("block"), at(b, "off").alias("off"), at(b, "on").alias("on"))).alias(c)
+
+    rows = saved(_upwards(blocks.select("tree", "node", "value", forced.alias("forced")), gates, inputs, ["value", "forced"], combined).where(F.col("node") == top).select("tree", "forced"))
+    moved = rows.select("tree", F.explode("forced").alias("f")).select("tree", F.col("f.block").alias("block"), F.struct(F.lit(True).alias("below"), (F.col("f.on") - F.col("f.off")).alias("importance")).alias("x"))
+    others = blocks.select("tree", F.col("node").alias("block"), F.struct(F.lit(False).alias("below"), F.lit(0.0).alias("importance")).alias("x")).join(rows.select("tree"), "tree", "left_semi")
+    return moved.unionByName(others).groupBy(F.col("tree").alias("diagram"), "block").agg(F.max("x")["importance"].alias("importance"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import faults as T
 from evidentia.plans.catalog import query
+from evidentia.storage import saved
 from evidentia.views import table, view
 
 #: top = pair or rest; pair = e0 and e1; rest = any(e1, e2) and e3 and e4; trees of odd brands ask for two of e0, e1, e2 instead.
@@ -77,7 +78,7 @@ def g08_nested_trees(spark, sf_dir):
 @query("""WITH n AS (SELECT tree, count(*) AS n, sum(ln(value)) AS s, exp(sum(ln(1 - value))) AS f, sum(value / (1 - value)) AS odds, min(value) AS m FROM v_order_blocks GROUP BY tree)
     SELECT tree AS diagram, round(0.9 * CASE tree % 3 WHEN 0 THEN exp(s) WHEN 1 THEN 1 - f ELSE CASE WHEN n < 2 THEN 0 ELSE 1 - f - f * odds END END + 0.1 * m, 8) AS value FROM n""")
 def g11_diagrams(spark, sf_dir):
-    blocks = view(spark, sf_dir, "v_order_blocks")
+    blocks = saved(view(spark, sf_dir, "v_order_blocks"))
     inputs = blocks.select("tree", F.lit("top").alias("node"), F.col("node").alias("child"))
     kind = F.when(F.col("tree") % 3 == 0, "series").when(F.col("tree") % 3 == 1, "parallel").otherwise("vote")
     gates = blocks.select("tree").distinct().select("tree", F.lit("top").alias("node"), kind.alias("kind"), F.lit(2).alias("k"), F.lit(0.1).alias("beta"))
@@ -93,6 +94,7 @@ def _rates(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").cast("string").alias("node")).agg((F.max("l_discount") + 0.01).alias("failure"), F.min("l_quantity").cast("double").alias("repair"))
     f, r = F.col("failure"), F.col("repair")
     blocks = T.availability(rows.withColumns({"failure_low": f * 0.5, "failure_high": f * 2, "repair_low": r * 0.5, "repair_high": r * 2}))
+    blocks = saved(blocks)
     inputs = blocks.select("tree", F.lit("top").alias("node"), F.col("node").alias("child"))
     gates = blocks.select("tree").distinct().select("tree", F.lit("top").alias("node"), F.lit("series").alias("kind"), F.lit(0).alias("k"), F.lit(0.0).alias("beta"))
     return blocks, gates, inputs

@@ -216,3 +216,37 @@ def test_no_query_is_registered_twice():
 
     with pytest.raises(ValueError):
         catalog.query()(catalog.QUERIES["j01_parent_child"])
+
+
+def test_written_tables_of_many_rows_are_not_broadcast(spark):
+    from evidentia import storage
+
+    large, few = storage.saved(spark.range(storage.SMALL + 1)), storage.saved(spark.range(storage.SMALL))
+    plan = lambda a: spark.range(5).join(a, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(large) and "Broadcast" in plan(few)
+
+
+def test_importance_of_blocks_carries_them_up_instead_of_copying_trees(spark, monkeypatch):
+    # 40 blocks of two gates that share one, a block that isn't below the top, and a tree whose top can't be computed
+    names = [f"b{i}" for i in range(40)]
+    blocks = spark.createDataFrame([("t", n, 0.5 + i / 100) for i, n in enumerate(names)] + [("t", "idle", 0.5), ("u", "a", 0.5)], "tree string, node string, value double").selectExpr("*", "value as low", "value as high")
+    gates = spark.createDataFrame([("t", "top", "parallel", 0, 0.1), ("t", "x", "series", 0, 0.0), ("t", "y", "vote", 2, 0.0), ("u", "top", "series", 0, 0.0)], "tree string, node string, kind string, k int, beta double")
+    inputs = spark.createDataFrame([("t", "x", n) for n in names[:21]] + [("t", "y", n) for n in names[20:]] + [("t", "top", "x"), ("t", "top", "y"), ("u", "top", "nowhere")], "tree string, node string, child string")
+    written = []
+    monkeypatch.setattr(faults, "saved", lambda df: written.append(kept := df.localCheckpoint()) or kept)
+    got = {(r.diagram, r.block): r.importance for r in faults.block_importance(blocks, gates, inputs).collect()}
+    assert max(df.count() for df in written) <= 44
+
+    def top(chance):
+        value = [chance.get(n, 0.5 + i / 100) for i, n in enumerate(names)]
+        x = 1.0
+        for v in value[:21]:
+            x *= v
+        dist = [1.0, 0.0]
+        for v in value[20:]:
+            dist = [dist[0] * (1 - v), dist[1] * (1 - v) + dist[0] * v]
+        y = 1 - sum(dist)
+        return 0.9 * (1 - (1 - x) * (1 - y)) + 0.1 * min(x, y)
+
+    assert set(got) == {("t", n) for n in [*names, "idle"]} and got["t", "idle"] == 0
+    assert all(abs(got["t", n] - (top({n: 1.0}) - top({n: 0.0}))) < 1e-9 for n in names)
