@@ -80,11 +80,9 @@ def vulnerability(sbom: DataFrame, advisories: DataFrame, aliases: DataFrame, ke
     hub = aliases.select(F.concat(F.lit("a:"), F.col("advisory_id").cast("string")).alias("a"), F.concat(F.lit("b:"), F.col("alias").cast("string")).alias("b"))
     labels = graphs.components(hub).where("node like 'a:%'").select(F.substring("node", 3, 40).alias("id"), "label")
     merged = saved(advisories.join(labels, advisories["advisory_id"].cast("string") == F.col("id"), "left").select(advisories["*"], F.coalesce("label", F.concat(F.lit("a:"), F.col("advisory_id").cast("string"))).alias("group")))
-    met = saved(vulns.vuln_match(sbom, merged.drop("group"), kev, epss).join(merged.select("advisory_id", "group"), "advisory_id"))
-    worst = F.array(*[F.lit(s) for s in ("affected", "unresolved", "not_affected", "withdrawn")])
-    state = met.groupBy("bom_ref", "group").agg(F.min(F.array_position(worst, F.col("state"))).alias("rank"), F.bool_or("known_exploited").alias("exploited"), F.max("epss").alias("epss"))
-    state = state.select("bom_ref", "group", F.element_at(worst, F.col("rank").cast("int")).alias("state"), F.when(F.col("exploited"), "active").otherwise("none").alias("exploitation"), "epss")
-    decided = joins.decision_table(state, rules, ["state", "exploitation"])
+    state = vulns.vuln_worst(sbom, merged, kev, epss)
+    state = saved(state.select("bom_ref", "group", "state", F.when(F.col("known_exploited"), "active").otherwise("none").alias("exploitation"), "epss"))
+    decided = saved(joins.decision_table(state, rules, ["state", "exploitation"]))
     return {"matches": decided, "states": counted(decided, "state"), "outcomes": counted(decided, "outcome")}
 
 
