@@ -61,21 +61,20 @@ TIERS = """WITH c AS (SELECT component_id, kind, name FROM v_components), t AS (
 def _tests(spark, sf_dir):
     rows = view(spark, sf_dir, "v_components").select("component_id", "kind", "name")
     tests = rows.where("component_id % 3 = 0").select(F.col("component_id").alias("test_id"), "kind", "name")
-    named = tests.join(rows.where("component_id % 50 = 1").select("component_id", "name"), "name").select("test_id", F.lit(2).alias("tier"), "component_id")
-    kinds = tests.join(rows.where("component_id % 40 = 2").select("component_id", "kind"), "kind").select("test_id", F.lit(1).alias("tier"), "component_id")
-    return tests, named, kinds
+    tiers = {2: (rows.where("component_id % 50 = 1"), "name"), 1: (rows.where("component_id % 40 = 2"), "kind")}
+    return tests, tiers
 
 
 @query(TIERS + """ SELECT t.test_id, g.tier, CASE WHEN ties = 1 THEN g.component_id END AS component_id, CASE WHEN ties IS NULL THEN 'unmapped' WHEN ties > 1 THEN 'ambiguous' ELSE 'mapped' END AS state FROM t LEFT JOIN g ON g.test_id = t.test_id""")
 def j31_attribute_tests(spark, sf_dir):
-    tests, named, kinds = _tests(spark, sf_dir)
-    return S.attribute(tests, "test_id", [named, kinds], "component_id")
+    tests, tiers = _tests(spark, sf_dir)
+    return S.attribute_by(tests, "test_id", tiers, "component_id")
 
 
 @query(TIERS + " SELECT test_id, tier, ties, CASE WHEN ties = 1 THEN component_id END AS component_id FROM g")
 def w12_strongest_tier(spark, sf_dir):
-    _, named, kinds = _tests(spark, sf_dir)
-    return S.strongest(named.unionByName(kinds), ["test_id"], "tier", "component_id")
+    tests, tiers = _tests(spark, sf_dir)
+    return S.strongest_by(tests, "test_id", tiers, "component_id").select("test_id", "tier", "ties", "component_id")
 
 
 @query("""WITH p AS (SELECT o_orderkey AS obligation_id, o_custkey AS finding_id, o_orderpriority AS method, o_orderstatus AS status, o_custkey % 7 AS mark FROM orders WHERE o_orderkey % 10 <> 0),
