@@ -33,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document (by doc_id, nulls last) of each group of near copies: Jaccard 0.8 or more on runs of five
-    words.  Null and empty texts are copies of each other."""
+    """Keeps the first document (by doc_id, nulls last) of each group of near copies: SimHash fingerprints that differ in two
+    bits at most, as in op9, or Jaccard 0.8 or more on runs of five words.  Null and empty texts are copies of each other."""
     return simhash.keep_first(docs, width=5, similarity=0.8)
 
 

@@ -122,19 +122,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def united(found: DataFrame, near: DataFrame, row: str) -> DataFrame:
+    """(row, component_id) of the components that the links of both tables (row, component_id) make together; a component is
+    named by its least row.  Only rows that ``near`` puts under another row can unite components."""
+    found = cut(found)
+    own = lambda i, name: found.select(F.col(row).alias(i), F.col("component_id").alias(name)).hint("merge")
+    moved = near.select(F.col(row).alias("i"), F.col("component_id").alias("j")).where("i <> j")
+    edges = cut(moved.join(own("i", "a"), "i").join(own("j", "b"), "j").where("a <> b").select("a", "b").distinct())
+    if not edges.head(1):
+        return found
+    labels = components(found, edges).withColumnRenamed("node", "component_id").hint("merge")
+    return found.join(labels, "component_id", "left").select(row, F.coalesce("label", "component_id").alias("component_id"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each component: that of the least doc_id (nulls last), then of the least hash of its text.
 
-    With a similarity, rows are linked by the Jaccard similarity of their runs of ``width`` words, else as in op9.
+    Rows are linked by their fingerprints, as in op9; with a similarity, also by the Jaccard similarity of their runs of
+    ``width`` words, since near copies of a few changed words differ in more than two bits.
     Rows are told apart by a written number, not by doc_id, so a null or repeated doc_id costs no row."""
     row = free_name(docs, "row")
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    if similarity is None:
-        found = near_duplicates(rows, row, text_col, width=width).select(F.col("doc_id").alias(row), "component_id")
-    else:
+    found = near_duplicates(rows, row, text_col).select(F.col("doc_id").alias(row), "component_id")
+    if similarity is not None:
         from .shingles import near_copies
 
-        found = near_copies(rows, row, text_col, width, similarity)
+        found = united(found, near_copies(rows, row, text_col, width, similarity), row)
     ranks = rows.select(row, F.col(id_col).isNull().alias("last"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"))
     order = F.struct("last", "own", "hash", row)
     kept = cut(found.join(ranks.hint("merge"), row).groupBy("component_id").agg(F.min(order)[row].alias(row)).select(row))

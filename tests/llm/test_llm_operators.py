@@ -299,3 +299,21 @@ def test_the_stage_drops_near_copies(spark):
     rows = [(0, " ".join(words))] + [(n, " ".join(w if i % 50 != n else "changed" for i, w in enumerate(words))) for n in range(1, 6)] + [(9, " ".join(words[::-1]))]
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()} == {0, 9}
+
+
+def test_the_stage_links_by_fingerprints_and_by_runs_of_words(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices(EN, k=3)) for _ in range(500)]
+    near = [w if i % 50 != 7 else "changed" for i, w in enumerate(words)]
+    # 4 and 8 have equal fingerprints (letters' case counts for neither), 8 and 6 are alike by runs of words, 5 stands alone
+    rows = [(8, " ".join(words)), (4, " ".join(words).upper()), (6, " ".join(near)), (5, " ".join(words[::-1]))]
+    asked = []
+    whole = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: asked.append(1) or whole(*a, **k))
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {4, 5} and asked
+    a = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)], "i long, component_id long")
+    b = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 3), (4, 4)], "i long, component_id long")
+    assert {(r.i, r.component_id) for r in simhash.united(a, b, "i").collect()} == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 4)}
