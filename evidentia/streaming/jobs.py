@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from evidentia.storage import new_folder
 
-#: What the breaker's state holds: its name, failures in a row, probes passed, when it opened.
-STATE = "state string, failures long, passed long, opened_us long"
+#: What is held of a breaker: its service, state, failures in a row, probes passed, when it opened; and of a request.
+HELD = ("service", "state", "failures", "passed", "opened_us")
+WAITING = ("service", "event_id", "at_us", "failed", "logged_before", "logged_after")
+PACKED = "rows binary"
+#: Buckets of services whose state is kept together.  A call to the state takes milliseconds, so there are few keys however
+#: many services there are; a change of this number needs new progress folders.
+BUCKETS = 256
 TRANSITION_NAMES = ["service", "event_id", "at_us", "state_before", "state_after", "rejected", "violation"]
 TRANSITIONS = "service long, event_id long, at_us long, state_before string, state_after string, rejected boolean, violation string"
-WAITING = "event_id long, at_us long, failed boolean, logged_before string, logged_after string"
 
 
 def to_instant(ts: Column) -> Column:
@@ -155,24 +162,37 @@ def replay_breakers(requests: DataFrame, threshold: int = 2, cooldown_us: int =
     return ordered.mapInPandas(run, TRANSITIONS)
 
 
+def _packed(rows: pa.Table) -> bytes:
+    """Rows in Arrow's stream format."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> list[tuple]:
+    table = pa.ipc.open_stream(rows).read_all()
+    return list(zip(*[c.to_pylist() for c in table.columns], strict=True))
+
+
 class _Replay(StatefulProcessor):
-    """Holds a service's requests until the watermark has passed them, then replays them in order; state is the breaker and
-    what lies within the watermark's delay."""
+    """Holds the requests of a bucket of services until the watermark has passed them, then replays them in order; state is a
+    breaker for each service and what lies within the watermark's delay, both packed, so a call to the state moves many."""
 
     def __init__(self, threshold: int, cooldown_us: int, probes: int) -> None:
         self.policy = threshold, cooldown_us, probes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.breaker = handle.getValueState("breaker", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.breakers = handle.getValueState("breakers", PACKED)
+        self.waiting = handle.getListState("waiting", PACKED)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         least = None
         for pdf in rows:
-            new = [tuple(r) for r in pdf[["event_id", "at_us", "failed", "logged_before", "logged_after"]].astype(object).where(pdf.notna(), None).itertuples(index=False)]
-            self.waiting.appendList(new)
-            least = min([*([] if least is None else [least]), *(r[1] for r in new)])
+            self.waiting.appendValue((_packed(pa.Table.from_pandas(pdf[list(WAITING)], preserve_index=False)),))
+            first = int(pdf["at_us"].min())
+            least = first if least is None else min(least, first)
         if least is not None:
             self.handle.registerTimer(least // 1000)
         yield pd.DataFrame(columns=TRANSITION_NAMES)
@@ -180,20 +200,26 @@ class _Replay(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
         ready, later = [], []
-        for r in self.waiting.get():
-            (ready if r[1] // 1000 <= passed else later).append(tuple(r))
+        for (packed,) in self.waiting.get():
+            for r in _unpacked(packed):
+                (ready if r[2] // 1000 <= passed else later).append(r)
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[1] for r in later) // 1000)
+            self.waiting.put([(_packed(pa.table(dict(zip(WAITING, map(list, zip(*later)), strict=True)))),)])
+            self.handle.registerTimer(min(r[2] for r in later) // 1000)
         else:
             self.waiting.clear()
-        breaker = Breaker(*self.policy, held=tuple(self.breaker.get()) if self.breaker.exists() else None)
+        if not ready:
+            yield pd.DataFrame(columns=TRANSITION_NAMES)
+            return
+        held = {service: Breaker(*self.policy, held=b) for service, *b in _unpacked(self.breakers.get()[0])} if self.breakers.exists() else {}
         out = []
-        for event_id, at_us, failed, before, after in sorted(ready, key=lambda r: (r[1], r[0])):
+        for service, event_id, at_us, failed, before, after in sorted(ready, key=lambda r: (r[2], r[1])):
+            breaker = held.get(service)
+            if breaker is None:
+                breaker = held[service] = Breaker(*self.policy)
             said = breaker.see(at_us, failed)
-            out.append((key[0], event_id, at_us, *said, violation(said, before, after)))
-        if out:
-            self.breaker.update(breaker.held())
+            out.append((None if service is None else int(service), event_id, at_us, *said, violation(said, before, after)))
+        self.breakers.update((_packed(pa.table(dict(zip(HELD, map(list, zip(*[(service, *b.held()) for service, b in held.items()])), strict=True)))),))
         yield pd.DataFrame(out, columns=TRANSITION_NAMES)
 
     def close(self) -> None:
@@ -207,8 +233,10 @@ def replay_breakers_stream(requests: DataFrame, threshold: int = 2, cooldown_us:
     Requests are replayed in order of time and number once the watermark, ``delay`` behind the newest, has passed them,
     however they are spread over files; what comes later than that is dropped and counted in the query's progress.  The
     session's state store must be RocksDB (``rocks``)."""
-    timed = requests.select("service", "event_id", "at_us", "failed", "logged_before", "logged_after", F.timestamp_micros("at_us").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("service").transformWithStateInPandas(_Replay(threshold, cooldown_us, probes), TRANSITIONS, "Append", "EventTime")
+    # a service as text, which stays exact beside a null
+    timed = requests.select(F.col("service").cast("string").alias("service"), *WAITING[1:], F.timestamp_micros("at_us").alias("at"),
+                            F.pmod(F.xxhash64("service"), F.lit(BUCKETS)).alias("bucket")).withWatermark("at", delay)
+    return timed.groupBy("bucket").transformWithStateInPandas(_Replay(threshold, cooldown_us, probes), TRANSITIONS, "Append", "EventTime")
 
 
 def rocks(spark: SparkSession) -> None:
@@ -223,14 +251,21 @@ SLICE_ROWS = 1_000_000
 def in_order(events: DataFrame, least_slices: int = 4) -> DataFrame:
     """The events (ts as instant) as a stream of files in order of time, one a micro-batch, so that a batch holds a slice of time.
 
-    Streams take files by when they were written, so the slices, of about SLICE_ROWS rows each, are written one after the other."""
+    Streams take files by when they were written, so the slices, of about SLICE_ROWS rows each, are written one after the other,
+    from a table that one pass over the events has dealt out by slice."""
     spark, path = events.sparkSession, new_folder(events.sparkSession)
     at = F.unix_micros("ts")
     slices = max(least_slices, -(-events.count() // SLICE_ROWS))
     cuts = sorted(set(events.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000).alias("q")).first()["q"] or []))
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = events if low is None else events.where(at > low)
-        (own if high is None else own.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
+    # a row without a time is in no slice
+    number = reduce(lambda a, b: a + b, [(at > cut).cast("int") for cut in cuts], F.lit(0))
+    dealt, name = new_folder(spark), "slice_of_time"
+    while name in events.columns:
+        name += "_"
+    events.withColumn(name, number).write.partitionBy(name).parquet(dealt)
+    slices_of = spark.read.schema(StructType([*events.schema, StructField(name, IntegerType())])).parquet(dealt)
+    for i in range(len(cuts) + 1):
+        slices_of.where(F.col(name) == i).drop(name).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -6,6 +6,7 @@ import __spark_entry__
 from pyspark.sql import functions as F
 
 from evidentia.sources import readers as R
+from evidentia.storage import new_folder
 from evidentia.streaming import jobs as S
 
 
@@ -66,6 +67,25 @@ def test_stream_of_breakers_is_the_batch_replay(spark):
     assert rows and rows == sorted(map(tuple, passed.collect()), key=repr) and any(r[-1] for r in rows)
 
 
+def test_breakers_of_many_services_share_state(spark):
+    S.rocks(spark)
+    services = 1500
+    rows = spark.range(services * 3).selectExpr("id % 1500 as service", "id as event_id", "(id div 1500 + 1) * 10000000000 as at_us", "true as failed", "'closed' as logged_before", "cast(null as string) as logged_after")
+    events = rows.withColumn("ts", F.timestamp_micros("at_us"))
+    query = S.replay_breakers_stream(S.in_order(events, 3)).writeStream.format("memory").queryName("many_breakers").option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    # state is kept by bucket, not by service
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) < services
+    told = spark.table("many_breakers").groupBy("at_us", "state_before", "state_after").count().collect()
+    assert {tuple(r) for r in told} == {(10_000_000_000, "closed", "closed", services), (20_000_000_000, "closed", "open", services)}
+
+
+def test_slices_of_time_where_the_newest_repeats(spark):
+    events = spark.createDataFrame([(i, min(i, 5)) for i in range(40)], "event_id long, at long").withColumn("ts", F.timestamp_micros(F.col("at") * 1_000_000))
+    files = S.in_order(events, 4)
+    assert sorted(r.event_id for r in S.drained(files.select("event_id")).collect()) == list(range(40))
+
+
 def test_edges_over_many_batches(spark, tmp_path):
     for n in range(3):
         spark.createDataFrame([("a", "b", str(n % 2)), ("a", "c", "x")], "source string, target string, channel string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
