@@ -197,6 +197,23 @@ def test_similar_pairs_are_all_pairs(spark):
         assert len(got) == len({(r.left_id, r.right_id) for r in got}) and {(r.left_id, r.right_id): r.similarity for r in got} == {k: v for k, v in want.items() if v >= least}
 
 
+def test_similar_pairs_of_many_chunks_write_no_pairs_that_are_not_alike(spark, monkeypatch):
+    from evidentia.operators import claims as K
+
+    rng, seen = random.Random(4), []
+    rows = [(i, sorted({"the", "of"} | {f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 12))}), "a") for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, component string")
+    monkeypatch.setattr(K, "CHUNK", 300)
+    keep = K.saved
+    monkeypatch.setattr(K, "saved", lambda d: seen.append((d.columns, d)) or keep(d))
+    got = {(r.left_id, r.right_id): r.similarity for r in K.similar_pairs(df, None, 0.5, ["component"]).collect()}
+    want = {(a, b): plain_jaccard(set(x), set(y)) for a, x, _ in rows for b, y, _ in rows if a < b}
+    assert got == {k: v for k, v in want.items() if v >= 0.5}
+    pairs = next(d for c, d in seen if c == ["left_id", "right_id", "similarity"])
+    # what is shuffled before pairs are written is sets: no pair is told apart or joined
+    assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().toString()
+
+
 def test_decision_rules_are_rows(spark):
     from evidentia.operators import joins as J
 
