@@ -155,13 +155,18 @@ def cite(findings: DataFrame, mappings: DataFrame) -> DataFrame:
     exact = mappings.where(~F.col("selector").endswith("*")).select(F.col("selector").alias("rule_id"), "citation")
     prefix = mappings.where(F.col("selector").endswith(".*")).select(F.expr("substring(selector, 1, length(selector) - 1)").alias("prefix"), "citation")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("rule_id", r"\."))), lambda i: F.concat(F.array_join(F.slice(F.split("rule_id", r"\."), 1, i), "."), F.lit(".")))
-    a = findings.join(exact, "rule_id").select("finding_id", "citation")
-    b = findings.select("finding_id", F.explode(prefixes).alias("prefix")).join(prefix, "prefix").select("finding_id", "citation")
+    # rules meet mappings once each; findings of a rule, which may be most of them, are dealt out
+    rules = findings.select("rule_id").distinct()
+    fits = rules.join(exact, "rule_id").unionByName(rules.select("rule_id", F.explode(prefixes).alias("prefix")).join(prefix, "prefix").select("rule_id", "citation"))
+    # the hints keep the findings from being broadcast
+    fits = fits.distinct().withColumn("any", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    dealt = F.pmod(F.xxhash64("finding_id"), F.lit(SALT))
+    a = findings.select("finding_id", "rule_id", dealt.alias("any")).join(fits.hint("shuffle_hash"), ["rule_id", "any"]).select("finding_id", "citation")
     # a catch-all selector is the same key for every rule: findings are dealt to SALT keys, and each gets the few such mappings
-    salted = findings.withColumn("any", F.pmod(F.xxhash64("finding_id"), F.lit(SALT)))
+    salted = findings.withColumn("any", dealt)
     every = mappings.where("selector = '*'").select("citation", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("any"))
-    c = salted.join(every, "any").select("finding_id", "citation")
-    return a.unionByName(b).unionByName(c).distinct()
+    c = salted.join(every.hint("shuffle_hash"), "any").select("finding_id", "citation")
+    return a.unionByName(c).distinct()
 
 
 def cite_profiles(findings: DataFrame, mappings: DataFrame, profiles: list[str]) -> DataFrame:
@@ -169,8 +174,9 @@ def cite_profiles(findings: DataFrame, mappings: DataFrame, profiles: list[str])
     weren't rejected and share a profile with those chosen, which are named in the order chosen."""
     chosen = F.filter(F.array(*[F.lit(p) for p in dict.fromkeys(profiles)]), lambda p: F.array_contains("profiles", p))
     open_ones = mappings.where("review_status is distinct from 'independent_rejected'").withColumn("profiles", chosen).where(F.size("profiles") > 0)
-    found = cite(findings, open_ones.select("selector", F.col("mapping_id").alias("citation"))).withColumnRenamed("citation", "mapping_id")
-    return found.join(open_ones.select("mapping_id", "citation", "profiles"), "mapping_id").select("finding_id", "mapping_id", "citation", "profiles")
+    # a mapping goes along whole, since few of them would be hot keys of a join with all that was found
+    whole = F.struct("mapping_id", "citation", "profiles").alias("citation")
+    return cite(findings, open_ones.select("selector", whole)).select("finding_id", "citation.*")
 
 
 def tree_gaps(events: DataFrame, links: DataFrame, finding_hazards: DataFrame, hazards: DataFrame) -> DataFrame:
