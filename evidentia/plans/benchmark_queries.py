@@ -88,18 +88,19 @@ def s08_bench_results(spark, sf_dir):
     UNION ALL SELECT 'run' || CAST(g AS VARCHAR), 'unassigned', 'orders', CAST(o AS VARCHAR), 1, 'again=1', 0, 4, 0, 4, true, 'sample and epoch occur again' FROM s WHERE o % 11 = 0""")
 def s09_eval_logs(spark, sf_dir):
     """An order is a sample: its lines are models that took tokens and events of tools; every eleventh is there twice."""
-    line = table(spark, sf_dir, "lineitem")
+    run = F.floor(F.col("l_orderkey") / PER_DOCUMENT)
+    # lines go to their document's task once; neither lists of lines nor samples are shuffled
+    line = table(spark, sf_dir, "lineitem").withColumn("g", run).repartition("g")
     usage = F.struct(F.col("l_partkey").alias("input_tokens"), F.col("l_suppkey").alias("completion_tokens"), F.when(F.col("l_orderkey") % 3 == 0, 7).alias("total_tokens"))
-    per = line.groupBy("l_orderkey").agg(F.map_from_entries(F.transform(F.collect_list(usage), lambda u, i: F.struct(F.concat(F.lit("m"), i.cast("string")), u))).alias("model_usage"),
+    per = line.groupBy("g", "l_orderkey").agg(F.map_from_entries(F.transform(F.collect_list(usage), lambda u, i: F.struct(F.concat(F.lit("m"), i.cast("string")), u))).alias("model_usage"),
                                          F.concat(F.array_repeat(F.struct(F.lit("Tool_Call").alias("event")), F.count("*").cast("int")), F.array(F.struct(F.lit("state").alias("event")))).alias("events"),
                                          F.count("*").alias("n"), F.min("l_returnflag").alias("flag"))
     score = lambda v: F.struct(v.alias("value"), F.lit("a").alias("answer"))
     sample = F.to_json(F.struct(_text("l_orderkey").alias("id"), F.struct(F.col("flag").alias("ok"), score(F.col("n")).alias("lines")).alias("scores"), "events", "model_usage", F.when(F.col("l_orderkey") % 5 == 0, "failed").alias("error")))
     again = F.to_json(F.struct(_text("l_orderkey").alias("uuid"), F.struct(F.lit(True).cast("int").alias("again")).alias("scores"), F.struct(F.lit(4).alias("input_tokens"), F.lit(True).alias("output_tokens")).alias("usage")))
-    each = per.select("l_orderkey", F.when(F.col("l_orderkey") % 11 == 0, F.concat(sample, F.lit(","), again)).otherwise(sample).alias("s"))
-    run = F.floor(F.col("l_orderkey") / PER_DOCUMENT)
+    each = per.select("g", F.when(F.col("l_orderkey") % 11 == 0, F.concat(sample, F.lit(","), again)).otherwise(sample).alias("s"))
     body = F.concat(F.lit('{"eval":{"run_id":"run'), F.col("g").cast("string"), F.lit('","task_name":"orders"},"samples":['), F.array_join("s", ","), F.lit("]}"))
-    logs = _documents(each.groupBy(run.alias("g")).agg(F.collect_list("s").alias("s")).select(body.alias("value")), new_folder(spark))
+    logs = _documents(each.groupBy("g").agg(F.collect_list("s").alias("s")).select(body.alias("value")), new_folder(spark))
     rows = B.read_eval_logs(spark, logs)
     scores = F.array_join(F.transform("scores", lambda s: F.concat(s["name"], F.lit("="), s["value"])), ",")
     return rows.select("run_id", "eval_id", "task", "sample_id", "epoch", scores.alias("scores"), "tool_events", "input_tokens", "output_tokens", "total_tokens", "completed", "reject")

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What counts as true, as false, and as an outcome.
 TRUE, FALSE = ("1", "true", "yes", "pass", "passed", "positive"), ("0", "false", "no", "fail", "failed", "negative")
@@ -159,17 +160,18 @@ def read_results(spark: SparkSession, path: str, layout: str, kind: str) -> Data
                       *[F.when(good, number(c)).alias(c) for c in ("coverage_delta", "mutation_score")], F.when(good, outcome).alias("outcome"), "reject")
 
 
-def _tokens(sample: Column, *names: str) -> Column:
-    """A count of tokens, summed over the models of a sample, or of its one record."""
-    usage = F.coalesce(F.try_variant_get(sample, "$.model_usage", "variant"), F.try_variant_get(sample, "$.usage", "variant"))
-    by_model = F.try_variant_get(usage, "$", "map<string,variant>")
-    values = F.map_values(by_model)
-    nested = (F.size(by_model) > 0) & F.forall(values, lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
-    records = F.when(nested, values).otherwise(F.array(usage))
-    # a flag isn't a number
-    number = lambda v, n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) != "BOOLEAN", F.try_variant_get(v, f"$.{n}", "double"))
-    one = lambda v: F.coalesce(*[number(v, n) for n in names], F.lit(0.0)).cast("long")
-    return F.coalesce(F.aggregate(F.transform(records, one), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+#: What is read of a sample, and of a record of tokens, in one go; what isn't of its type is null by itself.
+_COUNTS = ("input_tokens", "prompt_tokens", "output_tokens", "completion_tokens", "total_tokens")
+_USAGE = f"struct<{','.join(f'{n}:string' for n in _COUNTS)}>"
+_SAMPLE = ("struct<uuid:string,id:string,sample_id:string,epoch:double,error:string,scores:map<string,variant>,events:array<struct<event:string,type:string>>,"
+           "model_usage:variant,usage:variant,messages:variant>")
+
+
+def _tokens(records: Column, *names: str) -> Column:
+    """A count of tokens, summed over records."""
+    # by way of text, since a flag isn't a number
+    one = lambda v: F.coalesce(*[v[n].try_cast("double") for n in names], F.lit(0.0)).cast("long")
+    return F.coalesce(F.aggregate(records, F.lit(0).cast("long"), lambda a, v: a + one(v)), F.lit(0).cast("long"))
 
 
 def read_eval_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -180,32 +182,39 @@ def read_eval_logs(spark: SparkSession, path: str) -> DataFrame:
     document without metadata or samples is one row with its reason; a sample and epoch that occur again are rejected."""
     docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("d"))
     about = F.try_variant_get("d", "$.eval", "variant")
-    samples = F.try_variant_get("d", "$.samples", "array<variant>")
-    bad = F.when(F.col("d").isNull(), "unreadable").when(F.try_variant_get(about, "$", "map<string,variant>").isNull() | samples.isNull(), "no metadata or samples")
+    docs = docs.withColumn("samples", F.try_variant_get("d", "$.samples", f"array<{_SAMPLE}>"))
+    bad = F.when(F.col("d").isNull(), "unreadable").when(F.try_variant_get(about, "$", "map<string,variant>").isNull() | F.col("samples").isNull(), "no metadata or samples")
     unknown = F.lit("unassigned")
     # what is said once a document is taken before its samples are told apart
     docs = docs.select(
         "file", bad.alias("bad"), F.coalesce(at(about, "run_id"), F.try_variant_get("d", "$.run_id", "string"), unknown).alias("run_id"),
         F.coalesce(at(about, "eval_id"), F.try_variant_get("d", "$.eval_id", "string"), unknown).alias("eval_id"), F.coalesce(at(about, "task", "task_name"), unknown).alias("task"),
-        F.coalesce(at(about, "model"), unknown).alias("model"), F.when(bad.isNull(), samples).alias("samples"))
+        F.coalesce(at(about, "model"), unknown).alias("model"), F.when(bad.isNull(), F.col("samples")).alias("samples"))
     rows = docs.select("file", "bad", "run_id", "eval_id", "task", "model", F.posexplode_outer("samples").alias("place", "s"))
     rows = rows.where(F.col("bad").isNotNull() | F.col("place").isNotNull())
     s = F.col("s")
-    scores = F.try_variant_get(s, "$.scores", "map<string,variant>")
-    score = lambda e: F.struct(e["key"].alias("name"), F.coalesce(F.try_variant_get(e["value"], "$.value", "string"), F.when(F.try_variant_get(e["value"], "$", "map<string,variant>").isNull(), F.try_variant_get(e["value"], "$", "string"))).alias("value"),
-                               F.try_variant_get(e["value"], "$.answer", "string").alias("answer"), F.try_variant_get(e["value"], "$.explanation", "string").alias("explanation"))
-    events = F.coalesce(F.try_variant_get(s, "$.events", "array<variant>"), F.array().cast("array<variant>"))
-    tools = F.filter(events, lambda e: F.lower(F.coalesce(at(e, "event", "type"), F.lit(""))).isin("tool", "tool_call", "toolcall", "tool_event"))
-    epoch = F.coalesce(F.nullif(F.try_variant_get(s, "$.epoch", "double").cast("long"), F.lit(0)), F.lit(1))
-    error = F.try_variant_get(s, "$.error", "string")
+    usage = F.coalesce(s["model_usage"], s["usage"])
+    # a sample's records of tokens are its models', or its one; each step is a column, or it would be made once for each use
+    rows = rows.withColumn("models", F.map_values(F.try_variant_get(usage, "$", f"map<string,{_USAGE}>")))
+    nested = (F.size("models") > 0) & F.forall("models", lambda v: v.isNotNull())
+    rows = rows.withColumn("records", F.when(nested, F.col("models")).otherwise(F.array(F.try_variant_get(usage, "$", _USAGE))))
+
+    def score(e):
+        own, plain = F.try_variant_get(e["value"], "$", "struct<value:string,answer:string,explanation:string>"), F.try_variant_get(e["value"], "$", "string")
+        return F.struct(e["key"].alias("name"), F.when(own.isNull(), plain).otherwise(own["value"]).alias("value"), own["answer"].alias("answer"), own["explanation"].alias("explanation"))
+
+    none = F.array().cast("array<struct<name:string,value:string,answer:string,explanation:string>>")
+    events = F.coalesce(s["events"], F.array().cast("array<struct<event:string,type:string>>"))
+    tools = F.filter(events, lambda e: F.lower(F.coalesce(e["event"], e["type"], F.lit(""))).isin("tool", "tool_call", "toolcall", "tool_event"))
+    epoch = F.coalesce(F.nullif(s["epoch"].cast("long"), F.lit(0)), F.lit(1))
     told = rows.select(
-        "file", "run_id", "eval_id", "task", "model", "bad", F.coalesce(at(s, "uuid", "id", "sample_id"), F.col("place").cast("string")).alias("sample_id"), epoch.cast("long").alias("epoch"),
-        F.array_sort(F.coalesce(F.transform(F.map_entries(scores), score), F.array().cast("array<struct<name:string,value:string,answer:string,explanation:string>>"))).alias("scores"),
-        F.size(tools).cast("long").alias("tool_events"), _tokens(s, "input_tokens", "prompt_tokens").alias("input_tokens"), _tokens(s, "output_tokens", "completion_tokens").alias("output_tokens"),
-        _tokens(s, "total_tokens").alias("total"), F.sha2(F.to_json(F.try_variant_get(s, "$.messages", "variant")), 256).alias("messages_sha256"),
-        error.alias("error"), (F.coalesce(error, F.lit("")) == "").alias("completed"))
-    counts = told.groupBy("file", "sample_id", "epoch").agg(F.count("*").alias("same"))
-    told = told.join(counts, ["file", "sample_id", "epoch"], "left")
+        "file", "run_id", "eval_id", "task", "model", "bad", F.coalesce(s["uuid"], s["id"], s["sample_id"], F.col("place").cast("string")).alias("sample_id"), epoch.cast("long").alias("epoch"),
+        F.array_sort(F.coalesce(F.transform(F.map_entries(s["scores"]), score), none)).alias("scores"),
+        F.size(tools).cast("long").alias("tool_events"), _tokens(F.col("records"), "input_tokens", "prompt_tokens").alias("input_tokens"),
+        _tokens(F.col("records"), "output_tokens", "completion_tokens").alias("output_tokens"), _tokens(F.col("records"), "total_tokens").alias("total"),
+        F.sha2(F.to_json(s["messages"]), 256).alias("messages_sha256"), s["error"].alias("error"), (F.coalesce(s["error"], F.lit("")) == "").alias("completed"))
+    # counted beside the rows, so that documents are read once
+    told = told.withColumn("same", F.count("*").over(Window.partitionBy("file", "sample_id", "epoch")))
     reject = F.coalesce("bad", F.when(F.col("same") > 1, "sample and epoch occur again"))
     return told.select("file", "run_id", "eval_id", "task", "model", "sample_id", "epoch", "scores", "tool_events", "input_tokens", "output_tokens",
                        F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), "messages_sha256", "error", "completed", reject.alias("reject"))
