@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import mapping as M
 from evidentia.plans.catalog import query
+from evidentia.storage import marked
 from evidentia.views import view
 
 ALIASES = """n AS (SELECT component_id, name AS alias FROM v_named_components UNION SELECT component_id, qualname FROM v_named_components UNION SELECT component_id, path || ':' || qualname FROM v_named_components),
@@ -34,7 +35,7 @@ def j03_map_by_path_suffix(spark, sf_dir):
     SELECT source, target, line, ord, reference, CASE WHEN line = site_line THEN 'observed_callsite_line' ELSE 'target_name_heuristic' END AS correlation FROM r WHERE rank <= 20""")
 def j05_dynamic_candidates(spark, sf_dir):
     edges = view(spark, sf_dir, "v_observed_edges").distinct()
-    names = view(spark, sf_dir, "v_named_components")
+    names = marked(view(spark, sf_dir, "v_named_components"))
     edges = edges.join(names.select(F.col("component_id").alias("target")), "target", "left_semi")
     return M.dynamic_candidates(edges, view(spark, sf_dir, "v_call_sites"), names).select("source", "target", "line", "ord", "reference", "correlation")
 
