@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import counted, cut, per_text
 from .simhash import components, digests
 
 BANDS, ROWS, ROUNDS, CELLS = 16, 4, 1, 256
@@ -59,8 +59,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (row, label) after the components at the ends of the edges (row, pivot) are made one."""
     ends = edges.join(labels.hint("merge"), "row").select("pivot", F.col("label").alias("a")).join(labels.toDF("pivot", "b").hint("merge"), "pivot")
-    ends = cut(ends.select("a", "b").where("a <> b").distinct())
-    if not ends.head(1):
+    ends, found = counted(ends.select("a", "b").where("a <> b").distinct())
+    if not found["rows"]:
         return labels
     merged = components(labels, ends).toDF("label", "least")
     return cut(labels.join(merged.hint("merge"), "label", "left").select("row", F.coalesce("least", "label").alias("label")))
@@ -96,8 +96,8 @@ def link_keys(met: DataFrame, sets: DataFrame, similarity: float, rounds: int =
         tagged = cut(scored.join(labels.hint("merge"), "row"))
         groups = tagged.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
         across = groups.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label"))["label"].alias("main"), F.min("n").alias("lo")).where("labels > 1").drop("labels")
-        mixed = cut(tagged.join(across.hint("merge"), "key"))
-        if not mixed.head(1):
+        mixed, found = counted(tagged.join(across.hint("merge"), "key"))
+        if not found["rows"]:
             break
         if n < rounds:
             pivots = mixed.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "row", "n", "label")).alias("p"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, per_text
+from .common import counted, cut, free_name, per_text
 
 #: Keys with more fingerprints than this are handled by neighbours instead of pairs.
 HOT = 64
@@ -104,8 +104,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("seen")).withColumnRenamed("a", "node")
         stepped = cut(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")))
         heads = stepped.select(F.col("node").alias("label"), F.col("label").alias("head"))
-        labels = cut(stepped.join(heads, "label").select("node", "old", F.least("label", "head").alias("label")))
-        if not labels.where("label <> old").head(1):
+        labels, found = counted(stepped.join(heads, "label").select("node", "old", F.least("label", "head").alias("label")), moved=F.count_if(F.col("label") != F.col("old")))
+        if not found["moved"]:
             return labels.select("node", "label")
         labels = labels.select("node", "label")
 
@@ -114,8 +114,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id): each document's component is named by its smallest doc_id."""
     prints = cut(fingerprints(docs, id_col, text_col, width))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = cut(links(fps.select("fp"), hot))
-    labels = components(fps, edges) if edges.head(1) else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    edges, found = counted(links(fps.select("fp"), hot))
+    labels = components(fps, edges) if found["rows"] else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     classes = cut(fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     named = cut(classes.groupBy("label").agg(F.min("first").alias("component_id")))
     classes = cut(classes.join(named, "label").select("fp", "component_id"))
@@ -128,8 +128,8 @@ def united(found: DataFrame, near: DataFrame, row: str) -> DataFrame:
     found = cut(found)
     own = lambda i, name: found.select(F.col(row).alias(i), F.col("component_id").alias(name)).hint("merge")
     moved = near.select(F.col(row).alias("i"), F.col("component_id").alias("j")).where("i <> j")
-    edges = cut(moved.join(own("i", "a"), "i").join(own("j", "b"), "j").where("a <> b").select("a", "b").distinct())
-    if not edges.head(1):
+    edges, n = counted(moved.join(own("i", "a"), "i").join(own("j", "b"), "j").where("a <> b").select("a", "b").distinct())
+    if not n["rows"]:
         return found
     labels = components(found, edges).withColumnRenamed("node", "component_id").hint("merge")
     return found.join(labels, "component_id", "left").select(row, F.coalesce("label", "component_id").alias("component_id"))

@@ -250,3 +250,20 @@ def test_importance_of_blocks_carries_them_up_instead_of_copying_trees(spark, mo
 
     assert set(got) == {("t", n) for n in [*names, "idle"]} and got["t", "idle"] == 0
     assert all(abs(got["t", n] - (top({n: 1.0}) - top({n: 0.0}))) < 1e-9 for n in names)
+
+
+def test_a_written_table_is_counted_while_it_is_written(spark):
+    from evidentia import storage
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, "")
+        try:
+            return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (table, found), n = jobs("counted", lambda: storage.counted(spark.range(10), odd=F.count_if(F.col("id") % 2 == 1)))
+    assert found == {"rows": 10, "odd": 5} and n == 1 and table.count() == 10
+    assert jobs("saved", lambda: storage.saved(spark.range(10)))[1] == 1
+    none, found = storage.counted(spark.range(10).where("id < 0"))
+    assert found == {"rows": 0} and none.columns == ["id"] and not none.count()
