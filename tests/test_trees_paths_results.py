@@ -214,6 +214,44 @@ def test_similar_pairs_of_many_chunks_write_no_pairs_that_are_not_alike(spark, m
     assert "FlatMapCoGroupsInArrow" in pairs._jdf.queryExecution().toString()
 
 
+def test_sets_nobody_asks_about_meet_those_asked_for_only(spark, monkeypatch):
+    from evidentia.operators import claims as K
+
+    rng, shuffled = random.Random(5), []
+    word = lambda: f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}"
+    rows = [(i, " ".join(["the", *[word() for _ in range(rng.randrange(1, 14))]]), "a", i % 10 == 0) for i in range(400)]
+    rows += [(500 + i, "same set here", "a", (None, False, True)[i % 3]) for i in range(7)] + [(600 + i, "no such block", None, True) for i in range(3)]
+    df = spark.createDataFrame(rows, "claim_id long, failure string, component string, suggestion boolean")
+    monkeypatch.setattr(K, "CHUNK", 300)
+    plain = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda d, *a: shuffled.append(d.count()) or plain(d, *a))
+    got = {(r.left_id, r.right_id): r.similarity for r in K.claim_pairs(df, ["failure"], duplicate=0.35).collect()}
+    want = {(a, b): plain_jaccard(set(x.split()), set(y.split())) for a, x, c, m in rows for b, y, d, n in rows if a < b and c and d and (m or n)}
+    assert got == {k: v for k, v in want.items() if v >= 0.35} and got
+    assert sum(shuffled) < 2000  # each set with each of 11 chunks would be over 4,000
+
+
+def test_near_sets_of_common_and_rare_words(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from evidentia.operators import claims as K
+
+    rng = random.Random(6)
+    zipf = lambda: int(1 / (rng.random() + 0.0005))
+    sets = sorted(({zipf() + (rng.random() < 0.2) * rng.randrange(9000) for _ in range(rng.randrange(1, 90))} for _ in range(900)), key=len)
+    sets = sorted(sets + [{t + (rng.random() < 0.3) * 70000 for t in s} for s in sets[::3]], key=len)
+    make = lambda some: pa.table({"n": pa.array([len(s) for s in some], pa.int32()), "t": pa.array([sorted(s) for s in some], pa.list_(pa.int64()))})
+    few = sets[::5]
+    for least in (0.1, 0.35, 0.84):
+        got = [np.concatenate(c).tolist() for c in zip(*K._near(make(sets), make(sets), least, True), strict=True)]
+        want = {(i, j): plain_jaccard(sets[i], sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+        assert len(got[0]) == len(want := {k: v for k, v in want.items() if v >= least}) and dict(zip(zip(got[0], got[1], strict=True), got[2], strict=True)) == want
+        got = [np.concatenate(c).tolist() for c in zip(*K._near(make(few), make(sets), least, False), strict=True)]
+        want = {(i, j): v for i, s in enumerate(few) for j, t in enumerate(sets) if (v := plain_jaccard(s, t)) >= least}
+        assert len(got[0]) == len(want) and dict(zip(zip(got[0], got[1], strict=True), got[2], strict=True)) == want
+
+
 def test_decision_rules_are_rows(spark):
     from evidentia.operators import joins as J
 
