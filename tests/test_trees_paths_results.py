@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter
 
 from evidentia.operators import faults as T
@@ -231,6 +232,43 @@ def test_sets_nobody_asks_about_meet_those_asked_for_only(spark, monkeypatch):
     assert sum(shuffled) < 2000  # each set with each of 11 chunks would be over 4,000
 
 
+def test_pairs_of_claims_are_judged_without_their_texts(spark, monkeypatch):
+    from evidentia.operators import claims as K
+
+    rng, seen = random.Random(8), []
+    words = ["alpha", "beta", "gamma", "Valid", "invalid", "open", "CLOSED", "a"]
+    text = lambda: rng.choice([None, "", "  ", "not alpha beta", "Not valid.", "alpha beta"] + [" ".join(rng.choices(words, k=rng.randrange(1, 4))) for _ in range(6)])
+    rows = [(i, "c", i % 3 != 0, " ".join(rng.choices(words, k=3)) + rng.choice(["", "!"]), text(), text()) for i in range(70)]
+    df = spark.createDataFrame(rows, "claim_id long, component string, suggestion boolean, failure string, cause string, effect string")
+    keep = K.saved
+    monkeypatch.setattr(K, "saved", lambda d: seen.append(d.columns) or keep(d))
+    fields = ["failure", "cause", "effect"]
+    got = sorted(map(tuple, K.claim_pairs(df, fields).collect()))
+    assert not [c for c in seen if "left_id" in c and {"left_failure", "left_cause"} & set(c)]
+    tokens = lambda t: {w for w in re.sub("[^a-z0-9]+", " ", (t or "").lower()).split(" ") if len(w) > 1}
+    plain = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = []
+    for x in rows:
+        for y in rows:
+            s = alike(tokens(x[3]), tokens(y[3]))
+            if x[0] < y[0] and (x[2] or y[2]) and s >= 0.35:
+                want += [(x[0], y[0], "duplicate", "failure", "", s)] if s >= 0.84 else []
+                for k, f in enumerate(fields, 3):
+                    a, b = x[k], y[k]
+                    if a and b:
+                        ta, tb = tokens(a), tokens(b)
+                        why = next((f"opposed terms: {p}/{q}" for p, q in K.OPPOSITES if (p in ta and q in tb) or (q in ta and p in tb)), "")
+                        bare = [tokens(re.sub("^not ", "", plain(t))) for t in (a, b)]
+                        if not why and plain(a).startswith("not ") != plain(b).startswith("not ") and alike(*bare) >= 0.7:
+                            why = K.NEGATED if hasattr(K, "NEGATED") else "one claim explicitly negates the other"
+                        if why:
+                            want.append((x[0], y[0], "contradiction", f, why, s))
+                        elif f != "failure" and alike(ta, tb) < 0.2:
+                            want.append((x[0], y[0], "divergence", f, "", s))
+    assert got == sorted(want) and {w[2] for w in want} == {"duplicate", "contradiction", "divergence"} and any("negates" in w[4] for w in want)
+
+
 def test_near_sets_of_common_and_rare_words(spark):
     import numpy as np
     import pyarrow as pa
